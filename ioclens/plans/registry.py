@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import features, ingest, lifecycle  # noqa: F401
+    from . import dashboard, features, ingest, lifecycle  # noqa: F401
