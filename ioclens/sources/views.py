@@ -201,6 +201,8 @@ def with_views(sql: str) -> str:
     ctes = [f"{n} AS (\n{SQL[n]}\n)" for n in names]
     if not ctes:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
