@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import behavior, dashboard, features, graph, ingest, lifecycle, ml, predictions  # noqa: F401
+    from . import behavior, dashboard, features, graph, ingest, lifecycle, ml, predictions, streams  # noqa: F401

@@ -24,7 +24,11 @@ HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 
 def ioc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings log: one indicator observation per event."""
-    e = table(spark, sf_dir, "events")
+    return ioc_from_events(table(spark, sf_dir, "events"))
+
+
+def ioc_from_events(e: DataFrame) -> DataFrame:
+    """The sightings projection of an events DataFrame (batch or stream)."""
     u = F.col("user_id")
     return e.select(
         F.col("event_id").alias("id"),
@@ -38,7 +42,11 @@ def ioc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return alert_from_events(table(spark, sf_dir, "events"))
+
+
+def alert_from_events(e: DataFrame) -> DataFrame:
+    e = e.where(F.col("event_type") == "error")
     i = F.col("event_id")
     return e.select(
         i.alias("id"), i.alias("ioc_id"),
@@ -50,7 +58,10 @@ def alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return lifecycle_from_events(table(spark, sf_dir, "events"))
+
+
+def lifecycle_from_events(e: DataFrame) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
     return e.select(
         i.alias("id"), u.alias("threat_input_id"),
