@@ -52,7 +52,7 @@ def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str],
         if name in keys:
             cols.append(F.coalesce(F.col(f"u.{name}"), F.col(f"c.{name}")).alias(name))
         elif name in rules:
-            cols.append(rules[name].alias(name))
+            cols.append(F.when(touched, rules[name]).otherwise(F.col(f"c.{name}")).alias(name))
         elif name == "updated_at" and stamp is not None:
             cols.append(F.when(touched, stamp).otherwise(F.col(f"c.{name}")).alias(name))
         elif name in updates.columns:
