@@ -46,8 +46,12 @@ def hash_risk_level(score) -> Column:
 
 
 def to_stored(score) -> Column:
-    """Stored precision of a risk score: decimal(3,2), rounded half-up."""
-    return F.round(col(score).cast("double"), 2).cast(T.DecimalType(3, 2))
+    """Stored precision of a risk score: decimal(3,2), rounded half-up.
+    Floating noise is removed first (0.7 + 0.095 is 0.79499999... in binary
+    but 0.795 in intent) and the tie is rounded in decimal arithmetic, so
+    the result does not depend on an engine's double rounding."""
+    exact = F.round(col(score).cast("double"), 6).cast(T.DecimalType(12, 6))
+    return F.round(exact, 2).cast(T.DecimalType(3, 2))
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:

@@ -151,9 +151,41 @@ def raw_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.unionByName(hosts).unionByName(found("doc_quad", QUAD_RE)).unionByName(found("doc_hash", HEX_RE))
 
 
+# Country codes assigned to derived geolocation payloads (fixture rule).
+GEO_CODES = ["US", "DE", "RU", "CN", "FR", "IR", "BR", "KP", "JP", "GB"]
+
+
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed enrichment payloads derived from events (``props`` JSON):
+    reputation stats for ip/domain/hash sightings, geolocation for ip,
+    resolved address for domain; none for signups.  ``data`` is JSON text
+    (a plain string for resolved_ip)."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+    k = F.get_json_object("props", "$.k").cast("int")
+    t = F.col("user_id") % 5
+    s = lambda c: c.cast("string")
+    vt = e.where(t.isin(0, 1, 3)).select(
+        (F.col("event_id") * 3).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("virustotal").alias("enrichment_type"),
+        F.concat(F.lit('{"reputation": '), s(k - 50), F.lit(', "last_analysis_stats": {"malicious": '), s(k % 7),
+                 F.lit(', "suspicious": '), s(k % 3), F.lit(', "harmless": '), s(60 - k % 7),
+                 F.lit(', "undetected": '), s(k % 11), F.lit("}}")).alias("data"), F.col("ts").alias("created_at"))
+    codes = F.array(*[F.lit(c) for c in GEO_CODES])
+    cc = F.element_at(codes, ((F.col("user_id") + k) % len(GEO_CODES) + 1).cast("int"))
+    lat = F.when(k % 10 == 0, F.lit("")).otherwise(F.concat(F.lit(', "lat": '), s((k * 7) % 180 - 90)))
+    geo = e.where(t == 0).select(
+        (F.col("event_id") * 3 + 1).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("geolocation").alias("enrichment_type"),
+        F.concat(F.lit('{"country_code": "'), cc, F.lit('", "country": "'), cc, F.lit('", "city": "c'), s(k % 13), F.lit('"'),
+                 lat, F.lit(', "lon": '), s((k * 13) % 360 - 180), F.lit("}")).alias("data"), F.col("ts").alias("created_at"))
+    rip = e.where(t == 1).select(
+        (F.col("event_id") * 3 + 2).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("resolved_ip").alias("enrichment_type"),
+        F.concat(F.lit("10.0."), s(k % 4), F.lit("."), s(F.col("user_id") % 3)).alias("data"), F.col("ts").alias("created_at"))
+    return vt.unionByName(geo).unionByName(rip)
+
+
 BUILDERS = {
     "ioc": ioc, "alert": alert, "lifecycle": lifecycle, "account": account, "mapping": mapping,
     "relationship": relationship, "flow": flow, "prediction": prediction, "raw_inputs": raw_inputs,
+    "enrichment": enrichment,
 }
 
 # ------------------------------------------------------------------ oracle SQL
@@ -202,8 +234,25 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{QUAD_RE}') AS m FROM documents)
 UNION ALL
 SELECT 'doc_hash', doc_id, cast(generate_subscripts(m, 1) - 1 AS integer), unnest(m)
 FROM (SELECT doc_id, regexp_extract_all(text, '{HEX_RE}') AS m FROM documents) AS h""",
+    "enrichment": """SELECT event_id * 3 AS id, event_id AS ioc_id, 'virustotal' AS enrichment_type,
+  '{"reputation": ' || cast(k - 50 AS varchar) || ', "last_analysis_stats": {"malicious": ' || cast(k % 7 AS varchar)
+  || ', "suspicious": ' || cast(k % 3 AS varchar) || ', "harmless": ' || cast(60 - k % 7 AS varchar)
+  || ', "undetected": ' || cast(k % 11 AS varchar) || '}}' AS data, ts AS created_at
+FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 IN (0, 1, 3)
+UNION ALL
+SELECT event_id * 3 + 1, event_id, 'geolocation',
+  '{"country_code": "' || cc || '", "country": "' || cc || '", "city": "c' || cast(k % 13 AS varchar) || '"'
+  || CASE WHEN k % 10 = 0 THEN '' ELSE ', "lat": ' || cast((k * 7) % 180 - 90 AS varchar) END
+  || ', "lon": ' || cast((k * 13) % 360 - 180 AS varchar) || '}', ts
+FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k,
+        ['US', 'DE', 'RU', 'CN', 'FR', 'IR', 'BR', 'KP', 'JP', 'GB'][(user_id + cast(json_extract_string(props, '$.k') AS integer)) % 10 + 1] AS cc
+      FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 = 0
+UNION ALL
+SELECT event_id * 3 + 2, event_id, 'resolved_ip', '10.0.' || cast(k % 4 AS varchar) || '.' || cast(user_id % 3 AS varchar), ts
+FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 = 1""",
 }
 
+
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the CTEs of every derived view it mentions.  A
     query that starts with its own ``WITH`` keeps its CTEs after the views."""
