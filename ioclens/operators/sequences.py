@@ -2,12 +2,14 @@
 into one task: inter-arrival statistics per key (W4) and global burst
 segmentation (W5).
 
-Both split the sequence into time buckets.  Ordered work (``lag``/``lead``,
-running sums) runs inside each (key, bucket) partition; the links between
-consecutive buckets come from a per-bucket summary table whose size is the
-number of non-empty buckets (the time span), not the number of rows.  That
-summary is joined back without a broadcast hint, so AQE broadcasts it only
-when its measured size allows.
+Both cut the ordered sequence into buckets.  By default a bucket is a range
+partition of the ordering key (``repartitionByRange`` samples split points,
+so buckets are balanced even when one value or one hour holds a third of
+the rows); ``unit='hour'`` etc. buckets by time instead.  Ordered work
+(``lag``/``lead``, running sums) runs inside each bucket; the links between
+consecutive buckets come from a per-bucket summary table with one row per
+bucket.  That summary is joined back without a broadcast hint, so AQE
+broadcasts it only when its measured size allows.
 """
 
 from __future__ import annotations
@@ -21,11 +23,34 @@ from ..functions.timeutil import micros
 US_PER_HOUR = 3.6e9
 
 
-def gap_stats(df: DataFrame, keys: list[str], ts: str, unit: str = "hour") -> DataFrame:
+def _bucketed(df: DataFrame, order: list[str], unit: str | None, ts: str, buckets: int | None) -> DataFrame:
+    """Add ``_b``: a bucket id monotone in ``order`` (range partition id).
+    Only for plans that read the result once (the id comes from the
+    exchange, so two evaluations could number buckets differently)."""
+    if unit:
+        return df.withColumn("_b", F.date_trunc(unit, F.col(ts)))
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id())
+
+
+def _time_buckets(df: DataFrame, ts: str, unit: str | None, buckets: int | None) -> DataFrame:
+    """Add ``_b``: a deterministic bucket of ``ts`` -- by time unit, or by
+    approximate quantiles of the event time (one sketch aggregate; only the
+    split points reach the driver), so a busy hour is split across buckets."""
+    if unit:
+        return df.withColumn("_b", F.date_trunc(unit, F.col(ts)))
+    from pyspark.ml.feature import Bucketizer
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = df.withColumn("_m", micros(ts).cast("double"))
+    qs = m.approxQuantile("_m", [i / n for i in range(1, n)], 0.0005) if n > 1 else []
+    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
+    return Bucketizer(splits=splits, inputCol="_m", outputCol="_b", handleInvalid="keep").transform(m).drop("_m")
+
+
+def gap_stats(df: DataFrame, keys: list[str], ts: str, unit: str | None = None, buckets: int | None = None) -> DataFrame:
     """Per key: n, first/last ts, mean and population std (hours) of the
     gaps between consecutive sorted timestamps."""
-    b = F.date_trunc(unit, F.col(ts)).alias("_b")
-    rows = df.select(*keys, F.col(ts).alias("_ts"), b)
+    rows = _bucketed(df.select(*keys, F.col(ts).alias("_ts")), [*keys, "_ts"], unit, "_ts", buckets)
     w = Window.partitionBy(*keys, "_b").orderBy("_ts")
     d = (micros("_ts") - micros(F.lag("_ts").over(w))) / US_PER_HOUR
     per_b = (rows.withColumn("_d", d)
@@ -47,7 +72,7 @@ def gap_stats(df: DataFrame, keys: list[str], ts: str, unit: str = "hour") -> Da
 
 
 def bursts(iocs: DataFrame, ts: str = "created_at", risk: str = "risk_score", flush_open: bool = False,
-           unit: str = "hour") -> DataFrame:
+           unit: str | None = None, buckets: int | None = None) -> DataFrame:
     """W5 burst segmentation over all rows in (ts, id) order.
 
     A row with risk > 0.7 joins the open burst; if the next row (of any
@@ -56,8 +81,8 @@ def bursts(iocs: DataFrame, ts: str = "created_at", risk: str = "risk_score", fl
     last row is high-risk (reference rule) or ``flush_open``.  Nothing is
     returned for fewer than 5 input rows.
     """
-    rows = iocs.select("id", F.col(ts).alias("_ts"), F.col(risk).alias("_risk"), "type",
-                       F.date_trunc(unit, F.col(ts)).alias("_b"))
+    rows = _time_buckets(iocs.select("id", F.col(ts).alias("_ts"), F.col(risk).alias("_risk"), "type"),
+                         "_ts", unit, buckets)
     wb = Window.partitionBy("_b").orderBy("_ts", "id")
     rows = rows.withColumn("_next_in", F.lead("_ts").over(wb))
     # first timestamp of each bucket, and of the next non-empty bucket
