@@ -26,8 +26,9 @@ def contributions(enr: DataFrame) -> DataFrame:
     total = F.aggregate(F.map_values(stats), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     mal = F.coalesce(stats["malicious"], F.lit(0))
     rep = F.coalesce(vt["reputation"], F.lit(0))
+    keep = [c for c in ("enrichment_id",) if c in enr.columns]
     return enr.select(
-        "ioc_id", "enrichment_type",
+        "ioc_id", *keep, "enrichment_type",
         F.when(total > 0, mal / total * DETECTION_WEIGHT).otherwise(0.0).alias("detection"),
         F.when(rep < 0, F.least(F.abs(rep) / 100.0, F.lit(REPUTATION_CAP))).otherwise(0.0).alias("reputation"),
         F.when(geo["country_code"].isin(*HIGH_RISK_COUNTRIES), COUNTRY_BONUS).otherwise(0.0).alias("geo"))

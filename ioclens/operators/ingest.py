@@ -37,6 +37,23 @@ def upsert_iocs(iocs: DataFrame, accepted: DataFrame, as_of: Column, source: str
     return merge_upsert(cur, batch, ["type", "value"], rules=rules)
 
 
+def upsert_iocs_table(table: DataFrame, accepted: DataFrame, as_of: Column, source: str = "User Input") -> DataFrame:
+    """J2 on an already-merged IOC table (columns of ``upsert_iocs``)."""
+    batch = accepted.groupBy("type", "value").agg(F.count(F.lit(1)).alias("_n")) \
+        .select(F.lit(None).cast("bigint").alias("id"), "type", "value", F.lit(source).alias("source"),
+                fallback_score("type", "value").alias("risk_score"), as_of.alias("first_seen"), as_of.alias("last_seen"),
+                F.lit(True).alias("is_new"))
+    rules = {
+        "id": F.col("c.id"),
+        "source": F.coalesce(F.col("c.source"), F.col("u.source")),
+        "risk_score": F.coalesce(F.col("c.risk_score"), F.col("u.risk_score")),
+        "first_seen": F.coalesce(F.col("c.first_seen"), F.col("u.first_seen")),
+        "last_seen": F.col("u.last_seen"),
+        "is_new": F.coalesce(F.col("c.is_new"), F.lit(True)),
+    }
+    return merge_upsert(table, batch, ["type", "value"], rules=rules)
+
+
 def lifecycle_new_rows(new_iocs: DataFrame, as_of: Column) -> DataFrame:
     """L4: one 'new' lifecycle row per ingested indicator."""
     return new_iocs.select("type", "value", F.lit("new").alias("state"), as_of.alias("ts"))

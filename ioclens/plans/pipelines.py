@@ -15,7 +15,7 @@ from .ingest import FALLBACK_SQL, NORM
 from .registry import query
 
 
-@query("bulk_ingest", f"""WITH {NORM},
+BULK_SQL = f"""WITH {NORM},
 b AS (SELECT DISTINCT type, value FROM norm WHERE reject_reason IS NULL),
 now AS (SELECT max(created_at) AS t FROM ioc)
 SELECT i.id, i.type, i.value, i.source, i.risk_score, i.created_at AS first_seen,
@@ -23,7 +23,10 @@ SELECT i.id, i.type, i.value, i.source, i.risk_score, i.created_at AS first_seen
 FROM ioc i LEFT JOIN b ON i.type = b.type AND i.value = b.value
 UNION ALL
 SELECT NULL, b.type, b.value, 'User Input', {FALLBACK_SQL('b.type', 'b.value')}, (SELECT t FROM now), (SELECT t FROM now), true
-FROM b WHERE NOT EXISTS (SELECT 1 FROM ioc i WHERE i.type = b.type AND i.value = b.value)""")
+FROM b WHERE NOT EXISTS (SELECT 1 FROM ioc i WHERE i.type = b.type AND i.value = b.value)"""
+
+
+@query("bulk_ingest", BULK_SQL)
 def bulk_ingest(spark, sf_dir):
     """Raw inputs written as a bulk CSV (A21), scanned back (A1/A3),
     normalised and split (N15), deduplicated and merged into the IOC table

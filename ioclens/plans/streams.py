@@ -13,6 +13,11 @@ from .common import r6
 from .registry import query
 
 WM = "INTERVAL 10 MINUTES"
+
+
+def _bulk_sql():
+    from .pipelines import BULK_SQL   # same contract as the batch pipeline
+    return BULK_SQL
 MAX_TS = "(SELECT max(created_at) FROM ioc)"
 
 
@@ -90,3 +95,71 @@ def stream_lifecycle_transitions(spark, sf_dir):
 
 
 __all__ = ["F"]
+
+
+@query("stream_hourly_spikes", f"""WITH h AS (SELECT type, date_trunc('hour', created_at) AS hour, count(*) AS n FROM ioc GROUP BY 1, 2),
+c AS (SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= {MAX_TS} - {WM}),
+w AS (SELECT *, coalesce(avg(n) OVER p, 0.0) AS m, coalesce(stddev_pop(n) OVER p, 0.0) AS sd, count(*) OVER p AS k
+      FROM c WINDOW p AS (PARTITION BY type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT type, hour, n, round(m, 6) AS baseline_mean, round(sd, 6) AS baseline_std, k AS prior_hours,
+  k >= 24 AND n > m + 2 * sd AS is_spike FROM w""")
+def stream_hourly_spikes(spark, sf_dir):
+    """Per-type hourly spikes against the running baseline (custom
+    state with event-time timeouts)."""
+    out = J.run(J.hourly_spikes(S.ioc_stream(spark, sf_dir)), "spikes")
+    return out.withColumn("baseline_mean", r6("baseline_mean")).withColumn("baseline_std", r6("baseline_std"))
+
+
+@query("stream_monitored_rescore", """WITH j AS (SELECT e.id AS enrichment_id, e.ioc_id, e.enrichment_type, e.data
+  FROM enrichment e JOIN ioc i ON e.ioc_id = i.id AND e.created_at >= i.created_at AND e.created_at <= i.created_at + INTERVAL 1 HOUR
+  WHERE e.enrichment_type IN ('virustotal', 'geolocation', 'resolved_ip'))
+SELECT ioc_id, enrichment_id, enrichment_type,
+  round(CASE WHEN enrichment_type = 'virustotal' AND list_sum(map_values(vt.last_analysis_stats)) > 0
+       THEN coalesce(vt.last_analysis_stats['malicious'], 0) / list_sum(map_values(vt.last_analysis_stats)) * 0.8 ELSE 0.0 END, 6) AS detection,
+  round(CASE WHEN enrichment_type = 'virustotal' AND coalesce(vt.reputation, 0) < 0 THEN least(abs(vt.reputation) / 100.0, 0.5) ELSE 0.0 END, 6) AS reputation,
+  round(CASE WHEN enrichment_type = 'geolocation' AND json_extract_string(data, '$.country_code') IN ('RU', 'CN', 'IR', 'KP') THEN 0.2 ELSE 0.0 END, 6) AS geo
+FROM (SELECT *, CASE WHEN enrichment_type = 'virustotal' THEN
+        json_transform(data, '{"reputation": "INTEGER", "last_analysis_stats": "MAP(VARCHAR, INTEGER)"}') END AS vt FROM j) t""")
+def stream_monitored_rescore(spark, sf_dir):
+    """Stream-stream join of sightings and enrichments (one-hour range,
+    watermarks on both sides) with their risk contributions."""
+    out = J.run(J.monitored_rescore(S.ioc_stream(spark, sf_dir), S.enrichment_stream(spark, sf_dir)), "monitor")
+    return out.select("ioc_id", "enrichment_id", "enrichment_type", *[r6(c).alias(c) for c in ("detection", "reputation", "geo")])
+
+
+@query("stream_flow_scoring")
+def stream_flow_scoring(spark, sf_dir):
+    """A network pipeline fitted on the batch flow table scores the
+    flow stream (lineitem replayed as a stream)."""
+    from ..functions.network import NETWORK_FEATURES, network_features
+    from ..operators.ml import classifier_pipeline
+    feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
+    train = network_features(views.flow(spark, sf_dir)).withColumn("label", F.col("is_anomalous").cast("double"))
+    model = classifier_pipeline(feats, "lr", 10, label="label").fit(train)
+    return J.run(J.score_stream(S.flow_stream(spark, sf_dir), model), "flowscore")
+
+
+@query("stream_bulk_ingest", _bulk_sql())
+def stream_bulk_ingest(spark, sf_dir):
+    """Bulk CSV files landing in a drop folder are normalised and merged
+    into the IOC table per micro-batch (write-then-swap commit)."""
+    from ..operators import ingest as I
+    from ..session import scratch_path
+    from ..sources import sinks
+    drop, table_path = scratch_path(spark, "drops"), scratch_path(spark, "ioc-table")
+    raw = views.raw_inputs(spark, sf_dir).select(F.lit(None).cast("string").alias("type"), "value")
+    sinks.write_csv(raw.repartition(4), drop)
+    ioc = views.ioc(spark, sf_dir)
+    now = ioc.select(F.max("created_at")).first()[0]
+    empty = ioc.where(F.lit(False)).select("type", "value")
+    base = I.upsert_iocs(ioc, empty, F.lit(now))
+    sinks.commit_swap(spark, base, table_path)
+
+    def per_batch(batch, batch_id, _out):
+        acc, _ = I.split_batch(batch, "value", "type")
+        cur = spark.read.parquet(table_path)
+        merged = I.upsert_iocs_table(cur, acc, F.lit(now))
+        sinks.commit_swap(spark, merged, table_path)
+
+    J.run_batches(S.bulk_drops(spark, drop, fmt="csv"), "bulk", per_batch)
+    return spark.read.parquet(table_path)

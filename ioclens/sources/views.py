@@ -160,7 +160,12 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     reputation stats for ip/domain/hash sightings, geolocation for ip,
     resolved address for domain; none for signups.  ``data`` is JSON text
     (a plain string for resolved_ip)."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+    return enrichment_from_events(table(spark, sf_dir, "events"))
+
+
+def enrichment_from_events(e: DataFrame) -> DataFrame:
+    """The enrichment projection of an events DataFrame (batch or stream)."""
+    e = e.where(F.col("event_type") != "signup")
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("user_id") % 5
     s = lambda c: c.cast("string")

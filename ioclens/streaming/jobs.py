@@ -147,3 +147,69 @@ def lifecycle_state_machine(lifecycle: DataFrame) -> DataFrame:
 
 __all__ = ["run", "run_batches", "hourly_counts", "sliding_counts", "session_bursts", "lateral_windows",
            "dedupe_keys", "rule_alert_batches", "lifecycle_state_machine", "SparkSession"]
+
+
+# --------------------------------------------------------- spike detection
+SPIKE_OUT = "type string, hour timestamp, n long, baseline_mean double, baseline_std double, prior_hours long, is_spike boolean"
+SPIKE_STATE = "pending_hours array<long>, pending_counts array<long>, k long, s double, s2 double"
+HOUR_MS = 3_600_000
+
+
+def _spike_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per type: hourly counts are buffered until the watermark passes the
+    hour's end; each closed hour is compared with the running mean + 2 std
+    of all earlier closed hours (needs >= 24), then folded into the running
+    (k, sum, sum of squares)."""
+    if state.exists:
+        ph, pc, k, s, s2 = state.get
+        pending = dict(zip(list(ph), list(pc)))
+    else:
+        pending, k, s, s2 = {}, 0, 0.0, 0.0
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            hrs = (pd.to_datetime(pdf["created_at"]).astype("int64") // 1_000_000 // HOUR_MS) * HOUR_MS
+            for h, c in hrs.value_counts().items():
+                pending[int(h)] = pending.get(int(h), 0) + int(c)
+    wm = state.getCurrentWatermarkMs()
+    out = []
+    for h in sorted(pending):
+        if h + HOUR_MS > wm:
+            break
+        n = pending.pop(h)
+        mean = s / k if k else 0.0
+        std = max(s2 / k - mean * mean, 0.0) ** 0.5 if k else 0.0
+        out.append((key[0], pd.Timestamp(h, unit="ms"), n, mean, std, k, bool(k >= 24 and n > mean + 2 * std)))
+        k, s, s2 = k + 1, s + n, s2 + n * n
+    state.update((list(pending), [pending[h] for h in pending], k, s, s2))
+    if pending:
+        state.setTimeoutTimestamp(min(pending) + HOUR_MS + 1)
+    yield pd.DataFrame(out, columns=["type", "hour", "n", "baseline_mean", "baseline_std", "prior_hours", "is_spike"])
+
+
+def hourly_spikes(iocs: DataFrame) -> DataFrame:
+    """Spike detection against a trailing baseline, with custom state
+    (running count, sum, sum of squares per type) and event-time timeouts."""
+    return iocs.withWatermark("created_at", WATERMARK).groupBy("type").applyInPandasWithState(
+        _spike_fn, SPIKE_OUT, SPIKE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ------------------------------------------------- stream-stream join
+def monitored_rescore(iocs: DataFrame, enrichments: DataFrame) -> DataFrame:
+    """Sightings joined with enrichments arriving within an hour of
+    them (both sides watermarked), with the risk contributions (R1-R3)."""
+    from ..operators.enrich import contributions
+    i = iocs.select(F.col("id").alias("ioc_id"), "type", F.col("created_at").alias("seen_at")).withWatermark("seen_at", "1 hour")
+    e = enrichments.withWatermark("created_at", "1 hour").alias("e")
+    j = e.join(i, (F.col("e.ioc_id") == i.ioc_id) & (F.col("e.created_at") >= F.col("seen_at"))
+               & (F.col("e.created_at") <= F.col("seen_at") + F.expr("INTERVAL 1 HOUR")), "inner")
+    j = j.select(i.ioc_id.alias("ioc_id"), F.col("e.id").alias("enrichment_id"), F.col("e.enrichment_type").alias("enrichment_type"),
+                 F.col("e.data").alias("data"))
+    return contributions(j).withColumn("enrichment_id", F.col("enrichment_id"))
+
+
+# ------------------------------------------------------ streaming scoring
+def score_stream(flows: DataFrame, model) -> DataFrame:
+    """Apply a fitted pipeline to a stream."""
+    from ..functions.network import network_features
+    out = model.transform(network_features(flows))
+    return out.select("l_orderkey", "l_linenumber", F.col("prediction").cast("int").alias("prediction"))

@@ -39,3 +39,28 @@ def bulk_drops(spark: SparkSession, folder: str, fmt: str = "json") -> DataFrame
     if fmt == "json":
         return r.option("multiLine", True).json(folder)
     return r.option("header", True).csv(folder)
+
+
+LINEITEM_SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                   "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                   "l_linestatus string, l_shipdate timestamp_ntz")
+
+
+def enrichment_stream(spark, sf_dir):
+    """Enrichment payloads derived from the events stream (same rule as the
+    batch view)."""
+    return views.enrichment_from_events(events(spark, sf_dir))
+
+
+def flow_stream(spark, sf_dir):
+    """lineitem.parquet replayed as a stream of flows."""
+    from pyspark.sql import functions as F
+    li = (spark.readStream.schema(LINEITEM_SCHEMA).option("pathGlobFilter", "lineitem.parquet")
+          .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.floor("l_quantity").cast("bigint").alias("packet_count"),
+        F.floor("l_extendedprice").cast("bigint").alias("bytes_transferred"),
+        (F.col("l_tax") * 100).alias("duration_seconds"),
+        F.col("l_linenumber").alias("connection_count"),
+        (F.floor(F.col("l_discount") * 100 + 0.5).cast("bigint") % 3).alias("failed_connections"))
