@@ -276,7 +276,7 @@ def kmeans_clusters(feats: DataFrame, seed: int = 42) -> DataFrame:
     returns rows with a ``cluster`` column."""
     n = feats.count()   # k depends on n: one count action
     if n < CLUSTER_MIN_ROWS:
-        return feats.withColumn("cluster", F.lit(None).cast("int")).limit(0)
+        return feats.withColumn("cluster", F.lit(None).cast("int")).where(F.lit(False))
     k = min(CLUSTER_MAX_K, n // 2)
     cols = ["type_code", "value_length", "risk", "enrichment_count", "age_days"]
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw"),

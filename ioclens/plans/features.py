@@ -290,3 +290,43 @@ def q_network_text_features(spark, sf_dir):
     d = d.where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 3)
     out = network_features(network_text_flows(d, "text")).drop("text")
     return _round_doubles(out, NETWORK_FEATURES + ["duration_seconds"])
+
+
+def _explain_sql():
+    from .ingest import FALLBACK_SQL
+    lines = ["'AI Analysis Result for URL IOC'", "'" + "=" * 50 + "'", "''", "'IOC Details:'", "'- Type: ' || type",
+             "'- Value: ' || value", "'- Source: Unknown'", "'- First Seen: Unknown'", "'- Last Seen: Unknown'", "''",
+             "'Prediction: UNKNOWN'", "'Confidence: 0.5000 (50.0%)'", "''", "'Key Features Analyzed:'",
+             "'- url_length: ' || cast(url_length AS varchar)",
+             "'- suspicious_keyword_count: ' || cast(suspicious_keyword_count AS varchar)", "''", "'Analysis Summary:'",
+             "'- Unable to make a confident classification. Further analysis recommended.'"]
+    kw = S.n_contained("lower(value)", URL_KEYWORDS)
+    return f"""WITH {NORM},
+u AS (SELECT origin, ref_id, type, value, length(value) AS url_length, {kw} AS suspicious_keyword_count
+      FROM norm WHERE type = 'url' AND reject_reason IS NULL)
+SELECT origin, ref_id, value, 'fallback' AS model_name, 'unknown' AS prediction, 0.5 AS confidence,
+  {FALLBACK_SQL('type', 'value')} AS risk_score,
+  concat_ws(chr(10), {', '.join(lines)}) AS explanation,
+  '{{"ioc_type":"' || type || '","value":"' || value || '","model_used":"fallback","confidence":0.5,"url_length":'
+    || cast(url_length AS varchar) || ',"suspicious_keyword_count":' || cast(suspicious_keyword_count AS varchar) || '}}' AS features_used
+FROM u"""
+
+
+@query("url_prediction_texts", _explain_sql())
+def url_prediction_texts(spark, sf_dir):
+    """M14/E7/XG11/R6: fallback predictions for URL indicators (no URL model
+    is trained on this data) with the text explanation and the
+    features-used JSON."""
+    from ..functions.risk import fallback_score
+    from ..operators.explain import features_json, text_explanation  # noqa: I001
+    u = accepted(spark, sf_dir, "url").select("origin", "ref_id", "type", "value")
+    f = url_features(u, "value", only=["url_length", "suspicious_keyword_count"])
+    f = f.select("*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("first_seen"),
+                 F.lit(None).cast("string").alias("last_seen"), F.lit("fallback").alias("model_name"),
+                 F.lit("unknown").alias("prediction"), F.lit(0.5).alias("confidence"),
+                 fallback_score("type", "value").alias("risk_score"))
+    t = text_explanation(f, [("url_length", False), ("suspicious_keyword_count", False)], "url")
+    fj = features_json(["ioc_type", "value", "model_used", "confidence", "url_length", "suspicious_keyword_count"])
+    t = t.withColumn("ioc_type", F.col("type")).withColumn("model_used", F.lit("fallback"))
+    return t.select("origin", "ref_id", "value", "model_name", "prediction", "confidence", "risk_score", "explanation",
+                    fj.alias("features_used"))

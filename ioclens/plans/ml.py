@@ -158,8 +158,11 @@ def network_model_training(spark, sf_dir):
     res, model, kind = M.train_select(data, feats, "label", k=10)
     pred = model.transform(data.where(F.col("split") == "test"))
     cm = M.confusion_metrics(pred.withColumn("p", F.col("prediction").cast("int")).withColumn("y", F.col("label").cast("int")), "y", "p")
-    cm = cm.withColumn("warnings", F.array_join(M.quality_warnings(cm, network=True), ","))
-    best = cm.select(F.lit(kind).alias("model"), "accuracy", "precision", "recall", "f1", "warnings")
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC").evaluate(pred)
+    cm = cm.withColumn("roc_auc", F.lit(float(auc)))
+    cm = cm.withColumn("warnings", F.array_join(M.quality_warnings(cm, auc=F.col("roc_auc"), network=True), ","))
+    best = cm.select(F.lit(kind).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc", "warnings")
     return res.join(best, "model", "left")
 
 

@@ -152,3 +152,10 @@ LEFT JOIN ioc i ON m.ioc_id = i.id WHERE m.rank <= 100""")
 def account_threats(spark, sf_dir):
     """First 100 mappings of every account with IOC details."""
     return A.account_threats(views.mapping(spark, sf_dir), views.ioc(spark, sf_dir))
+
+
+@query("risk_percentages", """SELECT id, type, printf('%.1f%%', cast(risk_score AS double) * 100) AS risk_text FROM ioc""")
+def risk_percentages(spark, sf_dir):
+    """Risk score as percentage text with one decimal."""
+    i = views.ioc(spark, sf_dir)
+    return i.select("id", "type", F.format_string("%.1f%%", F.col("risk_score").cast("double") * 100).alias("risk_text"))
