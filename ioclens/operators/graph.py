@@ -80,7 +80,14 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) for every node touching an edge; the component
-    id is the smallest node id in it.  Raises if not converged."""
+    id is the smallest node id in it.  Raises if not converged.
+
+    Each round propagates the smallest neighbour label and then follows
+    labels one hop (pointer jumping).  The propagated labels are persisted
+    once (the jump reads them twice) and every round's result is
+    checkpointed to the shared folder, so lineage never spans a round and a
+    lost executor replays at most one round."""
+    from pyspark import StorageLevel
     spark = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
@@ -90,16 +97,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     labels = adj.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).withColumnRenamed("u", "id")
     labels = labels.checkpoint(eager=True)
     prev = labels.agg(F.sum("label")).first()[0]
-    for _ in range(max_rounds):
+    for r in range(1, max_rounds + 1):
         lab = labels.select(F.col("id").alias("v"), F.col("label").alias("nl"))
         prop = adj.join(lab, "v").groupBy("u").agg(F.min("nl").alias("m"))
         step = labels.join(prop.withColumnRenamed("u", "id"), "id", "left") \
-            .select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
+            .select("id", F.least("label", F.coalesce("m", "label")).alias("label")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         # pointer jumping: follow the label to its own label
         jump = step.alias("x").join(step.alias("y"), F.col("x.label") == F.col("y.id"), "left") \
             .select(F.col("x.id").alias("id"), F.least(F.col("x.label"), F.coalesce(F.col("y.label"), F.col("x.label"))).alias("label"))
         labels = jump.checkpoint(eager=True)
+        step.unpersist()
         cur = labels.agg(F.sum("label")).first()[0]   # labels only decrease: equal sum <=> no change
+        connected_components.rounds = r
         if cur == prev:
             return labels.withColumnRenamed("label", "component")
         prev = cur

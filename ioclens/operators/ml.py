@@ -309,7 +309,7 @@ def campaigns(profiles: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ text
-def text_pipeline(label: str = "label", num_features: int = 1 << 18) -> Pipeline:
+def text_pipeline(label: str = "label", num_features: int = 1 << 16) -> Pipeline:
     """Tokenizer -> HashingTF -> IDF -> LogisticRegression."""
     return Pipeline(stages=[Tokenizer(inputCol="text", outputCol="tokens"),
                             HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),

@@ -166,6 +166,13 @@ def network_model_training(spark, sf_dir):
     return res.join(best, "model", "left")
 
 
+def _network_rf(spark, sf_dir, data, feats):
+    """The network random forest fitted on the train split (stored once)."""
+    from ..operators.models import fitted
+    return fitted(spark, (sf_dir, "network_rf"), lambda: M.classifier_pipeline(feats, "rf", 10, label="label", maxDepth=8)
+                  .fit(data.where(F.col("split") == "train")))
+
+
 @query("network_scoring")
 def network_scoring(spark, sf_dir):
     """Fit the network pipeline (random forest) on the train split
@@ -173,7 +180,7 @@ def network_scoring(spark, sf_dir):
     data = _flow_training_set(spark, sf_dir)
     feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
     data = data.checkpoint(eager=True)
-    model = M.classifier_pipeline(feats, "rf", 10, label="label", maxDepth=8).fit(data.where(F.col("split") == "train"))
+    model = _network_rf(spark, sf_dir, data, feats)
     out = M.predict_with(model, data)
     verdict = F.when(F.col("prediction") == 1.0, "malicious").otherwise("benign")
     return out.select("l_orderkey", "l_linenumber", "split", F.col("label").cast("int").alias("label"),
@@ -184,9 +191,8 @@ def network_scoring(spark, sf_dir):
 @query("network_feature_ranking")
 def network_feature_ranking(spark, sf_dir):
     """Top features of the fitted network random forest."""
-    data = _flow_training_set(spark, sf_dir).where(F.col("split") == "train")
     feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
-    model = M.classifier_pipeline(feats, "rf", 10, label="label", maxDepth=8).fit(data.checkpoint(eager=True))
+    model = _network_rf(spark, sf_dir, _flow_training_set(spark, sf_dir), feats)
     return M.feature_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature").limit(10)
 
 
@@ -209,9 +215,10 @@ def campaigns(spark, sf_dir):
 
 
 def _text_model(spark, sf_dir):
+    from ..operators.models import fitted
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lb = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
-    return M.text_pipeline().fit(docs.join(lb, "doc_id")), docs
+    return fitted(spark, (sf_dir, "report_text"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id"))), docs
 
 
 @query("report_classification")

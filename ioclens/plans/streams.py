@@ -135,7 +135,8 @@ def stream_flow_scoring(spark, sf_dir):
     from ..operators.ml import classifier_pipeline
     feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
     train = network_features(views.flow(spark, sf_dir)).withColumn("label", F.col("is_anomalous").cast("double"))
-    model = classifier_pipeline(feats, "lr", 10, label="label").fit(train)
+    from ..operators.models import fitted
+    model = fitted(spark, (sf_dir, "network_lr"), lambda: classifier_pipeline(feats, "lr", 10, label="label").fit(train))
     return J.run(J.score_stream(S.flow_stream(spark, sf_dir), model), "flowscore")
 
 
