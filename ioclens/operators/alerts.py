@@ -36,3 +36,31 @@ def cross_source_boost(iocs: DataFrame) -> DataFrame:
     return j.select("id", "type", "value", "source", base.alias("risk_score"),
                     F.when(F.col("_n") > 1, others).otherwise(0).alias("other_sources"),
                     F.when(F.col("_n") > 1, boosted).otherwise(base).alias("boosted_score"))
+
+
+def acknowledge(alerts: DataFrame, updates: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Apply (id, acknowledged, user_id) updates: set or clear who and
+    when; returns (alerts, log rows)."""
+    u = updates.select("id", F.col("acknowledged").alias("_ack"), F.col("user_id").alias("_by"))
+    j = alerts.join(u, "id", "left")
+    hit = F.col("_ack").isNotNull()
+    out = j.select(*[c for c in alerts.columns if c not in ("acknowledged", "acknowledged_by", "acknowledged_at")],
+                   F.when(hit, F.col("_ack")).otherwise(F.col("acknowledged")).alias("acknowledged"),
+                   F.when(hit, F.when(F.col("_ack"), F.col("_by"))).otherwise(
+                       F.col("acknowledged_by") if "acknowledged_by" in alerts.columns else F.lit(None).cast("long")).alias("acknowledged_by"),
+                   F.when(hit, F.when(F.col("_ack"), F.lit(now))).otherwise(
+                       F.col("acknowledged_at") if "acknowledged_at" in alerts.columns else F.lit(None).cast("timestamp")).alias("acknowledged_at"))
+    logs = updates.join(alerts.select("id"), "id", "left_semi").select(
+        F.col("id").alias("alert_id"), F.when(F.col("acknowledged"), "acknowledged").otherwise("unacknowledged").alias("action"),
+        "user_id", F.lit(now).alias("timestamp"))
+    return out, logs
+
+
+def create_alerts(requests: DataFrame, iocs: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """New alerts only for existing IOCs (semi join), severity
+    defaulting to 'medium'; returns (alerts, 'created' log rows)."""
+    ok = requests.join(iocs.select(F.col("id").alias("ioc_id")), "ioc_id", "left_semi")
+    a = ok.withColumn("severity", F.coalesce(F.nullif(F.col("severity"), F.lit("")), F.lit("medium"))) \
+          .withColumn("acknowledged", F.lit(False)).withColumn("created_at", F.lit(now))
+    logs = a.select(F.col("id").alias("alert_id"), F.lit("created").alias("action"), F.lit(now).alias("timestamp"))
+    return a, logs

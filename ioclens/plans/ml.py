@@ -247,3 +247,13 @@ def conversation_attribution(spark, sf_dir):
     probs = vector_to_array("probability")
     return scored.select("conv_id", "turns", F.when(F.col("prediction") == 1.0, "toxic").otherwise("benign").alias("label_text"),
                          F.array_max(probs).alias("score"))
+
+
+@query("segment_label_codes", """SELECT c_custkey, c_mktsegment, cast(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS double) AS c_mktsegment_encoded
+FROM customer WHERE c_custkey IS NOT NULL AND c_name IS NOT NULL AND c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL""")
+def segment_label_codes(spark, sf_dir):
+    """W8/M21/XG3: a registered dataset (customer) preprocessed: NULL rows
+    dropped, string features encoded with alphabetical codes."""
+    from ..operators.datasets import preprocess
+    d, _ = preprocess(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_acctbal"], None)
+    return d.select("c_custkey", "c_mktsegment", "c_mktsegment_encoded")
