@@ -13,9 +13,10 @@ KEYS = ["threat_input_id", "ioc_id"]
 
 
 def history(lc: DataFrame) -> DataFrame:
-    """Every entry with its ordinal inside its threat (time, then id)."""
-    w = Window.partitionBy(*KEYS).orderBy("ts", "id")
-    return lc.withColumn("seq", F.row_number().over(w))
+    """Every entry with its ordinal inside its threat (time, then id),
+    ordered in time buckets so a hot threat is not sorted by one task."""
+    from .sequences import rank_and_previous
+    return rank_and_previous(lc, KEYS, "ts", "id", "state").drop("prev")
 
 
 def latest(lc: DataFrame, null_safe: bool = False) -> DataFrame:
@@ -26,8 +27,9 @@ def latest(lc: DataFrame, null_safe: bool = False) -> DataFrame:
     ``null_safe`` keeps NULL keys (<=>) and breaks ties by the larger id.
     """
     if null_safe:
-        w = Window.partitionBy(*KEYS).orderBy(F.col("ts").desc(), F.col("id").desc())
-        return lc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        # an aggregate (partial per task), not a sorted window per threat
+        last = F.max_by(F.struct(*[F.col(c) for c in lc.columns]), F.struct("ts", "id"))
+        return lc.groupBy(*KEYS).agg(last.alias("_l")).select(*[F.col(f"_l.{c}").alias(c) for c in lc.columns])
     mx = lc.groupBy(*KEYS).agg(F.max("ts").alias("_max_ts"))
     a, m = lc.alias("a"), mx.alias("m")
     cond = (F.col("a.threat_input_id") == F.col("m.threat_input_id")) & \
@@ -65,9 +67,8 @@ def allowed_map():
 def transitions(lc: DataFrame) -> DataFrame:
     """Classify each entry against the previous state of its threat:
     ``valid``, ``noop`` (same state) or ``invalid`` (first must be 'new')."""
-    w = Window.partitionBy(*KEYS).orderBy("ts", "id")
-    prev = F.lag("state").over(w)
-    df = lc.withColumn("prev_state", prev)
+    from .sequences import rank_and_previous
+    df = rank_and_previous(lc, KEYS, "ts", "id", "state").withColumnRenamed("prev", "prev_state").drop("seq")
     ok = F.when(F.col("prev_state").isNull(), F.col("state") == "new") \
           .otherwise(F.array_contains(allowed_map()[F.col("prev_state")], F.col("state")))
     verdict = F.when(F.col("prev_state") == F.col("state"), "noop").when(ok, "valid").otherwise("invalid")
@@ -88,9 +89,10 @@ def reject_unknown_states(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def top_per_state(latest_rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` newest latest-entries per state."""
-    w = Window.partitionBy("state").orderBy(F.col("ts").desc(), F.col("id").desc())
-    return latest_rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    """At most ``limit`` newest latest-entries per state (five states =
+    five hot groups, so a two-level top-n)."""
+    from .topn import top_n
+    return top_n(latest_rows, ["state"], [F.col("ts").desc(), F.col("id").desc()], limit, ["id"])
 
 
 __all__ = ["history", "latest", "state_counts", "avg_time_in_state", "transitions", "input_status",

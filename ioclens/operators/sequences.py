@@ -111,3 +111,37 @@ def bursts(iocs: DataFrame, ts: str = "created_at", risk: str = "risk_score", fl
                     ((micros("end_time") - micros("start_time")) / 6e7).alias("duration_minutes"),
                     "ioc_count", "avg_risk", "ioc_types",
                     F.when(F.col("ioc_count") >= BURST_HIGH_SEVERITY, "high").otherwise("medium").alias("severity"))
+
+
+def _eq_null_safe(a: DataFrame, b: DataFrame, cols: list[str]):
+    cond = None
+    for c in cols:
+        x = a[c].eqNullSafe(b[c])
+        cond = x if cond is None else (cond & x)
+    return cond
+
+
+def rank_and_previous(df: DataFrame, keys: list[str], ts: str, tie: str, value: str,
+                      unit: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Per key (NULL keys form their own group), ordered by (ts, tie): the
+    1-based ordinal ``seq`` and the previous row's ``value`` as ``prev``.
+
+    Rows are split into event-time buckets (deterministic, balanced by
+    quantiles), ordered inside (key, bucket); ordinals continue from the
+    earlier buckets' counts and the first row of a bucket takes the last
+    value of the key's previous non-empty bucket -- both from a summary
+    with one row per (key, bucket).  A key holding a third of the rows is
+    thus ordered by many tasks, not one."""
+    b = _time_buckets(df, ts, unit, buckets)
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
+    rows = b.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
+    summ = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max_by(value, F.struct(ts, tie)).alias("_last"))
+    wk = Window.partitionBy(*keys).orderBy("_b")
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+               .withColumn("_prev_last", F.lag("_last").over(wk)).drop("_n", "_last")
+    s = summ.alias("s")
+    r = rows.alias("r")
+    j = r.join(s, _eq_null_safe(r, s, [*keys, "_b"]), "inner")
+    out_cols = [F.col(f"r.{c}") for c in df.columns]
+    return j.select(*out_cols, (F.col("s._off") + F.col("r._rn")).alias("seq"),
+                    F.when(F.col("r._rn") == 1, F.col("s._prev_last")).otherwise(F.col("r._lag")).alias("prev"))
