@@ -104,10 +104,11 @@ w AS (SELECT *, coalesce(avg(n) OVER p, 0.0) AS m, coalesce(stddev_pop(n) OVER p
 SELECT type, hour, n, round(m, 6) AS baseline_mean, round(sd, 6) AS baseline_std, k AS prior_hours,
   k >= 24 AND n > m + 2 * sd AS is_spike FROM w""")
 def stream_hourly_spikes(spark, sf_dir):
-    """Per-type hourly spikes against the running baseline (custom
-    state with event-time timeouts)."""
-    out = J.run(J.hourly_spikes(S.ioc_stream(spark, sf_dir)), "spikes")
-    return out.withColumn("baseline_mean", r6("baseline_mean")).withColumn("baseline_std", r6("baseline_std"))
+    """Per-type hourly spikes against the running baseline (state kept
+    in small tables; micro-batches pre-aggregated to hourly counts)."""
+    out = spark.read.parquet(J.hourly_spikes(S.ioc_stream(spark, sf_dir)) + "/spikes").drop("batch")
+    return out.select("type", F.col("hour").cast("timestamp_ntz").alias("hour"), "n", r6("baseline_mean").alias("baseline_mean"),
+                      r6("baseline_std").alias("baseline_std"), "prior_hours", "is_spike")
 
 
 @query("stream_monitored_rescore", """WITH j AS (SELECT e.id AS enrichment_id, e.ioc_id, e.enrichment_type, e.data

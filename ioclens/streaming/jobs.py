@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -150,47 +150,63 @@ __all__ = ["run", "run_batches", "hourly_counts", "sliding_counts", "session_bur
 
 
 # --------------------------------------------------------- spike detection
-SPIKE_OUT = "type string, hour timestamp, n long, baseline_mean double, baseline_std double, prior_hours long, is_spike boolean"
-SPIKE_STATE = "pending_hours array<long>, pending_counts array<long>, k long, s double, s2 double"
-HOUR_MS = 3_600_000
-
-
-def _spike_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per type: hourly counts are buffered until the watermark passes the
-    hour's end; each closed hour is compared with the running mean + 2 std
-    of all earlier closed hours (needs >= 24), then folded into the running
-    (k, sum, sum of squares)."""
-    if state.exists:
-        ph, pc, k, s, s2 = state.get
-        pending = dict(zip(list(ph), list(pc)))
-    else:
-        pending, k, s, s2 = {}, 0, 0.0, 0.0
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            hrs = (pd.to_datetime(pdf["created_at"]).astype("int64") // 1_000_000 // HOUR_MS) * HOUR_MS
-            for h, c in hrs.value_counts().items():
-                pending[int(h)] = pending.get(int(h), 0) + int(c)
-    wm = state.getCurrentWatermarkMs()
-    out = []
-    for h in sorted(pending):
-        if h + HOUR_MS > wm:
-            break
-        n = pending.pop(h)
-        mean = s / k if k else 0.0
-        std = max(s2 / k - mean * mean, 0.0) ** 0.5 if k else 0.0
-        out.append((key[0], pd.Timestamp(h, unit="ms"), n, mean, std, k, bool(k >= 24 and n > mean + 2 * std)))
-        k, s, s2 = k + 1, s + n, s2 + n * n
-    state.update((list(pending), [pending[h] for h in pending], k, s, s2))
-    if pending:
-        state.setTimeoutTimestamp(min(pending) + HOUR_MS + 1)
-    yield pd.DataFrame(out, columns=["type", "hour", "n", "baseline_mean", "baseline_std", "prior_hours", "is_spike"])
-
-
-def hourly_spikes(iocs: DataFrame) -> DataFrame:
-    """Spike detection against a trailing baseline, with custom state
-    (running count, sum, sum of squares per type) and event-time timeouts."""
-    return iocs.withWatermark("created_at", WATERMARK).groupBy("type").applyInPandasWithState(
-        _spike_fn, SPIKE_OUT, SPIKE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+DELAY_US = 10 * 60 * 1_000_000
+
+
+def hourly_spikes(iocs: DataFrame, name: str = "spikes") -> str:
+    """Per-type hourly spikes against the trailing baseline of all
+    earlier closed hours (mean + 2 std, needs >= 24 hours).
+
+    Each micro-batch is first reduced to (type, hour) counts -- a partial
+    aggregation across tasks, so a hot type never lands raw in one task.
+    The state is two small tables under the output folder: pending counts
+    of hours still open under the watermark, and the running (k, sum, sum
+    of squares) per type.  Hours close when max event time - 10 minutes
+    passes their end; closed hours are scored in order with window sums
+    over the few closed rows, and appended to ``<out>/spikes``."""
+    from ..functions.timeutil import micros
+    from ..sources import sinks
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        fs_exists = spark._jvm.org.apache.hadoop.fs.Path(out + "/pending").getFileSystem(
+            spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(out + "/pending"))
+        counts = batch.groupBy("type", F.date_trunc("hour", "created_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+        seen = batch.agg(F.max(micros("created_at")).alias("m"))
+        if fs_exists:
+            pending = spark.read.parquet(out + "/pending")
+            stats = spark.read.parquet(out + "/stats")
+            wm_prev = spark.read.parquet(out + "/wm")
+        else:
+            pending = spark.createDataFrame([], "type string, hour timestamp, n long")
+            stats = spark.createDataFrame([], "type string, k long, s double, s2 double")
+            wm_prev = spark.createDataFrame([], "m long")
+        wm_tab = wm_prev.unionByName(seen).agg(F.max("m").alias("m"))
+        wm = wm_tab.select("m").scalar() - DELAY_US
+        allc = pending.unionByName(counts).groupBy("type", "hour").agg(F.sum("n").alias("n"))
+        closed = allc.where(micros("hour") + 3_600_000_000 <= wm)
+        still = allc.where(~(micros("hour") + 3_600_000_000 <= wm))
+        w = Window.partitionBy("type").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+        j = closed.join(stats, "type", "left").select(
+            "type", "hour", "n",
+            (F.coalesce("k", F.lit(0)) + F.coalesce(F.count(F.lit(1)).over(w), F.lit(0))).alias("_k"),
+            (F.coalesce("s", F.lit(0.0)) + F.coalesce(F.sum("n").over(w), F.lit(0)).cast("double")).alias("_s"),
+            (F.coalesce("s2", F.lit(0.0)) + F.coalesce(F.sum(F.col("n") * F.col("n")).over(w), F.lit(0)).cast("double")).alias("_s2"))
+        mean = F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")).otherwise(0.0)
+        std = F.when(F.col("_k") > 0, F.sqrt(F.greatest(F.col("_s2") / F.col("_k") - mean * mean, F.lit(0.0)))).otherwise(0.0)
+        scored = j.select("type", "hour", "n", mean.alias("baseline_mean"), std.alias("baseline_std"),
+                          F.col("_k").alias("prior_hours"),
+                          ((F.col("_k") >= 24) & (F.col("n") > mean + 2 * std)).alias("is_spike"))
+        scored.write.mode("overwrite").parquet(f"{out}/spikes/batch={batch_id}")
+        new_stats = stats.unionByName(closed.groupBy("type").agg(
+            F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("s"),
+            F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))).groupBy("type").agg(
+            F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
+        sinks.commit_swap(spark, new_stats, out + "/stats")
+        sinks.commit_swap(spark, still, out + "/pending")
+        sinks.commit_swap(spark, wm_tab, out + "/wm")
+
+    return run_batches(iocs, name, per_batch)
 
 
 # ------------------------------------------------- stream-stream join
