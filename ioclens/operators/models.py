@@ -27,3 +27,19 @@ def fitted(spark: SparkSession, key: tuple, fit: Callable[[], PipelineModel]) ->
     model.write().overwrite().save(path)
     _PATHS[k] = path
     return model
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build):
+    """A derived table computed once per application and key, written to
+    the shared checkpoint folder and read back by every query that needs
+    it (e.g. component labels used by profiles and member lists)."""
+    k = (spark.sparkContext.applicationId, *key)
+    path = _TABLES.get(k)
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{abs(hash(k)):x}"
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)

@@ -31,6 +31,12 @@ def _explicit(spark, sf_dir):
     return G.explicit_edges(views.relationship(spark, sf_dir), _nodes(spark, sf_dir))
 
 
+def _components(spark, sf_dir):
+    """Component labels of the explicit graph, computed once per dataset."""
+    from ..operators.models import materialized
+    return materialized(spark, (sf_dir, "components"), lambda: G.connected_components(_explicit(spark, sf_dir)))
+
+
 @query("graph_edges", f"WITH {EDGES_SQL} SELECT src, dst, relationship_type, round(confidence, 6) AS confidence FROM edges")
 def graph_edges(spark, sf_dir):
     """Explicit edges, canonical, both ends known, one per pair."""
@@ -45,7 +51,7 @@ FROM comp c LEFT JOIN ioc i ON c.id = i.id GROUP BY 1 HAVING count(*) >= 3""")
 def components(spark, sf_dir):
     """Connected components (>= 3 nodes) with their profiles."""
     nodes = _nodes(spark, sf_dir)
-    members = G.connected_components(_explicit(spark, sf_dir))
+    members = _components(spark, sf_dir)
     return G.component_profiles(members, nodes).withColumn("avg_risk_score", r6("avg_risk_score"))
 
 
@@ -56,7 +62,7 @@ WHERE c.component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= 3
 def component_members(spark, sf_dir):
     """Members of every component with >= 3 nodes, as rows (no lists)."""
     nodes = _nodes(spark, sf_dir)
-    m = G.connected_components(_explicit(spark, sf_dir))
+    m = _components(spark, sf_dir)
     big = m.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("component")
     m = m.join(big, "component", "left_semi")
     return m.join(nodes.select("id", "type", "value", F.col("risk_score").cast("double").alias("risk_score")), "id", "left") \

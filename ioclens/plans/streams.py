@@ -130,14 +130,12 @@ def stream_monitored_rescore(spark, sf_dir):
 
 @query("stream_flow_scoring")
 def stream_flow_scoring(spark, sf_dir):
-    """A network pipeline fitted on the batch flow table scores the
-    flow stream (lineitem replayed as a stream)."""
-    from ..functions.network import NETWORK_FEATURES, network_features
-    from ..operators.ml import classifier_pipeline
+    """The network random forest (fitted once on the batch flow
+    table's train split) scores the flow stream (lineitem replayed)."""
+    from ..functions.network import NETWORK_FEATURES
+    from .ml import _flow_training_set, _network_rf
     feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
-    train = network_features(views.flow(spark, sf_dir)).withColumn("label", F.col("is_anomalous").cast("double"))
-    from ..operators.models import fitted
-    model = fitted(spark, (sf_dir, "network_lr"), lambda: classifier_pipeline(feats, "lr", 10, label="label").fit(train))
+    model = _network_rf(spark, sf_dir, _flow_training_set(spark, sf_dir), feats)
     return J.run(J.score_stream(S.flow_stream(spark, sf_dir), model), "flowscore")
 
 
