@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
-TRAINING = {"network_model_training"}
+TRAINING = {"network_model_training", "model_comparison"}
 
 
 def main() -> None:

@@ -147,23 +147,57 @@ def _flow_training_set(spark, sf_dir):
     return s.coalesce(max(1, spark.sparkContext.defaultParallelism))
 
 
+def _metrics_dir(spark, sf_dir):
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/metrics/{abs(hash((spark.sparkContext.applicationId, sf_dir))):x}"
+
+
+def _training_results(spark, sf_dir):
+    """One model selection per dataset: results table materialised in the
+    shared folder, per-model metrics JSON (A22) and a report (A23) next to it."""
+    import time as _t
+    from ..operators.datasets import save_metrics, save_report
+    from ..operators.models import materialized
+
+    def build():
+        t0 = _t.perf_counter()
+        data = _flow_training_set(spark, sf_dir)
+        feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
+        res, model, kind = M.train_select(data, feats, "label", k=10, kinds=("lr", "rf", "gbt"))
+        pred = model.transform(data.where(F.col("split") == "test"))
+        cm = M.confusion_metrics(pred.withColumn("p", F.col("prediction").cast("int")).withColumn("y", F.col("label").cast("int")), "y", "p")
+        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC").evaluate(pred)
+        cm = cm.withColumn("roc_auc", F.lit(float(auc)))
+        cm = cm.withColumn("warnings", F.array_join(M.quality_warnings(cm, auc=F.col("roc_auc"), network=True), ","))
+        best = cm.select(F.lit(kind).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc", "warnings")
+        out = res.join(best, "model", "left")
+        d = _metrics_dir(spark, sf_dir)
+        for r in out.collect():   # one row per model family (3 rows)
+            save_metrics(spark, {"model": r.model, "f1": r.validation_f1, "test_f1": r.test_f1,
+                                 "accuracy": r.accuracy, "training_time": r.train_seconds}, f"{d}/{r.model}")
+        save_report(spark, {"algorithm": kind, "features": feats, "selected_k": 10,
+                            "total_seconds": _t.perf_counter() - t0, "metrics_dir": d}, f"{d}/_report")
+        return out
+    return materialized(spark, (sf_dir, "network_training"), build)
+
+
 @query("network_model_training")
 def network_model_training(spark, sf_dir):
-    """Train the network model: features -> ANOVA top-10 ->
-    standardise -> LR / RF / GBT (the three network model families), each cross-validated over a
-    grid on the train split; best by validation F1; per-model results plus
-    test metrics and warnings of the winner."""
-    data = _flow_training_set(spark, sf_dir)
-    feats = ["packet_count", "bytes_transferred", "duration_seconds", "connection_count", "failed_connections"] + NETWORK_FEATURES
-    res, model, kind = M.train_select(data, feats, "label", k=10, kinds=("lr", "rf", "gbt"))
-    pred = model.transform(data.where(F.col("split") == "test"))
-    cm = M.confusion_metrics(pred.withColumn("p", F.col("prediction").cast("int")).withColumn("y", F.col("label").cast("int")), "y", "p")
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC").evaluate(pred)
-    cm = cm.withColumn("roc_auc", F.lit(float(auc)))
-    cm = cm.withColumn("warnings", F.array_join(M.quality_warnings(cm, auc=F.col("roc_auc"), network=True), ","))
-    best = cm.select(F.lit(kind).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc", "warnings")
-    return res.join(best, "model", "left")
+    """Train the network model: features -> ANOVA
+    top-10 -> standardise -> LR / RF / GBT (the three network model
+    families), each cross-validated over a grid on the train split; best by
+    validation F1; per-model results plus test metrics, ROC-AUC and
+    warnings of the winner.  Metrics and report are written as JSON."""
+    return _training_results(spark, sf_dir)
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Model comparison table read back from the saved metrics files."""
+    from ..operators.datasets import model_summary
+    _training_results(spark, sf_dir).count()
+    return model_summary(spark, f"{_metrics_dir(spark, sf_dir)}/[a-z]*/*.json")
 
 
 def _network_rf(spark, sf_dir, data, feats):

@@ -94,3 +94,21 @@ def test_file_sources(spark, tmp_path):
     bl.write_text('{"data": [{"ipAddress": "9.9.9.9", "lastReportedAt": "2024-01-05T10:00:00+00:00"}]}')
     b = read_blacklist(spark, str(bl)).collect()
     assert b[0].type == "ip" and b[0].value == "9.9.9.9" and b[0].last_seen is not None
+
+
+def test_training_prep_augment_and_metric_sinks(spark, tmp_path):
+    base = spark.createDataFrame([("abc", 1, 0.5, "s"), ("abcd.com", 0, 0.1, "t"), ("evil.tk", 1, 0.9, "u")],
+                                 "domain string, is_malicious int, risk_score double, source string")
+    prep = D.drop_short_and_leaky(base, "domain")
+    assert prep.columns == ["domain", "is_malicious"] and prep.count() == 2
+    seed = spark.createDataFrame([("evil.tk", 0), ("new.xyz", 1), ("more.top", 1)], "domain string, is_malicious int")
+    aug = D.augment(prep, seed, "domain", target=3)
+    rows = {r.domain: r.is_malicious for r in aug.collect()}
+    assert len(rows) == 3 and set(rows) <= {"abcd.com", "evil.tk", "new.xyz", "more.top"}
+    full = {r.domain: r.is_malicious for r in D.augment(prep, seed, "domain", target=10).collect()}
+    assert full["evil.tk"] == 1 and len(full) == 4          # rows of the base table win the dedupe
+    D.save_metrics(spark, {"model": "rf", "accuracy": 0.9, "f1": 0.8, "training_time": 1.5}, str(tmp_path / "m" / "rf"))
+    D.save_metrics(spark, {"model": "lr", "accuracy": 0.7, "f1": 0.6, "training_time": 0.5}, str(tmp_path / "m" / "lr"))
+    D.save_report(spark, {"algorithm": "rf", "features": ["a", "b"], "f1": 0.8}, str(tmp_path / "r"))
+    summ = D.model_summary(spark, str(tmp_path / "m" / "*" / "*.json")).collect()
+    assert [r.model for r in summ] == ["rf", "lr"]
