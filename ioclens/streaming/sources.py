@@ -11,12 +11,12 @@ from ..sources.files import BULK_SCHEMA
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1, pattern: str = "events.parquet") -> DataFrame:
     """``events.parquet`` of ``sf_dir`` as a streaming source.  Event time
     becomes TIMESTAMP (watermarks require it); with the UTC session zone the
     instant is unchanged."""
     from pyspark.sql import functions as F
-    s = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    s = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", pattern)
          .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
