@@ -14,7 +14,7 @@ import time
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (HashingTF, IDF, StandardScaler, StringIndexer, Tokenizer, UnivariateFeatureSelector,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import behavior as B
 from ..operators.sequences import bursts
 from ..sources import views

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import enrich as EN
 from ..operators import graph as G
 from ..sources import views
@@ -98,5 +96,3 @@ def shared_enrichment_edges(spark, sf_dir):
     existing = G.explicit_edges(views.relationship(spark, sf_dir), views.ioc(spark, sf_dir))
     return EN.shared_enrichment_edges(views.enrichment(spark, sf_dir), existing)
 
-
-__all__ = ["F"]

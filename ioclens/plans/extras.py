@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import accounts as A
 from ..operators import behavior as B
 from ..operators import enrich as EN
 from ..operators import ml as M
@@ -102,5 +101,3 @@ def insight_top_lists(spark, sf_dir):
     ranked = top_n(u, ["list_name"], [F.col("_o1").desc(), F.col("_o2")], 5, ["item"])
     return ranked.select("list_name", "rank", "item", "metric")
 
-
-__all__ = ["A"]

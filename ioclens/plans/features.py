@@ -318,7 +318,7 @@ def url_prediction_texts(spark, sf_dir):
     is trained on this data) with the text explanation and the
     features-used JSON."""
     from ..functions.risk import fallback_score
-    from ..operators.explain import features_json, text_explanation  # noqa: I001
+    from ..operators.explain import features_json, text_explanation
     u = accepted(spark, sf_dir, "url").select("origin", "ref_id", "type", "value")
     f = url_features(u, "value", only=["url_length", "suspicious_keyword_count"])
     f = f.select("*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("first_seen"),

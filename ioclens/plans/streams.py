@@ -94,8 +94,6 @@ def stream_lifecycle_transitions(spark, sf_dir):
     return J.run(J.lifecycle_state_machine(S.lifecycle_stream(spark, sf_dir)), "lifecycle")
 
 
-__all__ = ["F"]
-
 
 @query("stream_hourly_spikes", f"""WITH h AS (SELECT type, date_trunc('hour', created_at) AS hour, count(*) AS n FROM ioc GROUP BY 1, 2),
 c AS (SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= {MAX_TS} - {WM}),
