@@ -82,8 +82,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) for every node touching an edge; the component
     id is the smallest node id in it.  Raises if not converged.
 
-    Each round propagates the smallest neighbour label and then follows
-    labels one hop (pointer jumping).  The propagated labels are persisted
+    Each round lets every edge propose the smaller endpoint label both to
+    the other endpoint and to the node that other label names (hooking, so
+    whole trees merge), then follows labels one hop (pointer jumping).  The propagated labels are persisted
     once (the jump reads them twice) and every round's result is
     checkpointed to the shared folder, so lineage never spans a round and a
     lost executor replays at most one round."""
@@ -98,8 +99,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     labels = labels.checkpoint(eager=True)
     prev = labels.agg(F.sum("label")).first()[0]
     for r in range(1, max_rounds + 1):
-        lab = labels.select(F.col("id").alias("v"), F.col("label").alias("nl"))
-        prop = adj.join(lab, "v").groupBy("u").agg(F.min("nl").alias("m"))
+        # every edge (u, v) proposes L(v) to u (propagation) and to the
+        # node named by L(u) (hooking: a whole tree moves in one round)
+        lv = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
+        lu = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
+        e2 = adj.join(lv, "v").join(lu, "u").where(F.col("lv") < F.col("lu"))
+        props = e2.select(F.col("u").alias("t"), F.col("lv").alias("p")) \
+            .unionByName(e2.select(F.col("lu").alias("t"), F.col("lv").alias("p")))
+        prop = props.groupBy("t").agg(F.min("p").alias("m")).withColumnRenamed("t", "u")
         step = labels.join(prop.withColumnRenamed("u", "id"), "id", "left") \
             .select("id", F.least("label", F.coalesce("m", "label")).alias("label")) \
             .persist(StorageLevel.MEMORY_AND_DISK)
