@@ -226,3 +226,29 @@ def score_stream(flows: DataFrame, model) -> DataFrame:
     from ..functions.network import network_features
     out = model.transform(network_features(flows))
     return out.select("l_orderkey", "l_linenumber", F.col("prediction").cast("int").alias("prediction"))
+
+
+def count_late(stream: DataFrame, ts: str = "created_at", name: str = "late") -> str:
+    """Per micro-batch, how many rows arrive behind the watermark (max
+    event time of earlier batches - 10 minutes).  Spark guarantees only
+    that rows within the watermark are kept -- older rows may or may not be
+    dropped by a stateful operator -- so late arrivals are reported here
+    explicitly.  The running maximum is a one-row state table
+    (write-then-swap); counts go to ``<out>/counts``."""
+    from ..functions.timeutil import micros
+    from ..sources import sinks
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(out + "/state")
+        have = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        prev = spark.read.parquet(out + "/state") if have else spark.createDataFrame([], "m long")
+        wm = prev.select(F.max("m")).scalar() - DELAY_US
+        counts = batch.agg(F.count(F.lit(1)).alias("rows"),
+                           F.coalesce(F.count_if(micros(ts) < wm), F.lit(0)).alias("late"),
+                           F.max(micros(ts)).alias("_m"))
+        counts.select(F.lit(batch_id).alias("batch_id"), "rows", "late") \
+            .write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
+        sinks.commit_swap(spark, prev.unionByName(counts.select(F.col("_m").alias("m"))).agg(F.max("m").alias("m")), out + "/state")
+
+    return run_batches(stream, name, per_batch)

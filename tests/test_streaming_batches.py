@@ -1,5 +1,7 @@
 """Streaming state across several micro-batches equals the batch result."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from ioclens.operators import lifecycle as L
@@ -18,6 +20,7 @@ def _split_events(spark, tmp_path):
     for lo, hi in zip(bounds, bounds[1:]):
         part = ev.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
         part.coalesce(1).write.mode("append").parquet(d)
+        time.sleep(1.1)   # the file source orders files by modification time
     return d
 
 
@@ -42,3 +45,22 @@ def test_hourly_counts_across_batches(spark, tmp_path):
     # every hour closed by the final watermark is emitted
     last = max(batch)
     assert set(batch) - set(got) <= {last}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """A file of older events arriving after newer ones is behind the
+    watermark; every one of its rows is counted as late."""
+    ev = table(spark, SMALL, "events")
+    d = str(tmp_path / "late")
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    ev.where(F.col("ts") >= cut).coalesce(1).write.mode("append").parquet(d)   # newer first
+    time.sleep(1.1)                                                            # distinct file times
+    old = ev.where(F.col("ts") < cut)
+    old.coalesce(1).write.mode("append").parquet(d)                            # then older
+    def stream():
+        return views.ioc_from_events(S.events(spark, d, files_per_trigger=1, pattern="*.parquet"))
+    out = J.count_late(stream())
+    late = spark.read.parquet(out + "/counts").agg(F.sum("late")).first()[0]
+    assert late == old.count()
+    per_batch = sorted((r.batch_id, r.late) for r in spark.read.parquet(out + "/counts").collect())
+    assert per_batch[0][1] == 0 and per_batch[-1][1] == old.count()
