@@ -161,3 +161,12 @@ def stream_bulk_ingest(spark, sf_dir):
 
     J.run_batches(S.bulk_drops(spark, drop, fmt="csv"), "bulk", per_batch)
     return spark.read.parquet(table_path)
+
+
+@query("stream_late_arrivals", """SELECT cast(0 AS bigint) AS batch_id, count(*) AS rows, cast(0 AS bigint) AS late FROM events""")
+def stream_late_arrivals(spark, sf_dir):
+    """Rows per micro-batch and how many arrived behind the watermark
+    (the events file is one ordered batch here, so none are late)."""
+    out = J.count_late(S.ioc_stream(spark, sf_dir))
+    return spark.read.parquet(out + "/counts").select(F.col("batch_id").cast("bigint").alias("batch_id"), "rows",
+                                                      F.col("late").cast("bigint").alias("late"))
