@@ -64,3 +64,18 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert late == old.count()
     per_batch = sorted((r.batch_id, r.late) for r in spark.read.parquet(out + "/counts").collect())
     assert per_batch[0][1] == 0 and per_batch[-1][1] == old.count()
+
+
+def test_spike_state_across_batches(spark, tmp_path):
+    """Pending hours and the running baseline carried across three
+    micro-batches give the same scored hours as one batch."""
+    d = _split_events(spark, tmp_path)
+
+    def scored(stream, name):
+        out = J.hourly_spikes(stream, name)
+        return sorted(tuple(r) for r in spark.read.parquet(out + "/spikes").drop("batch")
+                      .select("type", "hour", "n", F.round("baseline_mean", 9), F.round("baseline_std", 9),
+                              "prior_hours", "is_spike").collect())
+    multi = scored(views.ioc_from_events(S.events(spark, d, files_per_trigger=1, pattern="*.parquet")), "spk-multi")
+    single = scored(views.ioc_from_events(S.events(spark, SMALL)), "spk-single")
+    assert multi and multi == single
