@@ -252,7 +252,7 @@ def _text_model(spark, sf_dir):
     from ..operators.models import fitted
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lb = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
-    return fitted(spark, (sf_dir, "report_text"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id"))), docs
+    return fitted(spark, (sf_dir, "report_text_toxic"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id"))), docs
 
 
 @query("report_classification")
@@ -291,3 +291,22 @@ def segment_label_codes(spark, sf_dir):
     from ..operators.datasets import preprocess
     d, _ = preprocess(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_acctbal"], None)
     return d.select("c_custkey", "c_mktsegment", "c_mktsegment_encoded")
+
+
+def _text_model_for(spark, sf_dir, label_col):
+    from ..operators.models import fitted
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lb = table(spark, sf_dir, "labels").select("doc_id", F.col(label_col).cast("double").alias("label"))
+    return fitted(spark, (sf_dir, f"report_text_{label_col}"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id")))
+
+
+@query("report_analysis")
+def report_analysis(spark, sf_dir):
+    """Several text models over the same reports (whole documents),
+    each scored independently and the verdicts joined by document id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = []
+    for label_col, names in (("toxic", ["benign", "toxic"]), ("quality", ["low_quality", "high_quality"])):
+        s = M.text_scores(_text_model_for(spark, sf_dir, label_col), docs, names)
+        parts.append(s.select("doc_id", F.col("label_text").alias(f"{label_col}_label"), F.col("score").alias(f"{label_col}_score")))
+    return parts[0].join(parts[1], "doc_id")
