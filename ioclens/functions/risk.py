@@ -58,3 +58,10 @@ def alert_rules(spark: SparkSession) -> DataFrame:
     """The rule table (a few rows; broadcast by construction)."""
     schema = "rule_name string, type string, min_risk double, severity string, message string"
     return spark.createDataFrame([tuple(r) for r in ALERT_RULES], schema)
+
+
+def hash_risk(probability) -> tuple[Column, Column]:
+    """(score rounded to 4 places, LOW / MEDIUM / HIGH level) from
+    a malicious-class probability."""
+    s = F.round(col(probability).cast("double"), 4)
+    return s, hash_risk_level(s)

@@ -53,3 +53,13 @@ def assign(mapping: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 def unassign(mapping: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """Mapping without the requested (account, key) pairs."""
     return mapping.join(requests.select("account_id", key), ["account_id", key], "left_anti")
+
+
+def default_account(accounts: DataFrame, name: str = "Default", now=None) -> DataFrame:
+    """The accounts table with a default account added if absent."""
+    spark = accounts.sparkSession
+    row = spark.createDataFrame([(name,)], "name string")
+    missing = row.join(accounts.select("name"), "name", "left_anti")
+    next_id = accounts.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    add = missing.select(next_id.alias("id"), "name")
+    return accounts.select("id", "name").unionByName(add)

@@ -106,3 +106,12 @@ def shared_enrichment_edges(enr: DataFrame, existing: DataFrame) -> DataFrame:
         .select(F.col("ioc_id").alias("id"), F.concat_ws(":", "enrichment_type", "data").alias("grp")).distinct()
     st = star_edges(m, "grp", kind, conf).distinct()
     return st.join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def domain_geo(enr: DataFrame, geo_by_ip: DataFrame) -> DataFrame:
+    """XG10: domain -> resolved address -> geolocation of that address
+    (``geo_by_ip``: ip, data JSON as landed from a lookup)."""
+    rip = enr.where(F.col("enrichment_type") == "resolved_ip").select("ioc_id", F.col("data").alias("ip"))
+    g = geo_by_ip.select("ip", F.from_json("data", GEO_SCHEMA).alias("g"))
+    return rip.join(g, "ip").select("ioc_id", "ip", F.col("g.country_code").alias("country_code"),
+                                    F.col("g.country").alias("country"), F.col("g.city").alias("city"))

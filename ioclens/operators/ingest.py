@@ -78,3 +78,20 @@ def cascade_delete(ids: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]
             cur = delete_keys(cur, ids, k, "id")
         out[name] = cur
     return out
+
+
+def create_iocs(requests: DataFrame, iocs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(created, rejected duplicates) for an IOC create batch; the
+    batch is deduplicated first, existing (type, value) keys are rejected."""
+    from .upsert import new_keys, present_keys
+    batch = requests.dropDuplicates(["type", "value"])
+    return new_keys(batch, iocs, ["type", "value"]), present_keys(batch, iocs, ["type", "value"]) \
+        .withColumn("reject_reason", F.lit("duplicate"))
+
+
+def delete_predictions(predictions: DataFrame, ids: DataFrame, by: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Predictions without the given ids (``by`` = 'id' or 'ioc_id')
+    and the number removed (one-row frame)."""
+    keep = delete_keys(predictions, ids, by, by)
+    removed = predictions.join(ids.select(by).distinct(), by, "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
+    return keep, removed

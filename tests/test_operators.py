@@ -112,3 +112,29 @@ def test_training_prep_augment_and_metric_sinks(spark, tmp_path):
     D.save_report(spark, {"algorithm": "rf", "features": ["a", "b"], "f1": 0.8}, str(tmp_path / "r"))
     summ = D.model_summary(spark, str(tmp_path / "m" / "*" / "*.json")).collect()
     assert [r.model for r in summ] == ["rf", "lr"]
+
+
+def test_small_batch_operators(spark):
+    from ioclens.functions.risk import hash_risk
+    from ioclens.operators import accounts as AC
+    from ioclens.operators import enrich as EN
+    from ioclens.operators import ingest as IN
+    acc = spark.createDataFrame([(1, "acme")], "id long, name string")
+    assert sorted(tuple(r) for r in AC.default_account(acc).collect()) == [(1, "acme"), (2, "Default")]
+    assert AC.default_account(AC.default_account(acc)).count() == 2
+    iocs = spark.createDataFrame([("ip", "1.1.1.1")], "type string, value string")
+    req = spark.createDataFrame([("ip", "1.1.1.1"), ("ip", "2.2.2.2"), ("ip", "2.2.2.2")], "type string, value string")
+    made, rej = IN.create_iocs(req, iocs)
+    assert [r.value for r in made.collect()] == ["2.2.2.2"] and [r.reject_reason for r in rej.collect()] == ["duplicate"]
+    preds = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "id long, ioc_id long")
+    keep, removed = IN.delete_predictions(preds, spark.createDataFrame([(10,)], "ioc_id long"), by="ioc_id")
+    assert [r.id for r in keep.collect()] == [3] and removed.first().deleted == 2
+    shape = D.dataset_shape(preds).collect()
+    assert [(r.column_name, r.dtype, r.rows, r.columns) for r in shape] == [("id", "bigint", 3, 2), ("ioc_id", "bigint", 3, 2)]
+    enr = spark.createDataFrame([(5, "resolved_ip", "10.0.0.1")], "ioc_id long, enrichment_type string, data string")
+    geo = spark.createDataFrame([("10.0.0.1", '{"country_code": "RU", "country": "Russia", "city": "M"}')], "ip string, data string")
+    g = EN.domain_geo(enr, geo).first()
+    assert (g.ioc_id, g.country_code, g.city) == (5, "RU", "M")
+    p = spark.createDataFrame([(0.123456,), (0.45,), (0.9,)], "p double")
+    s, lvl = hash_risk("p")
+    assert [(r.s, r.l) for r in p.select(s.alias("s"), lvl.alias("l")).collect()] == [(0.1235, "LOW"), (0.45, "MEDIUM"), (0.9, "HIGH")]
