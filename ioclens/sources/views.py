@@ -134,21 +134,23 @@ def prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw indicator strings: page URLs, their hosts, and dotted quads and
-    hex digests found anywhere in document texts (whole texts)."""
+    hex digests found anywhere in document texts (whole texts).  Each table
+    is scanned once: every row yields an array of (origin, pos, value)
+    structs that ``inline`` expands."""
     pages = table(spark, sf_dir, "pages")
     docs = table(spark, sf_dir, "documents")
-    urls = pages.select(F.lit("page_url").alias("origin"), F.col("page_id").alias("ref_id"),
-                        F.lit(0).alias("pos"), F.col("url").alias("value"))
-    hosts = pages.select(F.lit("page_host").alias("origin"), F.col("page_id").alias("ref_id"),
-                         F.lit(0).alias("pos"), F.lower(F.regexp_extract("url", HOST_RE, 1)).alias("value"))
-
-    def found(origin: str, pattern: str) -> DataFrame:
-        return (docs.select(F.col("doc_id").alias("ref_id"),
-                            F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 0)))
-                .select(F.lit(origin).alias("origin"), "ref_id", F.col("pos").cast("int").alias("pos"),
-                        F.col("col").alias("value")))
-
-    return urls.unionByName(hosts).unionByName(found("doc_quad", QUAD_RE)).unionByName(found("doc_hash", HEX_RE))
+
+    def item(origin, pos, value):
+        return F.struct(F.lit(origin).alias("origin"), pos.cast("int").alias("pos"), value.alias("value"))
+
+    host = F.lower(F.regexp_extract("url", HOST_RE, 1))
+    page_items = F.array(item("page_url", F.lit(0), F.col("url")), item("page_host", F.lit(0), host))
+    found = lambda origin, pattern: F.transform(
+        F.regexp_extract_all("text", F.lit(pattern), 0), lambda x, i: item(origin, i, x))
+    doc_items = F.concat(found("doc_quad", QUAD_RE), found("doc_hash", HEX_RE))
+    p = pages.select(F.col("page_id").alias("ref_id"), F.inline(page_items))
+    d = docs.select(F.col("doc_id").alias("ref_id"), F.inline(doc_items))
+    return p.unionByName(d).select("origin", "ref_id", "pos", "value")
 
 
 # Country codes assigned to derived geolocation payloads (fixture rule).
