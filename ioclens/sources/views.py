@@ -166,27 +166,30 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrichment_from_events(e: DataFrame) -> DataFrame:
-    """The enrichment projection of an events DataFrame (batch or stream)."""
+    """The enrichment projection of an events DataFrame (batch or stream):
+    each event yields its payload rows in one pass (an array of structs,
+    NULLs filtered, expanded with ``inline``)."""
     e = e.where(F.col("event_type") != "signup")
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("user_id") % 5
     s = lambda c: c.cast("string")
-    vt = e.where(t.isin(0, 1, 3)).select(
-        (F.col("event_id") * 3).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("virustotal").alias("enrichment_type"),
-        F.concat(F.lit('{"reputation": '), s(k - 50), F.lit(', "last_analysis_stats": {"malicious": '), s(k % 7),
-                 F.lit(', "suspicious": '), s(k % 3), F.lit(', "harmless": '), s(60 - k % 7),
-                 F.lit(', "undetected": '), s(k % 11), F.lit("}}")).alias("data"), F.col("ts").alias("created_at"))
+
+    def item(offset, kind, data):
+        return F.struct((F.col("event_id") * 3 + offset).alias("id"), F.col("event_id").alias("ioc_id"),
+                        F.lit(kind).alias("enrichment_type"), data.alias("data"), F.col("ts").alias("created_at"))
+    vt = F.concat(F.lit('{"reputation": '), s(k - 50), F.lit(', "last_analysis_stats": {"malicious": '), s(k % 7),
+                  F.lit(', "suspicious": '), s(k % 3), F.lit(', "harmless": '), s(60 - k % 7),
+                  F.lit(', "undetected": '), s(k % 11), F.lit("}}"))
     codes = F.array(*[F.lit(c) for c in GEO_CODES])
     cc = F.element_at(codes, ((F.col("user_id") + k) % len(GEO_CODES) + 1).cast("int"))
     lat = F.when(k % 10 == 0, F.lit("")).otherwise(F.concat(F.lit(', "lat": '), s((k * 7) % 180 - 90)))
-    geo = e.where(t == 0).select(
-        (F.col("event_id") * 3 + 1).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("geolocation").alias("enrichment_type"),
-        F.concat(F.lit('{"country_code": "'), cc, F.lit('", "country": "'), cc, F.lit('", "city": "c'), s(k % 13), F.lit('"'),
-                 lat, F.lit(', "lon": '), s((k * 13) % 360 - 180), F.lit("}")).alias("data"), F.col("ts").alias("created_at"))
-    rip = e.where(t == 1).select(
-        (F.col("event_id") * 3 + 2).alias("id"), F.col("event_id").alias("ioc_id"), F.lit("resolved_ip").alias("enrichment_type"),
-        F.concat(F.lit("10.0."), s(k % 4), F.lit("."), s(F.col("user_id") % 3)).alias("data"), F.col("ts").alias("created_at"))
-    return vt.unionByName(geo).unionByName(rip)
+    geo = F.concat(F.lit('{"country_code": "'), cc, F.lit('", "country": "'), cc, F.lit('", "city": "c'), s(k % 13), F.lit('"'),
+                   lat, F.lit(', "lon": '), s((k * 13) % 360 - 180), F.lit("}"))
+    rip = F.concat(F.lit("10.0."), s(k % 4), F.lit("."), s(F.col("user_id") % 3))
+    items = F.array(F.when(t.isin(0, 1, 3), item(0, "virustotal", vt)),
+                    F.when(t == 0, item(1, "geolocation", geo)),
+                    F.when(t == 1, item(2, "resolved_ip", rip)))
+    return e.select(F.inline(F.filter(items, lambda x: x.isNotNull())))
 
 
 BUILDERS = {
