@@ -78,49 +78,47 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.join(n, "other_id", "inner")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node touching an edge; the component
-    id is the smallest node id in it.  Raises if not converged.
+    id is the smallest node id in it.
 
     Each round lets every edge propose the smaller endpoint label both to
     the other endpoint and to the node that other label names (hooking, so
-    whole trees merge), then follows labels one hop (pointer jumping).  The propagated labels are persisted
-    once (the jump reads them twice) and every round's result is
-    checkpointed to the shared folder, so lineage never spans a round and a
-    lost executor replays at most one round."""
-    from pyspark import StorageLevel
+    whole trees merge), then follows labels one hop (pointer jumping).  The
+    number of changed labels is counted on the checkpointed result of the
+    round; the loop ends when nothing changed.  Every round is checkpointed
+    to the shared folder, so lineage never spans a round and a lost executor
+    replays at most one round."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
-    adj = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    adj = adj.checkpoint(eager=True)
+    both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    adj = e.select(F.inline(both)).checkpoint(eager=True)
     # start: each node labelled with the smallest id among itself and its neighbours
     labels = adj.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).withColumnRenamed("u", "id")
     labels = labels.checkpoint(eager=True)
-    prev = labels.agg(F.sum("label")).first()[0]
-    for r in range(1, max_rounds + 1):
+    rounds = 0
+    while True:
+        rounds += 1
         # every edge (u, v) proposes L(v) to u (propagation) and to the
         # node named by L(u) (hooking: a whole tree moves in one round)
         lv = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
         lu = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
         e2 = adj.join(lv, "v").join(lu, "u").where(F.col("lv") < F.col("lu"))
-        props = e2.select(F.col("u").alias("t"), F.col("lv").alias("p")) \
-            .unionByName(e2.select(F.col("lu").alias("t"), F.col("lv").alias("p")))
-        prop = props.groupBy("t").agg(F.min("p").alias("m")).withColumnRenamed("t", "u")
-        step = labels.join(prop.withColumnRenamed("u", "id"), "id", "left") \
-            .select("id", F.least("label", F.coalesce("m", "label")).alias("label")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        # pointer jumping: follow the label to its own label
-        jump = step.alias("x").join(step.alias("y"), F.col("x.label") == F.col("y.id"), "left") \
-            .select(F.col("x.id").alias("id"), F.least(F.col("x.label"), F.coalesce(F.col("y.label"), F.col("x.label"))).alias("label"))
-        labels = jump.checkpoint(eager=True)
-        step.unpersist()
-        cur = labels.agg(F.sum("label")).first()[0]   # labels only decrease: equal sum <=> no change
-        connected_components.rounds = r
-        if cur == prev:
+        props = e2.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("lv").alias("m")),
+                                           F.struct(F.col("lu").alias("id"), F.col("lv").alias("m")))))
+        prop = props.groupBy("id").agg(F.min("m").alias("m"))
+        step = labels.join(prop, "id", "left") \
+            .select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        # pointer jumping: follow the label to the label its node had
+        hop = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        jump = step.join(hop, "label", "left") \
+            .select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint(eager=True)
+        changed = jump.where(F.col("label") != F.col("was")).count()
+        labels = jump.select("id", "label")
+        connected_components.rounds = rounds
+        if changed == 0:
             return labels.withColumnRenamed("label", "component")
-        prev = cur
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
 def component_profiles(members: DataFrame, nodes: DataFrame, min_size: int = COMPONENT_MIN_SIZE) -> DataFrame:

@@ -22,8 +22,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what is provably small; plans that must broadcast use
-    # size-checked helpers (see ioclens.operators.joins).
+    # Broadcast only sides whose measured size is small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
@@ -72,13 +71,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: ``spark.checkpoint.dir`` if set, else a
-    fresh scratch folder (only ever the case in local tests)."""
+    fresh scratch folder on a local master; elsewhere an unset folder is an
+    error, since a machine-local one would lose data with the machine."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="ioclens-ckpt-", dir=os.environ.get("IOCLENS_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", named)
