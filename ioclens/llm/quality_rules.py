@@ -38,7 +38,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "100 * n_symbols > 25 * n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
     Rule(6, "capitals", "100 * n_upper > 50 * word_chars"),
@@ -143,7 +143,7 @@ m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS wo
              len(string_split(t, chr(10))) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
       FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-             + (CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+             + (CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)
              + (CASE WHEN 100 * n_upper > 50 * word_chars THEN 64 ELSE 0 END) AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
