@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import line_dedup, quality_rules
 from .common import documents
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
-ORACLE = {"op7_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules)}
+ORACLE = {"op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
