@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules
+from . import line_dedup, packing, quality_rules
 from .common import documents
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(documents(spark, sf_dir))
@@ -16,5 +19,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules, op9_best_fit_packing)}
 ORACLE = {"op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
