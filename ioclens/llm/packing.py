@@ -50,7 +50,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             rows: list[tuple] = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, packed in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
+                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    packed = enc.encode(text)
                     ids = np.frombuffer(packed + end, enc.kind).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start:start + capacity]

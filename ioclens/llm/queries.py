@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules
+from . import bpe_stream, line_dedup, packing, quality_rules
 from .common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,5 +23,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules, op9_best_fit_packing)}
+def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules, op9_best_fit_packing,
+                                  op10_bpe_transducer)}
 ORACLE = {"op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}

@@ -1,10 +1,12 @@
 """Whole texts to token ids with the tokenizers library, once per distinct
-white-space chunk.
+white-space chunk and word.
 
 The vocabulary's pre-tokenizer never joins characters across white space
 and its normaliser never composes across it, so a text's ids are the ids of
-its chunks in order.  Each worker keeps the ids of at most CACHE chunks;
-longer chunks than LONG are encoded without being kept.
+its chunks in order, and a chunk's those of its words.  Each worker keeps the
+ids of a bounded number of chunks and words.  Chunks of printable ASCII and
+Latin-1 letters are split here by the pre-tokenizer's pattern; all others by
+the library's own normaliser and pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -15,52 +17,96 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 300_000
+#: Entries of a worker's table of chunks, and half as many words; longer
+#: strings than LONG are never kept.
+CACHE = 400_000
 LONG = 48
-#: Control characters that Python's str.split takes for white space and the
-#: tokenizer does not (fixed values), and the tokenizer's white space.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Chunks that need no Unicode normalising, and their words in lower case
+#: (the pre-tokenizer's pattern; fixed values).
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-def chunks(text: str) -> list[str]:
-    if any(c in text for c in NOT_SPACE):
-        return [c for c in SPACE.split(text) if c]
-    return text.split()
+def chunks(text: str | None) -> list[bytes]:
+    """Chunks between ASCII white space, as UTF-8 with A-Z lower-cased: the
+    tokenizer lower-cases anyway.  Not lower-cased where the text might hold
+    a special token, whose spelling counts."""
+    raw = (text or "").encode()
+    return (raw if b"<|" in raw else raw.lower()).split()
 
 
-class ChunkEncoder:
-    """``kind``: little-endian unsigned type that holds every id."""
+@lru_cache(maxsize=1)
+def symbols() -> list[str]:
+    """The byte-level symbol of each byte: printable Latin-1 stands for
+    itself, the other bytes for the code points from 256 on, in order."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b > 32]
+    rest = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return [rest.get(b) or chr(b) for b in range(256)]
+
+
+class WordSplitter:
+    """Chunks to words in byte-level symbols, as the tokenizer file has it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.normal, self.split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.symbol = symbols()
+
+    def parts(self, chunk: bytes) -> list[str | int]:
+        """The words of a chunk; a special token gives its id."""
+        text = chunk.decode()
+        if "<|" not in text:
+            if text.isascii() and text.isprintable():
+                return PLAIN_WORDS.findall(text.lower())
+            if PLAIN.fullmatch(text):
+                symbol = self.symbol
+                return ["".join([symbol[b] for b in w.encode()]) for w in PLAIN_WORDS.findall(text.lower())]
+        out: list[str | int] = []
+        while text:
+            at, name = min(((text.find(s), s) for s in self.special if s in text), default=(len(text), ""))
+            if at:
+                out += [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text[:at]))]
+            if name:
+                out.append(self.special[name])
+            text = text[at + len(name):]
+        return out
+
+
+class ChunkEncoder(WordSplitter):
+    """``kind``: little-endian unsigned type that holds every id."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as packed integers of ``kind``."""
-        out = []
-        for text in texts:
-            own = chunks(text) if text else []
-            new = [c for c in set(own) if c not in self.known]
-            if len(self.known) + len(new) > CACHE:
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str | int, bytes] = {}
+
+    def word(self, word: str | int) -> bytes:
+        ids = [word] if isinstance(word, int) else [t.id for t in self.model.tokenize(word)]
+        packed = np.array(ids, self.kind).tobytes()
+        if isinstance(word, int) or len(word) <= LONG:
+            if len(self.words) >= CACHE // 2:
+                self.words = {}
+            self.words[word] = packed
+        return packed
+
+    def chunk(self, chunk: bytes) -> bytes:
+        words = self.words
+        packed = b"".join([words.get(w) or self.word(w) for w in self.parts(chunk)])
+        if len(chunk) <= LONG:
+            if len(self.known) >= CACHE:
                 self.known = {}
-                new = list(set(own))
-            long_ones: dict[str, bytes] = {}
-            for at in range(0, len(new), 1 << 12):
-                part = new[at:at + (1 << 12)]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (self.known if len(c) <= LONG else long_ones)[c] = np.array(e.ids, self.kind).tobytes()
-            if long_ones:
-                known = self.known
-                out.append(b"".join([known[c] if c in known else long_ones[c] for c in own]))
-            else:
-                out.append(b"".join(map(self.known.__getitem__, own)))
-        return out
+            self.known[chunk] = packed
+        return packed
+
+    def encode(self, text: str | None) -> bytes:
+        """A text's ids as packed integers of ``kind``."""
+        known = self.known
+        return b"".join([known.get(c) or self.chunk(c) for c in chunks(text)])
 
 
 @lru_cache(maxsize=2)
