@@ -30,3 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_file(uri: str):
+    """(file system, path) of a file in the shared folder, for use in tasks;
+    any store pyarrow knows (local or mounted paths, HDFS, object stores)."""
+    from pyarrow import fs
+    if "://" not in uri and uri.startswith("file:"):
+        uri = uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
