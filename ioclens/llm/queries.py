@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, jaccard_join, line_dedup, packing, quality_rules, token_store
-from .common import documents
+from . import bpe_stream, jaccard_join, line_dedup, packing, quality_rules, token_store, warc
+from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op3_warc_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(documents(spark, sf_dir))
 
@@ -35,6 +39,6 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op9_best_fit_packing,
                                   op10_bpe_transducer)}
-ORACLE = {"op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE = {"op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
