@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, token_store, warc
+from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, token_store, warc
 from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.query(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.query(table(spark, sf_dir, "conversations"))
+
+
 def op3_warc_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,6 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_quote_links, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op9_best_fit_packing,
                                   op10_bpe_transducer)}
-ORACLE = {"op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE = {"op2_quote_links": quote_links.SQL, "op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
