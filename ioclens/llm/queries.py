@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, token_store, warc
+from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, site_classifier, token_store, warc
 from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(documents(spark, sf_dir))
 
 
+def op8_site_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_classifier.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -47,6 +51,6 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.query(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_quote_links, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_quote_links, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op8_site_classifier, op9_best_fit_packing,
                                   op10_bpe_transducer)}
 ORACLE = {"op2_quote_links": quote_links.SQL, "op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
