@@ -126,8 +126,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents the current policy keeps, with their own columns."""
-    return apply_policy(ledger(docs)).where("kept").select("doc.*")
+    """The documents the current policy keeps, with their own columns.  The
+    counts observed before the filter also keep the optimizer from pushing it,
+    and with it copies of every measurement, below the ledger."""
+    judged = apply_policy(ledger(docs)).observe("quality_rules", F.count(F.lit(1)).alias("judged"), F.count_if("kept").alias("kept"))
+    return judged.where("kept").select("doc.*")
 
 
 SQL = r"""
