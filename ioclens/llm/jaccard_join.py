@@ -86,7 +86,8 @@ def _longs(names: str) -> tuple[str, pa.Schema]:
 
 # (1) documents to nodes, and frequent shingles -------------------------------
 
-FACTS, FACTS_ARROW = _longs("doc_id n node shingle seen")
+FACTS = "doc_id long, n long, node long, hist binary, shingle long, seen long"
+FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hist", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +100,14 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
         often = counts >= max(4, FREQUENT * len(held))
         n = int(often.sum())
-        return _batch(FACTS_ARROW, [None] * n, [None] * n, [None] * n, tokens[often].astype(np.int64), counts[often])
+        none = [None] * n
+        return _batch(FACTS_ARROW, none, none, none, none, tokens[often].astype(np.int64), counts[often])
 
     for batch in batches:
-        n, nodes = [], []
+        n, nodes, hist = [], [], []
         for own in text_sets(batch["text"]):
             n.append(len(own))
+            hist.append(folded(own).tobytes())
             nodes.append(_node(own) if len(own) else None)
             if len(own) and nodes[-1] not in held:
                 held[nodes[-1]] = own
@@ -113,7 +116,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield frequent()
                     held, size = {}, 0
         none = [None] * len(n)
-        yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, nodes, none, none)
+        yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, nodes, hist, none, none)
     if held:
         yield frequent()
 
@@ -158,13 +161,15 @@ def ordered(own: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~late], own[late] + LAST])
 
 
-ENTRY, ENTRY_ARROW = _longs("shingle node size pos leader leader_size")
+ENTRY, ENTRY_ARROW = _longs("shingle node size pos leader leader_size more")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (shingle, salt, node): lists of two or more nodes
     with their first node as leader.  Frequent shingles keep lists of one,
-    as other salts have more.  Holds a batch and one row at a time."""
+    as other salts have more.  ``more``: the list has, or may have, nodes
+    that were not compared by comparing each with the leader.  Holds a batch
+    and one row at a time."""
     none = np.zeros((0, 5), np.int64)
     held, run = none, None  # a first row that may stay alone; or the open list (shingle, salt, leader, size, last node)
     for batch in filter(len, batches):
@@ -180,10 +185,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.repeat(start, size)
         leader, leader_size = rows[first, 2], rows[first, 3]
         keep = (np.repeat(size, size) > 1) | (rows[:, 0] >= LAST)
+        more = (np.repeat(size, size) > 2) | (rows[:, 0] >= LAST)
+        more[start[-1]:] = True  # the list may go on
         if run is not None:
             own = size[0]
             leader[:own], leader_size[:own] = run[2], run[3]
-            keep[:own] = True
+            keep[:own] = more[:own] = True
             keep[0] = False  # went out before
         end = rows[-1]
         if size[-1] == 1 and end[0] < LAST and not (run is not None and len(start) == 1):
@@ -191,34 +198,36 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             held, run = none, (end[0], end[1], leader[-1], leader_size[-1], end[2])
         if keep.any():
-            yield _batch(ENTRY_ARROW, rows[keep, 0], rows[keep, 2], rows[keep, 3], rows[keep, 4], leader[keep], leader_size[keep])
+            yield _batch(ENTRY_ARROW, rows[keep, 0], rows[keep, 2], rows[keep, 3], rows[keep, 4], leader[keep], leader_size[keep], more[keep].astype(np.int64))
 
 
 # (5) candidates to links --------------------------------------------------------
 
-def folded(own: np.ndarray, n: int) -> np.ndarray:
+def folded(own: np.ndarray) -> np.ndarray:
     """Histogram of a set over about n / 4 buckets by its top bits (a power
-    of two, so that one can be folded to a smaller one)."""
-    buckets = max(16, 1 << max(0, (n // 4).bit_length()))
+    of two, so that one can be folded to a smaller one); 255 is "or more"."""
+    buckets = max(16, 1 << (len(own) // 4).bit_length())
     shift = 62 - (buckets.bit_length() - 1)
-    return np.minimum(np.bincount((own >> np.uint64(shift)).astype(np.int64), minlength=buckets), 65535).astype(np.uint16)
+    return np.minimum(np.bincount((own >> np.uint64(shift)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
 
 
 def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
     """At least the size of the intersection."""
+    if a.max() == 255 or b.max() == 255:
+        return min(n, m)
     a, b = a.astype(np.int64), b.astype(np.int64)
     while len(a) > len(b):
         a = a.reshape(-1, 2).sum(1)
     while len(b) > len(a):
         b = b.reshape(-1, 2).sum(1)
-    return min(n, m, int(np.minimum(a, b).sum())) if max(n, m) < 65535 else min(n, m)
+    return min(n, m, int(np.minimum(a, b).sum()))
 
 
 def _sets(wanted: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows: list[tuple] = []
+            nodes, members = [], []
             for own in text_sets(batch["text"]):
                 if not len(own):
                     continue
@@ -228,11 +237,10 @@ def _sets(wanted: np.ndarray) -> Callable:
                     if len(seen) > 1 << 17:
                         seen.clear()
                     seen.add(node)
-                    rows.append((node, len(own), folded(own, len(own)).tobytes(), own.tobytes()))
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                                                 names=["node", "n", "hist", "members"])
+                    nodes.append(node)
+                    members.append(own.tobytes())
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], names=["node", "members"])
 
     return run
 
@@ -256,7 +264,7 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, m = batch["na"].to_pylist(), batch["nb"].to_pylist()
         top = []
         for x, y, a, b in zip(n, m, batch["ha"].to_pylist(), batch["hb"].to_pylist(), strict=True):
-            i = bound(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), x, y)
+            i = bound(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), x, y)
             top.append(i / (x + y - i))
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["na"], batch["nb"], pa.array(top, pa.float64())], names=["a", "b", "na", "nb", "top"])
 
@@ -274,19 +282,18 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(top, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "top", "linked"])
 
 
-def judge(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(a, b, top, linked) of stored candidate pairs; ``top`` is the
-    similarity, or an upper bound under the link limit."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(texts.mapInArrow(_sets(_bitmap(nodes)), "node long, n long, hist binary, members binary"), f"sets-{name}")
-    hist = sets.select("node", "n", "hist").dropDuplicates(["node"])
-    both = pairs.join(hist.toDF("a", "na", "ha"), "a").join(hist.toDF("b", "nb", "hb"), "b")
+def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(a, b, top, linked) of candidate pairs; ``top`` is the similarity, or
+    an upper bound under the link limit.  ``nodes``: (node, n, hist).  Sets
+    are made again from the texts, for the pairs that the bound leaves."""
+    both = pairs.join(nodes.toDF("a", "na", "ha"), "a").join(nodes.toDF("b", "nb", "hb"), "b")
     tops = stored(both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounds, "a long, b long, na long, nb long, top double"), f"tops-{name}")
-    near = tops.where(F.col("top") >= LINK / 100 - 1e-9)
+    limit = LINK / 100 - 1e-9
+    near = tops.where(F.col("top") >= limit).select("a", "b")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = sets.select("node", "members").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    exact = near.select("a", "b").join(members.toDF("a", "sa"), "a").join(members.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_exact, JUDGED)
-    far = tops.where(F.col("top") < LINK / 100 - 1e-9).select("a", "b", "top", F.lit(False).alias("linked"))
+    sets = stored(texts.mapInArrow(_sets(_bitmap(ends)), "node long, members binary").dropDuplicates(["node"]), f"sets-{name}")
+    exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_exact, JUDGED)
+    far = tops.where(F.col("top") < limit).select("a", "b", "top", F.lit(False).alias("linked"))
     return stored(exact.unionByName(far), f"judged-{name}")
 
 
@@ -347,7 +354,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> DataFrame:
     """Entries of the lists that hold more than one component, dealt to block
     pairs, with what is known of each node and its leader."""
-    rows = entries.join(comps.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = entries.where(F.col("more") == 1).where((F.col("node") != F.col("leader")) | (F.col("shingle") >= LAST)).drop("leader_size", "more")
+    rows = rows.join(comps.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     lists = lists.where("c0 < c1").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     known = judged.select(F.col("a").alias("leader"), F.col("b").alias("node"), "top", F.col("linked").cast("double").alias("tied"))
@@ -369,6 +377,7 @@ def components(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     facts = stored(texts.mapInArrow(_facts, FACTS), "jaccard-facts")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "node")
+    nodes = stored(facts.where("node IS NOT NULL").select("node", "n", "hist").dropDuplicates(["node"]), "jaccard-nodes")
     n_docs = members.count()
     often = facts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")) \
         .where(F.col("seen") >= max(4, FREQUENT * n_docs)).orderBy(F.desc("seen"), "shingle").limit(FREQUENT_MOST)
@@ -384,14 +393,14 @@ def components(docs: DataFrame) -> DataFrame:
     heads = heads.join(top, "shingle").where(F.col("node") != F.col("h.node")).select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.size").alias("na"), F.col("size").alias("nb"))
     fits = (LINK * F.col("na") <= 100 * F.col("nb")) & (LINK * F.col("nb") <= 100 * F.col("na"))
     stars = stored(first.unionByName(heads).where(fits).select("a", "b").distinct(), "leader-pairs")
-    judged = judge(texts, stars, "leaders")
+    judged = judge(texts, nodes, stars, "leaders")
     links = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(links).select("id", "component")
 
     dealt = _open_lists(entries, comps, judged).repartition("shingle", "b1", "b2").sortWithinPartitions("shingle", "b1", "b2", "size", "pos")
     pairs = dealt.select("shingle", "b1", "b2", "bucket", "node", "size", "pos", "component", "leader", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
     pairs = stored(pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
-    more = judge(texts, pairs, "rest").where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = judge(texts, nodes, pairs, "rest").where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more)).select("id", "component")
 
