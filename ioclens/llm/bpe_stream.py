@@ -31,16 +31,15 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LONG, WordSplitter, chunks, symbols
+from .tokens import ChunkEncoder, symbols
 
 BUFFER = 256
-#: Entries of a worker's tables of chunks and of words.
-CACHE = 250_000
 NEVER = 1 << 30
 
 
@@ -157,41 +156,19 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
-class TextCoder(WordSplitter):
-    """Texts to (count, decimal ids, decoded form), once per distinct chunk."""
+class TextCoder(ChunkEncoder):
+    """Texts to (ids, decimal ids, decoded form); words through the transducer."""
 
     def __init__(self, path: str):
-        super().__init__(path)
         self.t = Transducer(path)
-        self.known: dict[bytes, tuple[int, str, str]] = {}
-        self.words: dict[str | int, list[int]] = {}
-
-    def word(self, word: str | int) -> list[int]:
-        ids = [word] if isinstance(word, int) else self.t.word(word)
-        if len(ids) <= LONG:
-            if len(self.words) >= CACHE:
-                self.words = {}
-            self.words[word] = ids
-        return ids
-
-    def ids(self, chunk: bytes) -> list[int]:
-        words = self.words
-        return [i for w in self.parts(chunk) for i in words.get(w) or self.word(w)]
-
-    def chunk(self, chunk: bytes) -> tuple[int, str, str]:
-        ids = self.ids(chunk)
-        got = (len(ids), " ".join(map(str, ids)), " ".join([self.t.strings[i] for i in ids]))
-        if len(chunk) <= LONG:
-            if len(self.known) >= CACHE:
-                self.known = {}
-            self.known[chunk] = got
-        return got
-
-    def text(self, text: str | None) -> tuple[int, str, str]:
-        known = self.known
-        own = [known.get(c) or self.chunk(c) for c in chunks(text)]
-        own = [x for x in own if x[0]]
-        return sum([x[0] for x in own]), " ".join([x[1] for x in own]), " ".join([x[2] for x in own])
+        super().__init__(path, self.t.word)
+        most = max(self.t.strings) + 1
+        self.decimal, self.token = [str(i) for i in range(most)], [self.t.strings.get(i, "") for i in range(most)]
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        for ids in self.encode_all(texts):
+            own = ids.tolist()
+            yield len(own), " ".join(map(self.decimal.__getitem__, own)), " ".join(map(self.token.__getitem__, own))
 
 
 @lru_cache(maxsize=2)
@@ -203,16 +180,18 @@ def encode_texts(docs: DataFrame, path: str, ids_column: bool = True) -> DataFra
     """(doc_id, n_tokens, ids, decoded): ids as decimal numbers joined by one
     space, decoded as the library decodes them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                n, ids, decoded = zip(*map(c.text, part["text"].to_pylist()), strict=True)
+        for part in parts:
+            rows = c.texts(x.as_py() for x in part["text"])
+            ids = part["doc_id"].to_pylist()
+            while ids:
+                n, coded, decoded = zip(*islice(rows, 128), strict=True)
                 if not ids_column:
-                    ids, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (ids, decoded))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    coded, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (coded, decoded))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:len(n)], pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                                                  names=["doc_id", "n_tokens", "ids", "decoded"])
+                ids = ids[len(n):]
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
         .mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

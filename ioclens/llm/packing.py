@@ -45,17 +45,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    packed = enc.encode(text)
-                    ids = np.frombuffer(packed + end, enc.kind).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start:start + capacity]
-                        rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes())))
+            texts = (x.as_py() for x in batch["text"])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.encode_all(texts), strict=True):
+                ids = np.append(ids, end_id).astype("<u4")
+                for k, start in enumerate(range(0, len(ids), capacity)):
+                    own = ids[start:start + capacity]
+                    rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes())))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])

@@ -21,9 +21,9 @@ WORDS = 5
 STEP = 1 << 20
 
 _rng = np.random.default_rng(0x5DEECE66D)
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
-VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)[_lower]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)[LOWER]
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(RADIX), -1, 2**64))
 _space = np.zeros(256, bool)
@@ -46,8 +46,8 @@ def powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _tables[name][:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of each word of a byte array that ends in white space."""
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of each word of a byte array that ends in white space."""
     blank = _space[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
@@ -55,13 +55,13 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, end = edge[::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(VALUE[data] * powers("up", RADIX, len(data)), out=total[1:])
-    return first, (total[end] - total[first]) * powers("down", INVERSE, len(data))[first] + (end - first).astype(np.uint64)
+    return first, end, (total[end] - total[first]) * powers("down", INVERSE, len(data))[first] + (end - first).astype(np.uint64)
 
 
 def _block(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; text k ends before byte
     ends[k], which holds white space."""
-    first, words = word_hashes(data)
+    first, _, words = word_hashes(data)
     upto = np.searchsorted(first, ends)
     counts = np.diff(np.r_[0, upto])
     n = len(words)

@@ -56,13 +56,13 @@ def _write(path: str, folder: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc, part = encoder(path), TaskContext.get().partitionId()
-        end, width = np.array([end_id], enc.kind).tobytes(), enc.kind.itemsize
         out, number, offset, name = None, -1, FILE_IDS, ""
         last: object = run
         copy = 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            texts = (x.as_py() for x in batch["text"])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.encode_all(texts), strict=True):
                 if offset >= FILE_IDS:
                     if out is not None:
                         out.close()
@@ -70,12 +70,12 @@ def _write(path: str, folder: str, end_id: int):
                     fs, at = shared_file(name)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at)
-                ids = enc.encode(text) + end
-                out.write(ids)
+                ids = np.append(ids, end_id).astype(enc.kind)
+                out.write(ids.tobytes())
                 copy = copy + 1 if doc_id == last else 0
                 last = doc_id
-                rows.append((doc_id, copy, part << 20 | number, name, offset, len(ids) // width))
-                offset += len(ids) // width
+                rows.append((doc_id, copy, part << 20 | number, name, offset, len(ids)))
+                offset += len(ids)
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
