@@ -102,9 +102,11 @@ def links(messages: DataFrame) -> DataFrame:
     while True:  # each round doubles how far a root is known
         up = tree.where("parent IS NOT NULL").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         joined = tree.join(up, ["conv_id", "root"], "left")
-        if joined.where("next IS NOT NULL").isEmpty():
+        moved = cut(joined.select("conv_id", "turn", "parent", "n_quoted", "n_linked", F.coalesce("next", "root").alias("root"),
+                                  (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        tree = moved.drop("moved")
+        if moved.where("moved").isEmpty():
             return tree
-        tree = cut(joined.select("conv_id", "turn", "parent", "n_quoted", "n_linked", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
 
 
 def linked(conversations: DataFrame) -> DataFrame:
