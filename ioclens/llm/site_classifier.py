@@ -41,7 +41,7 @@ from .common import stored
 from .mph import mix
 from .shingles import INVERSE, RADIX, STEP, VALUE, powers
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 FEATURES = 512
 Z_LEAST = 5.0
 DF_LEAST = 10
