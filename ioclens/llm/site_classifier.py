@@ -41,7 +41,7 @@ from .common import stored
 from .mph import mix
 from .shingles import INVERSE, RADIX, STEP, VALUE, powers
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 10_000
 FEATURES = 512
 Z_LEAST = 5.0
 DF_LEAST = 10
@@ -140,8 +140,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 
 def fit(rows: DataFrame) -> Model:
-    """The model of (doc_id, text, good) rows, few enough for the driver; only
-    hashed features come to it."""
+    """The model of (doc_id, text, good) rows.  Features are counted and
+    chosen in Spark; the chosen ones and where they occur reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,34 +151,35 @@ def fit(rows: DataFrame) -> Model:
                 for texts in _blocks(part["text"]):
                     doc, key, dense = _features(texts)
                     values += dense.tolist()
-                    keys += [np.unique(key[doc == k]).tobytes() for k in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["good"], pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "good", "keys", "dense"])
-
-    got = rows.mapInArrow(run, "doc_id long, good boolean, keys binary, dense array<double>").orderBy("doc_id").toArrow()
-    good = np.array(got["good"].to_pylist(), bool)
-    n1, n0 = int(good.sum()), int((~good).sum())
-    none = np.zeros(0)
-    flat = Model(none.astype(np.int64), none, np.zeros(len(DENSE)), np.zeros(len(DENSE)), np.ones(len(DENSE)), 0.0)
+                    order = np.argsort(doc, kind="stable")
+                    keys += [np.unique(x) for x in np.split(key[order], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["good"], pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "good", "keys", "dense"])
+
+    seen = stored(rows.mapInArrow(run, "doc_id long, good boolean, keys array<long>, dense array<double>"), "training-features")
+    n1, n0 = seen.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    none, width = np.zeros(0), len(DENSE)
     if not n1 or not n0:
-        return flat
-    sets = [np.frombuffer(x, np.int64) for x in got["keys"].to_pylist()]
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    key, at = np.unique(np.concatenate(sets), return_inverse=True)
-    in1, both = np.bincount(at[good[doc]], minlength=len(key)), np.bincount(at, minlength=len(key))
-    p = both / len(sets)
-    z = (in1 / n1 - (both - in1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    use = np.flatnonzero((np.abs(z) >= Z_LEAST) & (both >= DF_LEAST))
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")[:FEATURES]])
-    column = np.full(len(key), -1)
-    column[use] = np.arange(len(use))
-    hit = column[at] >= 0
+        return Model(none.astype(np.int64), none, np.zeros(width), np.zeros(width), np.ones(width), 0.0)
+    counts = seen.select("good", F.explode("keys").alias("key")).groupBy("key").agg(F.count_if("good").alias("in1"), F.count(F.lit(1)).alias("n"))
+    p = F.col("n") / (n1 + n0)
+    z = F.abs(F.col("in1") / n1 - (F.col("n") - F.col("in1")) / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    best = counts.where(F.col("n") >= DF_LEAST).withColumn("z", z).where(F.col("z") >= Z_LEAST).orderBy(F.desc("z"), "key").limit(FEATURES)
+    keys = np.sort(np.array([r.key for r in best.collect()], np.int64))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.searchsorted(keys, np.intersect1d(k, keys)).tolist() for k in batch["keys"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["good"], pa.array(own, pa.list_(pa.int32())), batch["dense"]], names=["doc_id", "good", "has", "dense"])
+
+    got = seen.mapInArrow(pick, "doc_id long, good boolean, has array<int>, dense array<double>").orderBy("doc_id").toArrow()
     dense = np.array(got["dense"].to_pylist())
     mean, spread = dense.mean(0), np.maximum(dense.std(0), 1e-6)
-    x = np.zeros((len(sets), len(use) + len(DENSE)), np.float32)
-    x[doc[hit], column[at[hit]]] = 1
-    x[:, len(use):] = (dense - mean) / spread
-    w, bias = regress(x, good.astype(np.float32))
-    return Model(key[use], w[:len(use)].astype(np.float64), w[len(use):].astype(np.float64), mean, spread, float(bias))
+    x = np.zeros((got.num_rows, len(keys) + width), np.float32)
+    for k, own in enumerate(got["has"].to_pylist()):
+        x[k, own] = 1
+    x[:, len(keys):] = (dense - mean) / spread
+    w, bias = regress(x, np.array(got["good"].to_pylist(), np.float32))
+    return Model(keys, w[:len(keys)].astype(np.float64), w[len(keys):].astype(np.float64), mean, spread, float(bias))
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
