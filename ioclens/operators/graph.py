@@ -5,7 +5,7 @@ The graph is two DataFrames: nodes (IOC rows) and canonical undirected edges
 as star edges -- every member linked to the group's smallest id -- which
 gives the same connected components as all pairs at linear size.
 Components come from iterative min-label propagation with pointer jumping;
-every round is checkpointed to the shared checkpoint folder so lineage
+every round is written to the shared checkpoint folder so lineage
 stays short and a lost executor only replays one round.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AI_PAIR_CONFIDENCE, COMPONENT_CAMPAIGN_RISK, COMPONENT_MIN_SIZE, EDGE_SAME_SOURCE
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 
 def canonical(edges: DataFrame, a: str = "ioc1_id", b: str = "ioc2_id") -> DataFrame:
@@ -85,18 +85,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round lets every edge propose the smaller endpoint label both to
     the other endpoint and to the node that other label names (hooking, so
     whole trees merge), then follows labels one hop (pointer jumping).  The
-    number of changed labels is counted on the checkpointed result of the
-    round; the loop ends when nothing changed.  Every round is checkpointed
-    to the shared folder, so lineage never spans a round and a lost executor
+    number of changed labels is counted on the written result of the round;
+    the loop ends when nothing changed.  Every round is written once to the
+    shared folder, so lineage never spans a round and a lost executor
     replays at most one round."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    adj = e.select(F.inline(both)).checkpoint(eager=True)
+    adj = kept(e.select(F.inline(both)), "component-edges")
     # start: each node labelled with the smallest id among itself and its neighbours
     labels = adj.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).withColumnRenamed("u", "id")
-    labels = labels.checkpoint(eager=True)
+    labels = kept(labels, "component-labels")
     rounds = 0
     while True:
         rounds += 1
@@ -112,8 +115,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
         # pointer jumping: follow the label to the label its node had
         hop = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jump = step.join(hop, "label", "left") \
-            .select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint(eager=True)
+        jump = kept(step.join(hop, "label", "left")
+                    .select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "component-labels")
         changed = jump.where(F.col("label") != F.col("was")).count()
         labels = jump.select("id", "label")
         connected_components.rounds = rounds
