@@ -48,12 +48,15 @@ from .common import stored
 from .shingles import text_sets
 
 LINK = 75  # per cent
-#: A shingle is frequent from this part of all documents on; blocks in which
-#: it is counted have BLOCK_TOKENS shingles.
-FREQUENT = 0.002
-BLOCK_TOKENS = 1 << 21
+#: A shingle is frequent from so many sets on, counted over blocks of
+#: BLOCK_TOKENS shingles that hold it LOCAL times; of these, the order puts
+#: the FREQUENT_MOST most frequent last.  A list has a salt for each
+#: SALT_ROWS of its nodes.
+FREQUENT = 32
+LOCAL = 3
+BLOCK_TOKENS = 1 << 22
 FREQUENT_MOST = 1 << 18
-SALTS = 64
+SALT_ROWS = 1 << 13
 LAST = 1 << 62  # added to frequent shingles
 BLOCK = 2048
 FILTER_BITS = 1 << 23
@@ -98,7 +101,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def frequent() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
-        often = counts >= max(4, FREQUENT * len(held))
+        often = counts >= LOCAL
         n = int(often.sum())
         none = [None] * n
         return _batch(FACTS_ARROW, none, none, none, none, tokens[often].astype(np.int64), counts[often])
@@ -123,14 +126,16 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # (2) prefix index -------------------------------------------------------------
 
-POSTING, POSTING_ARROW = _longs("shingle node size pos")
+POSTING, POSTING_ARROW = _longs("shingle place node size pos")
+#: ``place``: salt * RARE + how much of the set is not frequent, in 1 / RARE.
+RARE = 1024
 
 
-def _postings(often: np.ndarray) -> Callable:
+def _postings(often: np.ndarray, salts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = 0
             for own in text_sets(batch["text"]):
                 n = len(own)
@@ -139,13 +144,18 @@ def _postings(often: np.ndarray) -> Callable:
                 if len(seen) > 1 << 17:
                     seen.clear()
                 seen.add(node)
-                own = ordered(own, often)[:prefix_size(n)]
-                for c, v in zip(cols, (own, np.full(len(own), node), np.full(len(own), n), np.arange(len(own))), strict=True):
+                own = ordered(own, often)
+                rare = int(np.searchsorted(own, LAST))
+                own = own[:prefix_size(n)]
+                place = np.full(len(own), rare * (RARE - 1) // n)
+                if rare < len(own):
+                    place[rare:] += node % salts[np.searchsorted(often, own[rare:] - LAST)] * RARE
+                for c, v in zip(cols, (own, place, np.full(len(own), node), np.full(len(own), n), np.arange(len(own))), strict=True):
                     c.append(v)
                 rows += len(own)
                 if rows > 1 << 17:
                     yield _batch(POSTING_ARROW, *map(np.concatenate, cols))
-                    cols, rows = [[], [], [], []], 0
+                    cols, rows = [[], [], [], [], []], 0
             if rows:
                 yield _batch(POSTING_ARROW, *map(np.concatenate, cols))
 
@@ -165,15 +175,16 @@ ENTRY, ENTRY_ARROW = _longs("shingle node size pos leader leader_size more")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (shingle, salt, node): lists of two or more nodes
-    with their first node as leader.  Frequent shingles keep lists of one,
+    """From rows sorted by (shingle, place, node): lists of two or more nodes
+    with their first node as leader, that with the least rare shingles.  Frequent shingles keep lists of one,
     as other salts have more.  ``more``: the list has, or may have, nodes
     that were not compared by comparing each with the leader.  Holds a batch
     and one row at a time."""
     none = np.zeros((0, 5), np.int64)
     held, run = none, None  # a first row that may stay alone; or the open list (shingle, salt, leader, size, last node)
     for batch in filter(len, batches):
-        rows = np.column_stack([batch[c].to_numpy() for c in ("shingle", "salt", "node", "size", "pos")])
+        rows = np.column_stack([batch[c].to_numpy() for c in ("shingle", "place", "node", "size", "pos")])
+        rows[:, 1] //= RARE
         rows = np.concatenate([held, rows])
         if run is not None:
             rows = np.concatenate([np.array([[run[0], run[1], run[4], 0, 0]]), rows])  # the row before, to compare with
@@ -378,14 +389,14 @@ def components(docs: DataFrame) -> DataFrame:
     facts = stored(texts.mapInArrow(_facts, FACTS), "jaccard-facts")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "node")
     nodes = stored(facts.where("node IS NOT NULL").select("node", "n", "hist").dropDuplicates(["node"]), "jaccard-nodes")
-    n_docs = members.count()
     often = facts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")) \
-        .where(F.col("seen") >= max(4, FREQUENT * n_docs)).orderBy(F.desc("seen"), "shingle").limit(FREQUENT_MOST)
-    often = np.sort(np.array([r[0] for r in often.select("shingle").collect()], np.int64))
+        .where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "shingle").limit(FREQUENT_MOST).toArrow()
+    by = np.argsort(often["shingle"].to_numpy())
+    often, salts = often["shingle"].to_numpy()[by], often["seen"].to_numpy()[by] // SALT_ROWS + 1
 
-    salt = F.when(F.col("shingle") >= LAST, F.pmod("node", F.lit(SALTS))).otherwise(0).alias("salt")
-    postings = texts.mapInArrow(_postings(often), POSTING).select("shingle", salt, "node", "size", "pos")
-    entries = stored(postings.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node").mapInArrow(_lists, ENTRY), "jaccard-lists")
+    postings = texts.mapInArrow(_postings(often, salts), POSTING).withColumn("salt", F.floor(F.col("place") / RARE))
+    dealt = postings.repartition("shingle", "salt").drop("salt").sortWithinPartitions("shingle", "place", "node")
+    entries = stored(dealt.mapInArrow(_lists, ENTRY), "jaccard-lists")
 
     first = entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_size").alias("na"), F.col("size").alias("nb"))
     heads = entries.where((F.col("node") == F.col("leader")) & (F.col("shingle") >= LAST)).select("shingle", "node", "size")
