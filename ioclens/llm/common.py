@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir, scratch_path
+from ..session import scratch_path
 from ..sources.tables import table
 
-__all__ = ["cut", "documents", "scratch_path", "stored", "table"]
+__all__ = ["documents", "scratch_path", "stored", "table"]
 
 #: White space of words and lines (fixed value): space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+#: Rows of an Arrow batch where the session has Spark's default: texts are
+#: long, and a worker holds a batch several times over.
+BATCH_ROWS = 3000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: cuts lineage, survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return table(spark, sf_dir, "documents")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder, then read back;
-    smaller than a checkpoint and readable column by column."""
+    """The rows written once as Parquet in the shared folder, then read back:
+    cuts lineage and survives lost executors as a checkpoint does, but is
+    computed once and readable column by column."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import stored
 
 SPAN = 1024
 MARKS = re.compile(r"(?:> ?)+")
@@ -97,13 +97,13 @@ def links(messages: DataFrame) -> DataFrame:
     best = F.max_by("source", F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("l"), "n", "source")))
     votes = votes.groupBy("conv_id", "turn").agg(best.alias("parent"), F.sum("n").alias("n_quoted"), F.coalesce(F.sum(F.when(F.col("source").isNotNull(), F.col("n"))), F.lit(0)).alias("n_linked"))
     tree = keyed.select("conv_id", "turn").distinct().join(votes, ["conv_id", "turn"], "left")
-    tree = cut(tree.select("conv_id", "turn", "parent", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-                           F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    tree = stored(tree.select("conv_id", "turn", "parent", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+                           F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "reply-tree")
     while True:  # each round doubles how far a root is known
         up = tree.where("parent IS NOT NULL").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         joined = tree.join(up, ["conv_id", "root"], "left")
-        moved = cut(joined.select("conv_id", "turn", "parent", "n_quoted", "n_linked", F.coalesce("next", "root").alias("root"),
-                                  (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        moved = stored(joined.select("conv_id", "turn", "parent", "n_quoted", "n_linked", F.coalesce("next", "root").alias("root"),
+                                  (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "reply-tree")
         tree = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return tree
