@@ -131,6 +131,8 @@ def build(points: np.ndarray) -> tuple[np.ndarray, int]:
         edges[own] = robust_prune(points, own, np.concatenate([found, edges[own]], axis=1), degree) if at else robust_prune(points, own, found, degree)
         back = np.column_stack([edges[own].ravel(), np.repeat(own, degree)])
         back = back[back[:, 0] >= 0]
+        if not len(back):  # one point alone
+            continue
         back = back[np.argsort(back[:, 0], kind="stable")]
         heads, first, counts = np.unique(back[:, 0], return_index=True, return_counts=True)
         place = np.arange(len(back)) - np.repeat(first, counts)

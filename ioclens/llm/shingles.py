@@ -18,7 +18,7 @@ from .mph import mix
 
 WORDS = 5
 #: Bytes hashed at a time (longer single texts are hashed whole).
-STEP = 1 << 20
+STEP = 1 << 19
 
 _rng = np.random.default_rng(0x5DEECE66D)
 LOWER = np.arange(256, dtype=np.uint8)

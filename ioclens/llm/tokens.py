@@ -24,10 +24,10 @@ from .mph import mix
 from .shingles import LOWER, word_hashes
 
 #: Entries of a worker's table of chunks, of its newest part, and of words;
-#: longer words than LONG are never kept.
-CACHE = 2_000_000
-RECENT = 100_000
-WORDS = 200_000
+#: words of more letters, and chunks of more ids, than LONG are never kept.
+CACHE = 1_000_000
+RECENT = 40_000
+WORDS = 60_000
 LONG = 48
 #: Chunks that need no Unicode normalising, and their words in lower case
 #: (the pre-tokenizer's pattern; fixed values).
@@ -43,7 +43,7 @@ def chunks(text: str | None) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def batches(texts: Iterable[str | bytes | None], size: int = 1 << 20) -> Iterator[list[bytes]]:
+def batches(texts: Iterable[str | bytes | None], size: int = 1 << 19) -> Iterator[list[bytes]]:
     """Texts as UTF-8, in lists of about ``size`` bytes."""
     held, total = [], 0
     for text in texts:
@@ -78,7 +78,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.keys = self.checks = np.zeros(0, np.uint64)
-        self.start = self.size = np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
         self.ids = np.zeros(0, self.kind)
         self.recent: dict[tuple[int, int], list[int]] = {}
 
@@ -87,11 +87,11 @@ class ChunkTable:
             self.clear()
             return
         new = np.array(list(self.recent), np.uint64).reshape(-1, 2)
-        size = np.array([len(x) for x in self.recent.values()], np.int64)
+        size = np.array([len(x) for x in self.recent.values()], np.uint16)
         ids = np.array([i for x in self.recent.values() for i in x], self.kind)
         keys = np.concatenate([self.keys, new[:, 0]])
         order = np.argsort(keys, kind="stable")
-        start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size, dtype=np.int64) - size).astype(np.uint32)])
         self.keys, self.checks = keys[order], np.concatenate([self.checks, new[:, 1]])[order]
         self.start, self.size = start[order], np.concatenate([self.size, size])[order]
         self.ids, self.recent = np.concatenate([self.ids, ids]), {}
@@ -109,7 +109,9 @@ class ChunkTable:
         for k, key in zip(np.flatnonzero(~known).tolist(), zip(keys[~known].tolist(), checks[~known].tolist(), strict=True), strict=True):
             own = self.recent.get(key)
             if own is None:
-                own = self.recent[key] = self.make(chunk(k))
+                own = self.make(chunk(k))
+                if len(own) <= LONG:
+                    self.recent[key] = own
             start[k], size[k] = len(ids) + len(more), len(own)
             more += own
         out = np.concatenate([ids, np.array(more, self.kind)]) if more else ids
