@@ -91,7 +91,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     replays at most one round."""
     def kept(df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(df.sparkSession, name)
-        df.write.parquet(path)
+        # a few files a core: rounds are many and their tables narrow
+        df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
