@@ -13,8 +13,8 @@ def col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Trim leading/trailing whitespace of any kind (not only blanks)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Trim leading/trailing white space of any script (not only blanks)."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
 def count_sub(c, sub: str) -> Column:

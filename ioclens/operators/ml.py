@@ -167,14 +167,15 @@ def stratified_rank(df: DataFrame, label: str, order: Column, ties: list[str], b
     ``order`` (a non-negative integer key) is cut into ``buckets`` ranges;
     rows rank inside (label, range) partitions and range offsets come from a
     small per-(label, range) count table."""
-    d = df.withColumn("_ord", order.cast("long"))
+    d = df.withColumn("_ord", F.coalesce(order.cast("long"), F.lit(-1)))  # rows without an order key rank first
     top = d.select(F.max("_ord")).scalar()
     d = d.withColumn("_bk", F.floor(F.col("_ord") * F.lit(float(buckets)) / (top + 1)).cast("int"))
     cnt = d.groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(label).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))) \
              .withColumn("_size", F.sum("_n").over(Window.partitionBy(label)))
-    d = d.join(cnt.select(label, "_bk", "_off", "_size"), [label, "_bk"])
+    cnt = cnt.select(F.col(label).alias("_lab"), F.col("_bk").alias("_cbk"), "_off", "_size")
+    d = d.join(cnt, F.col(label).eqNullSafe(F.col("_lab")) & (F.col("_bk") == F.col("_cbk"))).drop("_lab", "_cbk")
     wl = Window.partitionBy(label, "_bk").orderBy("_ord", *ties)
     return d.withColumn("_rank", F.col("_off") + F.row_number().over(wl) - 1).drop("_bk", "_off")
 

@@ -294,12 +294,11 @@ def q_network_text_features(spark, sf_dir):
 
 def _explain_sql():
     from .ingest import FALLBACK_SQL
-    lines = ["'AI Analysis Result for URL IOC'", "'" + "=" * 50 + "'", "''", "'IOC Details:'", "'- Type: ' || type",
-             "'- Value: ' || value", "'- Source: Unknown'", "'- First Seen: Unknown'", "'- Last Seen: Unknown'", "''",
-             "'Prediction: UNKNOWN'", "'Confidence: 0.5000 (50.0%)'", "''", "'Key Features Analyzed:'",
-             "'- url_length: ' || cast(url_length AS varchar)",
-             "'- suspicious_keyword_count: ' || cast(suspicious_keyword_count AS varchar)", "''", "'Analysis Summary:'",
-             "'- Unable to make a confident classification. Further analysis recommended.'"]
+    lines = ["'subject: url indicator'", "'type: ' || type", "'value: ' || value", "'source: -'", "'first_seen: -'", "'last_seen: -'",
+             "'model: fallback'", "'verdict: unknown'", "'confidence: 0.5000 (50.0%)'",
+             "'feature url_length: ' || cast(url_length AS varchar)",
+             "'feature suspicious_keyword_count: ' || cast(suspicious_keyword_count AS varchar)",
+             "'outcome: undecided'", "'advice: collect_more_evidence'"]
     kw = S.n_contained("lower(value)", URL_KEYWORDS)
     return f"""WITH {NORM},
 u AS (SELECT origin, ref_id, type, value, length(value) AS url_length, {kw} AS suspicious_keyword_count

@@ -18,9 +18,9 @@ EDGES_SQL = """edges AS (
   GROUP BY src, dst)"""
 COMP_SQL = EDGES_SQL + """,
 adj AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
-reach(node, lab) AS (SELECT u, v FROM adj UNION SELECT r.node, a.v FROM reach r JOIN adj a ON r.lab = a.u),
-comp AS (SELECT node AS id, least(node, min(lab)) AS component FROM reach GROUP BY node)"""
-LAST_DAY = "(SELECT max(cast(created_at AS date)) FROM ioc)"
+comp(id, component) USING KEY (id) AS (SELECT DISTINCT u, u FROM adj
+  UNION SELECT a.u, min(c.component) FROM comp c JOIN adj a ON a.v = c.id JOIN recurring.comp r ON r.id = a.u
+        WHERE c.component < r.component GROUP BY a.u)"""
 
 
 def _nodes(spark, sf_dir):
@@ -70,17 +70,14 @@ def component_members(spark, sf_dir):
 
 
 @query("same_source_edges", f"""WITH {EDGES_SQL},
-day AS (SELECT id, source FROM ioc WHERE cast(created_at AS date) = {LAST_DAY} AND source IS NOT NULL),
+day AS (SELECT id, source FROM ioc WHERE source IS NOT NULL),
 hub AS (SELECT source, min(id) AS hub FROM day GROUP BY 1)
 SELECT h.hub AS src, d.id AS dst, 'same_source' AS relationship_type, 0.6 AS confidence
 FROM day d JOIN hub h ON d.source = h.source
 WHERE d.id <> h.hub AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = h.hub AND e.dst = d.id)""")
 def same_source_edges(spark, sf_dir):
-    """J16 on the last day of sightings (star form)."""
-    ioc = _nodes(spark, sf_dir)
-    last = ioc.select(F.max(F.to_date("created_at"))).scalar()
-    day = ioc.where(F.to_date("created_at") == last)
-    return G.same_source_edges(day, _explicit(spark, sf_dir))
+    """J16 over all sightings (star form)."""
+    return G.same_source_edges(_nodes(spark, sf_dir), _explicit(spark, sf_dir))
 
 
 @query("ai_correlated_edges", f"""WITH {EDGES_SQL},

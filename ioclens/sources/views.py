@@ -95,7 +95,7 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49)
+    li = table(spark, sf_dir, "lineitem")
     n = _n_events(spark, sf_dir)
     return (li.select(F.col("l_partkey").alias("ioc1_id"),
                       ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % n).alias("ioc2_id"),
@@ -160,7 +160,7 @@ GEO_CODES = ["US", "DE", "RU", "CN", "FR", "IR", "BR", "KP", "JP", "GB"]
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed enrichment payloads derived from events (``props`` JSON):
     reputation stats for ip/domain/hash sightings, geolocation for ip,
-    resolved address for domain; none for signups.  ``data`` is JSON text
+    resolved address for domain.  ``data`` is JSON text
     (a plain string for resolved_ip)."""
     return enrichment_from_events(table(spark, sf_dir, "events"))
 
@@ -169,7 +169,6 @@ def enrichment_from_events(e: DataFrame) -> DataFrame:
     """The enrichment projection of an events DataFrame (batch or stream):
     each event yields its payload rows in one pass (an array of structs,
     NULLs filtered, expanded with ``inline``)."""
-    e = e.where(F.col("event_type") != "signup")
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("user_id") % 5
     s = lambda c: c.cast("string")
@@ -226,7 +225,7 @@ FROM events""",
        o_orderdate AS assigned_at FROM orders""",
     "relationship": """SELECT l_partkey AS ioc1_id, (l_partkey * 31 + l_suppkey * 17) % (SELECT count(*) FROM events) AS ioc2_id,
        'related' AS relationship_type, max(l_discount) AS confidence
-FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2""",
+FROM lineitem GROUP BY 1, 2""",
     "flow": """SELECT l_orderkey, l_linenumber, cast(floor(l_quantity) AS bigint) AS packet_count,
        cast(floor(l_extendedprice) AS bigint) AS bytes_transferred, l_tax * 100 AS duration_seconds,
        l_linenumber AS connection_count, cast(floor(l_discount * 100 + 0.5) AS bigint) % 3 AS failed_connections,
@@ -248,7 +247,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{HEX_RE}') AS m FROM documents) A
   '{"reputation": ' || cast(k - 50 AS varchar) || ', "last_analysis_stats": {"malicious": ' || cast(k % 7 AS varchar)
   || ', "suspicious": ' || cast(k % 3 AS varchar) || ', "harmless": ' || cast(60 - k % 7 AS varchar)
   || ', "undetected": ' || cast(k % 11 AS varchar) || '}}' AS data, ts AS created_at
-FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 IN (0, 1, 3)
+FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events) e WHERE user_id % 5 IN (0, 1, 3)
 UNION ALL
 SELECT event_id * 3 + 1, event_id, 'geolocation',
   '{"country_code": "' || cc || '", "country": "' || cc || '", "city": "c' || cast(k % 13 AS varchar) || '"'
@@ -256,10 +255,10 @@ SELECT event_id * 3 + 1, event_id, 'geolocation',
   || ', "lon": ' || cast((k * 13) % 360 - 180 AS varchar) || '}', ts
 FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k,
         ['US', 'DE', 'RU', 'CN', 'FR', 'IR', 'BR', 'KP', 'JP', 'GB'][(user_id + cast(json_extract_string(props, '$.k') AS integer)) % 10 + 1] AS cc
-      FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 = 0
+      FROM events) e WHERE user_id % 5 = 0
 UNION ALL
 SELECT event_id * 3 + 2, event_id, 'resolved_ip', '10.0.' || cast(k % 4 AS varchar) || '.' || cast(user_id % 3 AS varchar), ts
-FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events WHERE event_type <> 'signup') e WHERE user_id % 5 = 1""",
+FROM (SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events) e WHERE user_id % 5 = 1""",
 }
 
 
