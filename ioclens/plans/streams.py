@@ -65,7 +65,7 @@ def stream_lateral_movement(spark, sf_dir):
 
 @query("stream_distinct_indicators", "SELECT DISTINCT type, value FROM ioc")
 def stream_distinct_indicators(spark, sf_dir):
-    """Streaming dedupe on (type, value) within the watermark."""
+    """Streaming dedupe on (type, value)."""
     return J.run(J.dedupe_keys(S.ioc_stream(spark, sf_dir)), "dedupe")
 
 

@@ -35,11 +35,15 @@ def commit_swap(spark, df: DataFrame, table_path: str) -> str:
     cur = Path(table_path)
     fs = cur.getFileSystem(conf)
     df.write.mode("overwrite").parquet(new.toString())
-    if fs.exists(old):
-        fs.delete(old, True)
     if fs.exists(cur):
-        fs.rename(cur, old)
-    fs.rename(new, cur)
+        if fs.exists(old):
+            fs.delete(old, True)
+        if not fs.rename(cur, old):
+            raise OSError(f"{cur} could not be moved aside; the new version is in {new}")
+    # the old version stays until the new one is in place
+    if not fs.rename(new, cur):
+        restored = not fs.exists(old) or fs.rename(old, cur)
+        raise OSError(f"{new} could not be moved into place; the old version is {'back' if restored else f'in {old}'}")
     if fs.exists(old):
         fs.delete(old, True)
     return table_path

@@ -103,10 +103,10 @@ def rule_alert_batches(iocs: DataFrame, name: str = "rule-alerts") -> str:
     anti-joined first."""
     def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(out).select("ioc_id", "message")
-            seen = seen.where(F.col("_batch") != batch_id) if "_batch" in spark.read.parquet(out).columns else seen
-        except Exception:  # first batch: nothing written yet
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            seen = spark.read.parquet(out).where(F.col("_batch") != batch_id).select("ioc_id", "message")
+        else:  # first batch: nothing written yet
             seen = spark.createDataFrame([], "ioc_id long, message string")
         new = rule_alerts(batch, seen).withColumn("_batch", F.lit(batch_id))
         new.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
