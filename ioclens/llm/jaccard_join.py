@@ -20,8 +20,8 @@ Plan.
     their leader's: if y links to the leader x with similarity s, a z with
     similarity under s - .25 to x cannot link to y (Jaccard distance is a
     metric).  Lists longer than BLOCK are joined block by block.
-(5) Candidates are cut by an upper bound from folded histograms of the sets,
-    then counted exactly on the whole sets.
+(5) Candidates are cut by an upper bound from bitmaps of the sets, then
+    counted exactly on the whole sets.
 
 Nothing is sampled or capped; only fixed-size things reach the driver: a
 bounded list of frequent shingles and a bitmap of FILTER_BITS.
@@ -89,8 +89,8 @@ def _longs(names: str) -> tuple[str, pa.Schema]:
 
 # (1) documents to nodes, and frequent shingles -------------------------------
 
-FACTS = "doc_id long, n long, node long, hist binary, shingle long, seen long"
-FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hist", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
+FACTS = "doc_id long, n long, node long, bits binary, shingle long, seen long"
+FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +107,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch(FACTS_ARROW, none, none, none, none, tokens[often].astype(np.int64), counts[often])
 
     for batch in batches:
-        n, nodes, hist = [], [], []
+        n, nodes, bits = [], [], []
         for own in text_sets(batch["text"]):
             n.append(len(own))
-            hist.append(folded(own).tobytes())
+            bits.append(bitmap(own).tobytes() if len(own) else None)
             nodes.append(_node(own) if len(own) else None)
             if len(own) and nodes[-1] not in held:
                 held[nodes[-1]] = own
@@ -119,7 +119,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield frequent()
                     held, size = {}, 0
         none = [None] * len(n)
-        yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, nodes, hist, none, none)
+        yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, nodes, bits, none, none)
     if held:
         yield frequent()
 
@@ -214,24 +214,27 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # (5) candidates to links --------------------------------------------------------
 
-def folded(own: np.ndarray) -> np.ndarray:
-    """Histogram of a set over about n / 4 buckets by its top bits (a power
-    of two, so that one can be folded to a smaller one); 255 is "or more"."""
-    buckets = max(16, 1 << (len(own) // 4).bit_length())
-    shift = 62 - (buckets.bit_length() - 1)
-    return np.minimum(np.bincount((own >> np.uint64(shift)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Packed bits of the buckets that a set's top bits fall in, two to four
+    times as many as its members (a power of two, so that one can be folded
+    to a smaller one)."""
+    buckets = max(64, 1 << (2 * len(own)).bit_length())
+    bits = np.zeros(buckets, bool)
+    bits[(own >> np.uint64(62 - (buckets.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(bits)
 
 
 def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
-    """At least the size of the intersection."""
-    if a.max() == 255 or b.max() == 255:
-        return min(n, m)
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    while len(a) > len(b):
-        a = a.reshape(-1, 2).sum(1)
-    while len(b) > len(a):
-        b = b.reshape(-1, 2).sum(1)
-    return min(n, m, int(np.minimum(a, b).sum()))
+    """At least the size of the intersection: a bucket that only one set has
+    holds a member that the other lacks."""
+    if len(a) != len(b):
+        x, y = np.unpackbits(a), np.unpackbits(b)
+        while len(x) > len(y):
+            x = x.reshape(-1, 2).max(1)
+        while len(y) > len(x):
+            y = y.reshape(-1, 2).max(1)
+        a, b = np.packbits(x), np.packbits(y)
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
 def _sets(wanted: np.ndarray) -> Callable:
@@ -295,7 +298,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(a, b, top, linked) of candidate pairs; ``top`` is the similarity, or
-    an upper bound under the link limit.  ``nodes``: (node, n, hist).  Sets
+    an upper bound under the link limit.  ``nodes``: (node, n, bits).  Sets
     are made again from the texts, for the pairs that the bound leaves."""
     both = pairs.join(nodes.toDF("a", "na", "ha"), "a").join(nodes.toDF("b", "nb", "hb"), "b")
     tops = stored(both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounds, "a long, b long, na long, nb long, top double"), f"tops-{name}")
@@ -388,7 +391,7 @@ def components(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     facts = stored(texts.mapInArrow(_facts, FACTS), "jaccard-facts")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "node")
-    nodes = stored(facts.where("node IS NOT NULL").select("node", "n", "hist").dropDuplicates(["node"]), "jaccard-nodes")
+    nodes = stored(facts.where("node IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"]), "jaccard-nodes")
     often = facts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")) \
         .where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "shingle").limit(FREQUENT_MOST).toArrow()
     by = np.argsort(often["shingle"].to_numpy())

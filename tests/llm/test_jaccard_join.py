@@ -118,7 +118,7 @@ def test_bound_is_never_too_low():
         pool = np.unique(rng.integers(0, 2**62, 2500, dtype=np.uint64))
         a, b = (np.sort(rng.choice(pool, rng.integers(1, 2000), replace=False)) for _ in range(2))
         both = len(np.intersect1d(a, b))
-        assert both <= J.bound(J.folded(a), J.folded(b), len(a), len(b))
+        assert both <= J.bound(J.bitmap(a), J.bitmap(b), len(a), len(b))
 
 
 def test_prefix_and_overlap():
