@@ -28,14 +28,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = 3
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The rows written once as Parquet in the shared folder, then read back:
     cuts lineage and survives lost executors as a checkpoint does, but is
-    computed once and readable column by column.  Written as FILES files a
-    core at most, so many partitions do not make many small files."""
+    computed once and readable column by column.  ``narrow`` rows, of a few
+    numbers each, are written as FILES files a core at most, so many
+    partitions do not make many small files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.parquet(path)
+    (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

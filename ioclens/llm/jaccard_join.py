@@ -53,8 +53,8 @@ LINK = 75  # per cent
 #: the FREQUENT_MOST most frequent last.  A list has a salt for each
 #: SALT_ROWS of its nodes.
 FREQUENT = 32
-LOCAL = 3
-BLOCK_TOKENS = 1 << 22
+LOCAL = 2
+BLOCK_TOKENS = 6 << 20
 FREQUENT_MOST = 1 << 18
 SALT_ROWS = 1 << 13
 LAST = 1 << 62  # added to frequent shingles
@@ -301,14 +301,14 @@ def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> Da
     an upper bound under the link limit.  ``nodes``: (node, n, bits).  Sets
     are made again from the texts, for the pairs that the bound leaves."""
     both = pairs.join(nodes.toDF("a", "na", "ha"), "a").join(nodes.toDF("b", "nb", "hb"), "b")
-    tops = stored(both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounds, "a long, b long, na long, nb long, top double"), f"tops-{name}")
+    tops = stored(both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounds, "a long, b long, na long, nb long, top double"), f"tops-{name}", narrow=True)
     limit = LINK / 100 - 1e-9
     near = tops.where(F.col("top") >= limit).select("a", "b")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(texts.mapInArrow(_sets(_bitmap(ends)), "node long, members binary").dropDuplicates(["node"]), f"sets-{name}")
     exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_exact, JUDGED)
     far = tops.where(F.col("top") < limit).select("a", "b", "top", F.lit(False).alias("linked"))
-    return stored(exact.unionByName(far), f"judged-{name}")
+    return stored(exact.unionByName(far), f"judged-{name}", narrow=True)
 
 
 # (4) the rest of the lists ------------------------------------------------------
@@ -406,14 +406,14 @@ def components(docs: DataFrame) -> DataFrame:
     top = heads.groupBy("shingle").agg(F.min_by(F.struct("node", "size"), "node").alias("h"))
     heads = heads.join(top, "shingle").where(F.col("node") != F.col("h.node")).select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.size").alias("na"), F.col("size").alias("nb"))
     fits = (LINK * F.col("na") <= 100 * F.col("nb")) & (LINK * F.col("nb") <= 100 * F.col("na"))
-    stars = stored(first.unionByName(heads).where(fits).select("a", "b").distinct(), "leader-pairs")
+    stars = stored(first.unionByName(heads).where(fits).select("a", "b").distinct(), "leader-pairs", narrow=True)
     judged = judge(texts, nodes, stars, "leaders")
     links = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(links).select("id", "component")
 
     dealt = _open_lists(entries, comps, judged).repartition("shingle", "b1", "b2").sortWithinPartitions("shingle", "b1", "b2", "size", "pos")
     pairs = dealt.select("shingle", "b1", "b2", "bucket", "node", "size", "pos", "component", "leader", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
-    pairs = stored(pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
+    pairs = stored(pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs", narrow=True)
     more = judge(texts, nodes, pairs, "rest").where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more)).select("id", "component")
