@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ACCOUNT_HIGH_RISK
+from .joins import left_join_known
 from .topn import top_n
 from .upsert import new_keys
 
@@ -35,7 +36,7 @@ def account_threats(mapping: DataFrame, iocs: DataFrame, limit: int = 100) -> Da
     top = top_n(mapping, ["account_id"], [F.col("id")], limit, ["id"])
     i = iocs.select(F.col("id").alias("ioc_id"), F.col("type").alias("ioc_type"), F.col("value").alias("ioc_value"),
                     F.col("risk_score").cast("double").alias("ioc_risk_score"))
-    return top.join(i, "ioc_id", "left").select("account_id", F.col("id").alias("mapping_id"), "ioc_id", "ioc_type",
+    return left_join_known(top, i, "ioc_id").select("account_id", F.col("id").alias("mapping_id"), "ioc_id", "ioc_type",
                                                 "ioc_value", "ioc_risk_score", "threat_input_id", "assigned_at", "rank")
 
 

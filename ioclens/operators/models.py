@@ -5,6 +5,7 @@ score many)."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -15,6 +16,11 @@ from ..session import checkpoint_dir
 _PATHS: dict[tuple, str] = {}
 
 
+def key_name(key: tuple) -> str:
+    """A folder name for a key, the same in every process."""
+    return hashlib.sha256(repr(key).encode()).hexdigest()[:16]
+
+
 def fitted(spark: SparkSession, key: tuple, fit: Callable[[], PipelineModel]) -> PipelineModel:
     """The model saved for ``key`` in this application, else ``fit()``,
     saved and returned."""
@@ -23,7 +29,7 @@ def fitted(spark: SparkSession, key: tuple, fit: Callable[[], PipelineModel]) ->
     if path is not None:
         return PipelineModel.load(path)
     model = fit()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{abs(hash(k)):x}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{key_name(k)}"
     model.write().overwrite().save(path)
     _PATHS[k] = path
     return model
@@ -39,7 +45,7 @@ def materialized(spark: SparkSession, key: tuple, build):
     k = (spark.sparkContext.applicationId, *key)
     path = _TABLES.get(k)
     if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{abs(hash(k)):x}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{key_name(k)}"
         build().write.mode("overwrite").parquet(path)
         _TABLES[k] = path
     return spark.read.parquet(path)

@@ -12,6 +12,7 @@ from ..operators import behavior as B
 from ..operators import enrich as EN
 from ..operators import ml as M
 from ..operators.topn import top_n
+from ..operators.joins import left_join_known
 from ..sources import views
 from .common import r6
 from .registry import query
@@ -37,7 +38,7 @@ def lifecycle_details(spark, sf_dir):
     """Lifecycle entries with the details of their IOC (left join)."""
     i = views.ioc(spark, sf_dir).select(F.col("id").alias("ioc_id"), F.col("type").alias("ioc_type"),
                                         F.col("value").alias("ioc_value"), F.col("risk_score").cast("double").alias("ioc_risk_score"))
-    return views.lifecycle(spark, sf_dir).join(i, "ioc_id", "left").select(
+    return left_join_known(views.lifecycle(spark, sf_dir), i, "ioc_id").select(
         "id", "threat_input_id", "ioc_id", "state", "ts", "ioc_type", "ioc_value", "ioc_risk_score")
 
 

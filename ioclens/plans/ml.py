@@ -143,13 +143,13 @@ def _flow_training_set(spark, sf_dir):
     f = network_features(views.flow(spark, sf_dir)).withColumnRenamed("is_anomalous", "label")
     f = f.withColumn("label", F.col("label").cast("double"))
     s = M.stratified_split(f, "label", _flow_order(), ["l_orderkey", "l_linenumber"])
-    s = M.stratified_folds(s, "label", _flow_order(), ["l_orderkey", "l_linenumber"], k=3)
-    return s.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    return M.stratified_folds(s, "label", _flow_order(), ["l_orderkey", "l_linenumber"], k=3)
 
 
 def _metrics_dir(spark, sf_dir):
+    from ..operators.models import key_name
     from ..session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/metrics/{abs(hash((spark.sparkContext.applicationId, sf_dir))):x}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/metrics/{key_name((spark.sparkContext.applicationId, sf_dir))}"
 
 
 def _training_results(spark, sf_dir):

@@ -146,7 +146,7 @@ def stream_bulk_ingest(spark, sf_dir):
     from ..sources import sinks
     drop, table_path = scratch_path(spark, "drops"), scratch_path(spark, "ioc-table")
     raw = views.raw_inputs(spark, sf_dir).select(F.lit(None).cast("string").alias("type"), "value")
-    sinks.write_csv(raw.repartition(4), drop)
+    sinks.write_csv(raw, drop)
     ioc = views.ioc(spark, sf_dir)
     now = ioc.select(F.max("created_at")).first()[0]
     empty = ioc.where(F.lit(False)).select("type", "value")
