@@ -342,13 +342,15 @@ def list_pairs(rows: np.ndarray, sim: np.ndarray) -> np.ndarray:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, b1, b2, size, pos); a group has at most two blocks."""
+    """Rows sorted by (family, b1, b2, shingle, size, pos): the lists of a
+    family's two blocks are joined together, so a pair that meets in many of
+    them comes out once."""
     kept = None
-    names = ("shingle", "b1", "b2", "bucket", "node", "size", "pos", "component", "leader", "cross")
+    names = ("family", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "cross")
 
     def pairs(rows: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.r_[0, (rows[1:, :3] != rows[:-1, :3]).any(1)])
-        found = list_pairs(np.column_stack([group, rows[:, 3:]]), sim)
+        group = np.cumsum(np.r_[0, (rows[1:, :4] != rows[:-1, :4]).any(1)])
+        found = list_pairs(np.column_stack([group, rows[:, 4:]]), sim)
         return _batch(PAIR_ARROW, found[:, 0], found[:, 1])
 
     for batch in filter(len, batches):
@@ -366,12 +368,17 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one component, dealt to block
-    pairs, with what is known of each node and its leader."""
+    """Entries of the lists that hold more than one component, with what is
+    known of each node and its leader, dealt to families and block pairs.
+    Lists of one leader are a family (they share most of their nodes); a list
+    with several, as it is salted, is one by itself."""
     rows = entries.where(F.col("more") == 1).where((F.col("node") != F.col("leader")) | (F.col("shingle") >= LAST)).drop("leader_size", "more")
     rows = rows.join(comps.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    lists = lists.where("c0 < c1").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                        F.min("leader").alias("l0"), F.max("leader").alias("l1"))
+    lists = lists.where("c0 < c1").select("shingle", "n", F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise(-1 - F.col("shingle")).alias("family"))
+    families = lists.groupBy("family").agg(F.ceil(F.max("n") / BLOCK).alias("blocks"))
+    lists = lists.drop("n").join(families, "family")
     known = judged.select(F.col("a").alias("leader"), F.col("b").alias("node"), "top", F.col("linked").cast("double").alias("tied"))
     rows = rows.join(lists, "shingle").join(known, ["leader", "node"], "left")
     self_ = F.col("leader") == F.col("node")
@@ -411,8 +418,8 @@ def components(docs: DataFrame) -> DataFrame:
     links = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(links).select("id", "component")
 
-    dealt = _open_lists(entries, comps, judged).repartition("shingle", "b1", "b2").sortWithinPartitions("shingle", "b1", "b2", "size", "pos")
-    pairs = dealt.select("shingle", "b1", "b2", "bucket", "node", "size", "pos", "component", "leader", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
+    dealt = _open_lists(entries, comps, judged).repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2", "shingle", "size", "pos")
+    pairs = dealt.select("family", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
     pairs = stored(pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs", narrow=True)
     more = judge(texts, nodes, pairs, "rest").where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not more.isEmpty():
