@@ -99,14 +99,16 @@ def links(messages: DataFrame) -> DataFrame:
     tree = keyed.select("conv_id", "turn").distinct().join(votes, ["conv_id", "turn"], "left")
     tree = stored(tree.select("conv_id", "turn", "parent", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
                            F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "reply-tree", narrow=True)
-    while True:  # each round doubles how far a root is known
-        up = tree.where("parent IS NOT NULL").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = tree.join(up, ["conv_id", "root"], "left")
+    moving, done = tree, tree.limit(0)
+    while True:  # each round doubles how far a root is known; rows whose root is final leave
+        up = done.unionByName(moving).where("parent IS NOT NULL").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        joined = moving.join(up, ["conv_id", "root"], "left")
         moved = stored(joined.select("conv_id", "turn", "parent", "n_quoted", "n_linked", F.coalesce("next", "root").alias("root"),
-                                  (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "reply-tree", narrow=True)
-        tree = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return tree
+                                     (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "reply-tree", narrow=True)
+        done = done.unionByName(moved.where("NOT moved").drop("moved"))
+        moving = moved.where("moved").drop("moved")
+        if moving.isEmpty():
+            return done
 
 
 def linked(conversations: DataFrame) -> DataFrame:
