@@ -60,7 +60,7 @@ FEATS_SQL = """feats AS (
 def _feats(spark, sf_dir):
     ioc = views.ioc(spark, sf_dir)
     as_of = ioc.select(F.max("created_at")).scalar()
-    return E.explanation_features(views.prediction(spark, sf_dir), ioc, views.alert(spark, sf_dir), as_of)
+    return E.explanation_features(views.prediction(spark, sf_dir), ioc, views.alert(spark, sf_dir), views.enrichment(spark, sf_dir), as_of)
 
 
 @query("feature_importance", f"""WITH {FEATS_SQL},
