@@ -52,6 +52,20 @@ def same_source_edges(iocs: DataFrame, existing: DataFrame) -> DataFrame:
     return st.join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def graph_edges(explicit: DataFrame, nodes: DataFrame, enr: DataFrame) -> DataFrame:
+    """The whole graph as one edge table -- explicit edges, then
+    same-source, then shared-enrichment star edges, each kind only where no
+    earlier one has the pair.  An empty source is none; payloads of unknown
+    IOCs are left out."""
+    from .enrich import shared_enrichment_edges
+    known = enr.join(nodes.select(F.col("id").alias("ioc_id")), "ioc_id", "left_semi")
+    cols = ["src", "dst", "relationship_type", "confidence"]
+    first = [e.withColumn("confidence", F.col("confidence").cast("double")).select(*cols)
+             for e in (explicit, same_source_edges(nodes.where("source <> ''"), explicit))]
+    edges = first[0].unionByName(first[1])
+    return edges.unionByName(shared_enrichment_edges(known, edges).select(*cols))
+
+
 def ai_correlated_edges(predictions: DataFrame, existing: DataFrame) -> DataFrame:
     """IOCs with a malicious verdict of confidence > 0.8 are all
     related; star form, pair confidence = min of the two IOCs' best

@@ -31,10 +31,16 @@ def _explicit(spark, sf_dir):
     return G.explicit_edges(views.relationship(spark, sf_dir), _nodes(spark, sf_dir))
 
 
+def _all_edges(spark, sf_dir):
+    """Explicit, same-source and shared-enrichment edges (star form)."""
+    nodes = _nodes(spark, sf_dir)
+    return G.graph_edges(_explicit(spark, sf_dir), nodes, views.enrichment(spark, sf_dir))
+
+
 def _components(spark, sf_dir):
-    """Component labels of the explicit graph, computed once per dataset."""
+    """Component labels of the whole graph, computed once per dataset."""
     from ..operators.models import materialized
-    return materialized(spark, (sf_dir, "components"), lambda: G.connected_components(_explicit(spark, sf_dir)))
+    return materialized(spark, (sf_dir, "components"), lambda: G.connected_components(_all_edges(spark, sf_dir)))
 
 
 @query("graph_edges", f"WITH {EDGES_SQL} SELECT src, dst, relationship_type, round(confidence, 6) AS confidence FROM edges")
