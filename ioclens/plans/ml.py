@@ -233,7 +233,8 @@ def network_feature_ranking(spark, sf_dir):
 def _clusters(spark, sf_dir):
     ioc = views.ioc(spark, sf_dir)
     as_of = ioc.select(F.max("created_at")).scalar()
-    return M.kmeans_clusters(M.cluster_features(ioc, None, as_of))
+    counts = views.enrichment(spark, sf_dir).groupBy(F.col("ioc_id").alias("id")).agg(F.count(F.lit(1)).alias("enrichment_count"))
+    return M.kmeans_clusters(M.cluster_features(ioc, counts, as_of))
 
 
 @query("ioc_clusters")
