@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -84,13 +84,15 @@ KEY_SCHEMA = "hi long, lo long, doc_id long"
 
 def repeated_keys(texts: DataFrame) -> tuple[DataFrame, int]:
     """(hi, lo, first_doc, n_docs) of keys in two or more documents, stored;
-    the number of keys counted once a document."""
-    seen = Observation()
+    the number of keys counted once a document.  Keys of one document fold
+    into a row without a name, which carries their number."""
     keys = texts.mapInArrow(_line_rows, KEY_SCHEMA).groupBy("hi", "lo").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
-    keys = keys.observe(seen, F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"))
-    found = stored(keys.where("first_doc < last_doc").drop("last_doc"), "line-keys")
-    return found, seen.get["n"]
+    name = [F.when(F.col("first_doc") < F.col("last_doc"), F.col(c)).alias(c) for c in ("hi", "lo")]
+    folded = keys.select(*name, "first_doc", "n_docs").groupBy("hi", "lo").agg(F.min("first_doc").alias("first_doc"), F.sum("n_docs").alias("n_docs"))
+    folded = stored(folded, "line-keys")
+    total = folded.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    return folded.where("hi IS NOT NULL"), total
 
 
 def _shard_index(group: pa.Table) -> pa.Table:
