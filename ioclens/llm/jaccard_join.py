@@ -392,9 +392,9 @@ def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> Data
 
 # all ------------------------------------------------------------------------------
 
-def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each input row."""
-    spark = docs.sparkSession
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, own) for each input row: its set's size and the name of
+    its component (null for the empty set)."""
     texts = _texts(docs)
     facts = stored(texts.mapInArrow(_facts, FACTS), "jaccard-facts")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "node")
@@ -425,8 +425,13 @@ def components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more)).select("id", "component")
 
-    group = F.coalesce("component", "node")
-    rows = members.join(comps.toDF("node", "component"), "node", "left").select("doc_id", "n", group.alias("own"))
+    own = F.coalesce("component", "node").alias("own")
+    return members.join(comps.toDF("node", "component"), "node", "left").select("doc_id", "n", own)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each input row."""
+    rows = groups(docs)
     least = rows.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "own", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -437,10 +442,20 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that with the smallest id.
-    Documents without an id stay."""
-    gone = components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays: that with the smallest id (rows
+    without an id come last), and of several such rows any one.  Decided by
+    row, so rows that share an id, or have none, stay or go one by one; rows
+    with the empty set all stay, as they link with nothing."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard-rows")
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    of = groups(rows.select(F.col(key).alias("doc_id"), "text")).withColumnRenamed("doc_id", "key").join(ids, "key")
+    best = F.min_by("key", F.struct(F.col("id").isNull(), "id", "key"))
+    kept = of.where("own IS NOT NULL").groupBy("own").agg(best.alias(key)).select(key)
+    kept = kept.unionByName(of.where("own IS NULL").select(F.col("key").alias(key)))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 SQL = r"""

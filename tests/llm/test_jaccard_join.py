@@ -102,7 +102,14 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(2, "a b c d e f g", "x", 1), (1, "A b c d e f g", "y", 2), (3, "other words", "z", 3), (None, "a b c d e f g", None, None), (4, "", "e", 0)], schema)
     out = J.stage(docs)
     assert out.columns == docs.columns
-    assert {r.doc_id for r in out.collect()} == {1, 3, 4, None}
+    assert {r.doc_id for r in out.collect()} == {1, 3, 4}
+
+
+def test_stage_decides_by_row(spark):
+    """Rows that share an id or have none: each text stays once."""
+    a, b, c = "a b c d e f g", "some other words that stay", "three three three three three"
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (None, a), (7, c), (7, c), (None, "only here"), (None, "only here")], DOCS)
+    assert sorted((tuple(r) for r in J.stage(docs).collect()), key=str) == sorted([(1, a), (2, b), (7, c), (None, "only here")], key=str)
 
 
 def test_sets_of_long_and_odd_texts():
