@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, site_classifier, token_counts, token_store, warc
+from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, site_classifier, token_align, token_counts, token_store, warc
 from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
+
+
 QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_quote_links, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op8_site_classifier, op9_best_fit_packing,
-                                  op10_bpe_transducer, op11_token_counts)}
+                                  op10_bpe_transducer, op11_token_counts, op12_token_alignment)}
 ORACLE = {"op2_quote_links": quote_links.SQL, "op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
