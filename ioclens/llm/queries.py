@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, site_classifier, token_align, token_counts, token_store, warc
+from . import bpe_stream, graph_ann, jaccard_join, line_dedup, packing, quality_rules, quote_links, site_classifier, spelling, token_align, token_counts, token_store, warc
 from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_quote_links, op3_warc_normalizer, op4_line_dedup, op5_jaccard_join, op6_token_store, op7_quality_rules, op8_site_classifier, op9_best_fit_packing,
-                                  op10_bpe_transducer, op11_token_counts, op12_token_alignment)}
-ORACLE = {"op2_quote_links": quote_links.SQL, "op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
+                                  op10_bpe_transducer, op11_token_counts, op12_token_alignment, op13_spelling_variants)}
+ORACLE = {"op2_quote_links": quote_links.SQL, "op3_warc_normalizer": warc.SQL, "op5_jaccard_join": jaccard_join.SQL, "op4_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL,
+          "op13_spelling_variants": spelling.SQL}

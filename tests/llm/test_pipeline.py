@@ -56,7 +56,7 @@ def test_pipeline_matches_brute_force(spark):
 
 def test_registered():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if re.match(r"op\d+_", n)] == [f"op{k}" for k in range(1, 13)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if re.match(r"op\d+_", n)] == [f"op{k}" for k in range(1, 14)] and "pipeline" in names
     assert {"op2_quote_links", "op3_warc_normalizer", "op4_line_dedup", "op5_jaccard_join", "op7_quality_rules"} <= set(entry.oracle_sql())
     assert [n for n, _ in P.STAGES] == ["quality rules", "quality classifier", "line dedup", "n-gram Jaccard join", "best-fit packing"]
 
