@@ -182,6 +182,6 @@ p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest =
 f AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, (-o.n, p.other)) AS best, max(o.n) AS m FROM p JOIN w o ON o.word = p.other GROUP BY p.word),
 g AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.m >= 2 * w.n THEN f.best END AS form, CASE WHEN f.m >= 2 * w.n THEN f.m END AS form_n
       FROM w LEFT JOIN f ON f.word = w.word),
-r(word, at) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.at WHERE g.form IS NOT NULL)
-SELECT g.word, g.form, r.at AS root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word JOIN g e ON e.word = r.at AND e.form IS NULL
+r(word, top) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.top WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, r.top AS root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word JOIN g e ON e.word = r.top AND e.form IS NULL
 """
