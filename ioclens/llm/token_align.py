@@ -34,6 +34,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,32 +54,26 @@ WIDE = 64
 
 SPACE = "▁"
 BYTE = re.compile("<0x([0-9A-F]{2})>")
-CHUNK = re.compile(" *[^ ]+| +")
 
 
 class Pieces:
-    """Ids of a piece vocabulary (B).  If no piece holds a space after another
-    character, merges never cross such a place, so the chunks between them are
-    encoded one by one and short ones kept; else whole texts are."""
+    """Ids of a piece vocabulary (B), which puts a space before a text."""
 
     def __init__(self, path: str):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        names = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = []
-        for i, name in enumerate(names):
+        for i in range(self.model.get_piece_size()):
+            name = self.model.id_to_piece(i)
             byte = BYTE.fullmatch(name) if self.model.is_byte(i) else None
             plain = not (self.model.is_control(i) or self.model.is_unknown(i))
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else name.replace(SPACE, " ").encode() if plain else b"")
-        self.cuts = not any(SPACE in name.lstrip(SPACE) for name in names)
-        # the model puts a space before a text, but none before no text
-        self.known = Known({" ": [self.model.piece_to_id(SPACE)]}, lambda chunk: self.model.encode(chunk[1:]))
 
     def ids(self, text: str) -> list[int]:
-        if not self.cuts:
-            return self.model.encode(text)
-        return [i for own in map(self.known.__getitem__, CHUNK.findall(" " + text)) for i in own]
+        return self.model.encode(text)
+
+    def covers(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == raw
 
 
 class Bytes:
@@ -92,9 +87,14 @@ class Bytes:
         for entry, i in vocabulary.items():
             self.bytes[i] = bytes([byte[s] for s in entry])
         self.known = Known({t: [i] for t, i in proven(path).items()}, self.bpe.merged)
+        # merging keeps all bytes if each byte is an entry
+        self.lossless = all(s in vocabulary for s in symbols())
 
     def ids(self, text: str) -> list[int]:
-        return [i for own in map(self.known.__getitem__, self.bpe.words(text)) for i in own]
+        return list(chain.from_iterable(map(self.known.__getitem__, self.bpe.words(text))))
+
+    def covers(self, ids: list[int], raw: bytes) -> bool:
+        return self.lossless or b"".join(map(self.bytes.__getitem__, ids)) == raw
 
 
 def labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ class Aligner:
             whole = " " + text
             raw = whole.encode()
             a, b = self.a.ids(whole), self.b.ids(text)
-            if b"".join([self.a.bytes[i] for i in a]) == raw and b"".join([self.b.bytes[i] for i in b]) == raw:
+            if self.a.covers(a, raw) and self.b.covers(b, raw):
                 return a, b
         return [], []
 
@@ -172,7 +172,7 @@ class Aligner:
         each text; a pair is a << 32 | b."""
         both = [self.tokens(t) for t in texts]
         na, nb = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for x in both for i in x[k]), np.int64, int(n.sum())) for k, n in ((0, na), (1, nb)))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in both), np.int64, int(n.sum())) for k, n in ((0, na), (1, nb)))
         if not len(a):
             return [(0, 0, 0, 0, "", [], []) for _ in texts]
         ga, gb = labels(np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b]))
