@@ -6,13 +6,17 @@ search on the graph so far proposes neighbours, and relaxed distance pruning
 keeps a proposed neighbour only if no nearer kept one is ALPHA times closer to
 it than the point itself, so kept edges point in different directions; kept
 edges also get their reverse, pruned the same way where a node has too many.
-Queries go to each shard in blocks of QUERIES and run as one beam search over
-arrays.  Scores of what is found are taken again in double precision from the
-original vectors.
-
-Equal vectors are one node holding its KEEP smallest ids, so thousands of
-copies neither crowd a graph nor make ties uncertain: among equal scores only
-the smallest ids can be asked for.
+Last, nodes that no path from the start leads to (among crowds of near copies
+most edges are pruned) get an edge from a near node that one does.
+Queries are written once, and each shard's task reads them in blocks beside
+its graph, so the index is shuffled once however many queries there are.  All
+nodes of a query's beam are scored again in double precision before the
+nearest are taken.
+
+Vectors that differ by a power of two have exactly the same cosines, so they
+are one node (of the vector scaled to a largest component in [1, 2)) holding
+its smallest ids: thousands of copies neither crowd a graph nor make ties
+uncertain, as among equal scores only the smallest ids can be asked for.
 
 Every row is indexed.  Recall against brute force is measured by the tests and
 stated in the README.
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_path, shared_file, stored
 from .mph import mix
 
 SHARD = 8192
@@ -42,6 +46,7 @@ BUILD_BEAM = 64
 BEAM = 192
 ALPHA = 1.2
 BATCH = 512
+SPARE = 8  # edges a node may take on for nodes that no other edge leads to
 STEP = 4  # nodes a query opens at once
 
 
@@ -99,8 +104,8 @@ def robust_prune(points: np.ndarray, own: np.ndarray, found: np.ndarray, degree:
     """Neighbours of each point of ``own`` among its candidates ``found``
     (-1 pads), padded with -1."""
     found = np.where(found == own[:, None], -1, found)
-    vectors = points[np.maximum(found, 0)]
-    to_own = np.where(found >= 0, 2 - 2 * np.einsum("bcd,bd->bc", vectors, points[own]), np.inf)
+    vectors = points[np.maximum(found, 0)].astype(np.float64)  # near copies lie within single precision of each other
+    to_own = np.where(found >= 0, 2 - 2 * np.einsum("bcd,bd->bc", vectors, points[own].astype(np.float64)), np.inf)
     between = 2 - 2 * (vectors @ vectors.transpose(0, 2, 1))
     left, out = to_own.copy(), np.full((len(own), degree), -1, np.int64)
     rows = np.arange(len(own))
@@ -144,7 +149,45 @@ def build(points: np.ndarray) -> tuple[np.ndarray, int]:
             both.sort(axis=1)
             both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
             edges[h] = robust_prune(points, h, both, degree)
-    return edges, start
+    return reach_all(points, edges, start), start
+
+
+def reached(edges: np.ndarray, start: int) -> np.ndarray:
+    seen = np.zeros(len(edges), bool)
+    seen[start] = True
+    new = np.array([start])
+    while len(new):
+        onward = edges[new].ravel()
+        onward = np.unique(onward[onward >= 0])
+        new = onward[~seen[onward]]
+        seen[new] = True
+    return seen
+
+
+def reach_all(points: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
+    """The edges with up to SPARE more a node, so that paths from the start
+    lead to every node that finds a near node with room."""
+    edges = np.concatenate([edges, np.full((len(edges), SPARE), -1, edges.dtype)], axis=1)
+    room = np.full(len(edges), SPARE)
+    while not (seen := reached(edges, start)).all():
+        left = np.flatnonzero(~seen)
+        before = room.sum()
+        for at in range(0, len(left), BATCH):
+            own = left[at:at + BATCH]
+            found, _ = beam_search(points, edges, start, points[own], BUILD_BEAM)
+            for u, near in zip(own.tolist(), found, strict=True):
+                if seen[u]:
+                    continue
+                near = near[near >= 0]
+                near = near[room[near] > 0]
+                if len(near):
+                    edges[near[0], edges.shape[1] - room[near[0]]] = u
+                    room[near[0]] -= 1
+                    seen[u] = True
+        if room.sum() == before:
+            break
+    width = edges.shape[1] - SPARE
+    return edges[:, :width + SPARE - int(room.min())]
 
 
 # Spark -----------------------------------------------------------------------
@@ -162,9 +205,17 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
-    """(key, v, ids): distinct vectors with their ``keep`` smallest ids.  The
-    ranking limits rows in each task before its shuffle, so a vector that
-    many rows share stays small."""
+    """(key, v, ids): distinct directions (vectors up to a power of two) with
+    their ``keep`` smallest ids.  The ranking limits rows in each task before
+    its shuffle, so a vector that many rows share stays small."""
+    largest = F.array_max(F.transform("v", F.abs))
+    power = F.floor(F.log2(largest)).cast("double")
+    left = largest / F.pow(F.lit(2.0), power)  # the logarithm may be off by one at a power of two
+    power = F.when(left >= 2, power + 1).when(left < 1, power - 1).otherwise(power)
+    # scaled in two steps, as the power itself may be out of range
+    half = F.floor(power / 2)
+    rows = rows.withColumn("_a", F.pow(F.lit(2.0), half)).withColumn("_b", F.pow(F.lit(2.0), power - half))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.col("_a") / F.col("_b") + F.lit(0.0))).drop("_a", "_b")
     rows = rows.withColumn("key", F.xxhash64("v"))
     once = rows.groupBy("key", "v", "vec_id").agg(F.lit(1).alias("one")).drop("one")
     salted = once.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -196,39 +247,46 @@ def index(rows: DataFrame, keep: int) -> DataFrame:
     return stored(nodes.groupBy("dim", "shard").applyInArrow(_build, INDEX), "ann-graphs")
 
 
+def _blocks(path: str, dim: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(ids, vectors) of the written queries of one length, QUERIES at a time."""
+    system, folder = shared_file(path)
+    from pyarrow import dataset
+    asked = dataset.dataset(folder, filesystem=system, format="parquet")
+    for batch in asked.to_batches(filter=dataset.field("dim") == dim, columns=["query_id", "v"], batch_size=QUERIES):
+        if len(batch):
+            yield batch["query_id"].to_pylist(), _vectors(batch["v"])
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """FOUND: each query's k best of each shard, itself left out.  Queries
-    meet a shard in blocks of QUERIES."""
+    """FOUND: each query's k best of each shard, itself left out."""
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
+    path = scratch_path(queries.sparkSession, "ann-queries")
+    asked.write.parquet(path)
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(asked: pa.Table, graph: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not asked.num_rows or not graph.num_rows:
-            return kinds.empty_table()
+    def run(graph: pa.Table) -> pa.Table:
         graph = graph.sort_by([("node", "ascending")])
         vectors = np.stack([np.frombuffer(x, np.float64) for x in graph["vector"].to_pylist()])
         edges = np.stack([np.frombuffer(x, np.int32) for x in graph["edges"].to_pylist()]).astype(np.int64)
         ids, start = graph["ids"].to_pylist(), graph["start"][0].as_py()
-        own, q = asked["query_id"].to_pylist(), _vectors(asked["v"])
         points, length = unit(vectors), np.sqrt((vectors * vectors).sum(1))
-        out: list[tuple] = []
-        for at in range(0, len(q), 512):
-            part = q[at:at + 512]
-            nodes, _ = beam_search(points, edges, start, unit(part), max(beam, 2 * k))
-            nodes = nodes[:, :2 * k + 2]
-            for i, query_id in enumerate(own[at:at + 512]):
-                best = nodes[i][nodes[i] >= 0]
-                scores = (vectors[best] @ part[i]) / (length[best] * np.sqrt(part[i] @ part[i]))
-                found = sorted((-s, v) for s, b in zip(scores.tolist(), best.tolist(), strict=True) for v in ids[b] if v != query_id)
-                out += [(query_id, v, -s) for s, v in found[:k]]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], schema=kinds)
-
-    places = graphs.groupBy("dim", "shard").agg(F.lit(1).alias("one")).select("dim", (F.col("shard") + 0).alias("part"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.join(places, "dim")
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return asked.groupBy("dim", "part", "block").cogroup(held.groupBy("dim", "shard", "block")).applyInArrow(run, FOUND)
+        out = [kinds.empty_table()]
+        for own, q in _blocks(path, vectors.shape[1]):
+            for at in range(0, len(q), 512):
+                part = q[at:at + 512]
+                nodes, _ = beam_search(points, edges, start, unit(part), max(beam, 2 * k))
+                rows: list[tuple] = []
+                for i, query_id in enumerate(own[at:at + 512]):
+                    best = nodes[i][nodes[i] >= 0]
+                    scores = (vectors[best] @ part[i]) / (length[best] * np.sqrt(part[i] @ part[i]))
+                    # nodes as good as the (k + 1)th hold all of the k nearest, the query's own node aside
+                    enough = scores >= (np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else -2)
+                    near = sorted((-s, v) for s, b in zip(scores[enough].tolist(), best[enough].tolist(), strict=True) for v in ids[b] if v != query_id)
+                    rows += [(query_id, v, -s) for s, v in near[:k]]
+                out.append(pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds) if rows else kinds.empty_table())
+        return pa.concat_tables(out)
+
+    return graphs.groupBy("dim", "shard").applyInArrow(run, FOUND)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:

@@ -49,6 +49,32 @@ def test_many_equal_vectors(spark):
     same(found(spark, rows), brute(rows))
 
 
+def test_scaled_copies_tie(spark):
+    """Multiples by powers of two have equal cosines: ids decide, beyond any beam."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=8)
+    rows = [(i, f32(one * 2.0 ** (i % 60 - 30))) for i in range(400)] + [(1000 + i, f32(rng.normal(size=8))) for i in range(200)]
+    got = found(spark, rows)
+    same(got, brute(rows))
+    assert [g[2] for g in got if g[0] == 0] == [1, 2, 3, 4, 5]
+
+
+def test_slightly_perturbed_copies(spark):
+    """More vectors than k within single precision of each other."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=8)
+    rows = [(i, f32(one * (1 + 1e-4 * rng.normal(size=8)))) for i in range(100)] + [(1000 + i, f32(rng.normal(size=8))) for i in range(200)]
+    got, want = found(spark, rows), brute(rows)
+    assert np.mean([g[2] == w[2] for g, w in zip(got, want, strict=True)]) >= 0.95
+
+
+def test_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f32(rng.normal(size=4)), "x", 1, 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, VECTORS + ", ids string, dim int, score double")
+    same(sorted(tuple(r) for r in G.query(df).collect()), brute([r[:2] for r in rows]))
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, [1.0]), (50, None)]) == []
