@@ -15,8 +15,9 @@ mean is (its sum + k * global mean) / (its documents + k), a path's likewise
 around its host, so a site of few documents stays near the prior above it.
 
 A document's log-odds are its own evidence (model log-odds less those of the
-global mean) plus those of its path's posterior; it is kept from KEEP_FROM on,
-as losing a good document costs more than keeping a bad one.
+global mean) plus those of its path's posterior, from which the document
+itself is left out of both sums, so its evidence counts once; it is kept from
+KEEP_FROM on, as losing a good document costs more than keeping a bad one.
 
 Here the host of a document is its ``source`` and the path its ``lang``.
 
@@ -136,7 +137,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * most / n))
     # about ``most`` rows of two values whatever the corpus, so broadcast is safe
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    # an id that many rows share teaches once, so what is fitted stays bounded
+    return rows.groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("doc_id", "text", "good")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -228,7 +231,8 @@ def strength(groups: float, n: float, squares: float, between: float, within: fl
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, n, path_mean, host_mean) and the global mean, from (host,
+    """(host, path, n, path_mean, host_mean), the sums (s, hn, hs) and weights
+    of priors (k_host, k_path) behind them, and the global mean, from (host,
     path, logit) rows.  Two rows of sums reach the driver."""
     paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("logit")))).alias("s"))
     paths = stored(paths, "site-paths")
@@ -238,14 +242,14 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
     sums = lambda df, n, s: df.agg(F.count(F.lit(1)), F.sum(n), F.sum(F.col(n).cast("double") * F.col(n)), F.sum(s), F.sum(F.col(s) * F.col(s) / F.col(n))).first()
     g, n, squares, total, square_means = sums(hosts, "hn", "hs")
     if not g:
-        return paths.withColumn("path_mean", m).withColumn("host_mean", m).drop("s"), 0.5
+        return both.withColumns({"path_mean": m, "host_mean": m, "k_host": F.lit(1.0), "k_path": F.lit(1.0)}), 0.5
     mean = min(max(total / n, 1e-6), 1 - 1e-6)
     k_host = strength(g, n, squares, square_means - total * total / n, total - square_means)
     pg, _, psquares, _, pmeans = sums(paths, "n", "s")
     k_path = strength(pg - g + 1, n, psquares, pmeans - square_means, total - pmeans)
     host_mean = (F.col("hs") + k_host * mean) / (F.col("hn") + k_host)
     both = both.withColumn("host_mean", host_mean).withColumn("path_mean", (F.col("s") + k_path * F.col("host_mean")) / (F.col("n") + k_path))
-    return both.select("host", "path", "n", "path_mean", "host_mean"), mean
+    return both.withColumns({"k_host": F.lit(float(k_host)), "k_path": F.lit(float(k_path))}), mean
 
 
 def _odds(p: Column) -> Column:
@@ -256,10 +260,14 @@ def _odds(p: Column) -> Column:
 def decided(rows: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
     """Adds site columns, ``log_odds`` and ``kept`` to (host, path, logit, ...)
     rows.  Salted, so a host with a third of all rows is spread out."""
-    own = sites.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = sites.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("logit"), F.lit(SALTS))).join(own, ["host", "path", "salt"])
-    log_odds = F.col("logit") - math.log(mean / (1 - mean)) + _odds(F.col("path_mean"))
-    return rows.drop("salt").withColumn("log_odds", log_odds).withColumn("kept", F.col("log_odds") >= KEEP_FROM)
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    host = (F.col("hs") - p + F.col("k_host") * mean) / (F.col("hn") - 1 + F.col("k_host"))
+    site = (F.col("s") - p + F.col("k_path") * host) / (F.col("n") - 1 + F.col("k_path"))
+    log_odds = F.col("logit") - math.log(mean / (1 - mean)) + _odds(site)
+    rows = rows.withColumn("log_odds", log_odds).withColumn("kept", F.col("log_odds") >= KEEP_FROM)
+    return rows.drop("salt", "n", "s", "hn", "hs", "k_host", "k_path")
 
 
 def _parts(docs: DataFrame, host: str, path: str) -> list[Column]:

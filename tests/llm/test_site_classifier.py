@@ -41,6 +41,26 @@ def test_posteriors_shrink_sparse_sites(spark):
         assert abs(r.path_mean - r.host_mean) < 0.2
 
 
+def test_decisions_match_brute_force(spark):
+    """Log-odds by hand, each document left out of its site's sums."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"h{i % 5 % 3}", f"p{i % 4}", float(rng.normal(1, 3))) for i in range(400)] + [(1000, "alone", "p", -2.0), (1001, "alone", "q", 30.0)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, logit double")
+    sites, mean = S.posteriors(df)
+    k_host, k_path = sites.select("k_host", "k_path").first()
+    p = {r[0]: 1 / (1 + np.exp(-r[3])) for r in rows}
+    odds = lambda x: float(np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6))))
+    got = {r.doc_id: r for r in S.decided(df, sites, mean).collect()}
+    assert abs(mean - np.mean(list(p.values()))) < 1e-9 and len(got) == len(rows)
+    for i, host, path, logit in rows:
+        of_host = [p[j] for j, h, _, _ in rows if h == host and j != i]
+        of_path = [p[j] for j, h, q, _ in rows if (h, q) == (host, path) and j != i]
+        host_mean = (sum(of_host) + k_host * mean) / (len(of_host) + k_host)
+        site = (sum(of_path) + k_path * host_mean) / (len(of_path) + k_path)
+        want = logit - odds(mean) + odds(site)
+        assert abs(got[i].log_odds - want) < 1e-6 and got[i].kept == (want >= S.KEEP_FROM)
+
+
 def test_prior_strength():
     # equal groups: no spread between them beyond chance gives a strong prior
     assert S.strength(10, 1000, 10 * 100**2, 9 * 0.25, 990 * 0.25) >= 1e5
@@ -76,3 +96,5 @@ def test_training_rows_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3000)] + [(1, 0, 1)], "doc_id long, quality int, toxic int")
     assert S.training_rows(docs, labels).count() == 3000
     assert 200 <= S.training_rows(docs, labels, most=300).count() <= 400
+    copies = spark.createDataFrame([(7, "the same id")] * 500, "doc_id long, text string")
+    assert S.training_rows(docs.unionByName(copies), labels).where("doc_id = 7").count() == 1
