@@ -10,10 +10,12 @@ the transducer goes on from there with at most BUFFER + lookahead symbols
 held, however long the word.  A boundary that no merge crosses splits the
 encoding into two independent ones, so the ids are those of the whole word.
 
-Decoder.  ``Decoder.feed`` turns ids into text as they come: byte symbols
-pass an incremental UTF-8 machine that holds an unfinished character, and the
-end-of-word mark gives a space.  ``spaced`` gives the form of a tokenizer file
-without a decoder: the vocabulary's token strings joined by one space.
+Decoder.  ``Decoder.feed`` turns ids into text as they come.  In its byte
+form, byte symbols pass an incremental UTF-8 machine that holds an unfinished
+character, and the end-of-word mark gives a space.  A tokenizer file without a
+decoder asks for the spaced form: token strings with one space between, for
+which the machine holds whether a token went out before.  The vocabulary's file
+is of that kind, so the query decodes in the spaced form, DECODED ids at a time.
 
 Normalising and splitting into words follow the tokenizer file, through the
 library's own normaliser and pre-tokenizer on one white-space chunk at a time
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from .tokens import ChunkEncoder, symbols
 
 BUFFER = 256
+DECODED = 1 << 14
 NEVER = 1 << 30
 
 
@@ -71,6 +74,7 @@ class Transducer:
         self.lookahead = lookahead(merges, size)
         self.strings = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.spaced = spec["decoder"] is None
         self.strings.update({i: t for t, i in self.special.items()})
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -132,14 +136,20 @@ class Transducer:
 
 
 class Decoder:
-    """Ids to text, piece by piece; holds at most one unfinished character."""
+    """Ids to text, piece by piece; holds at most one unfinished character, or
+    in the spaced form one flag."""
 
-    def __init__(self, transducer: Transducer):
-        self.t = transducer
+    def __init__(self, transducer: Transducer, spaced: bool = False):
+        self.t, self.spaced, self.begun = transducer, spaced, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.byte = {s: b for b, s in enumerate(symbols())}
 
     def feed(self, ids: Iterable[int]) -> str:
+        if self.spaced:
+            tokens = list(map(self.t.strings.__getitem__, ids))
+            lead = [""] if self.begun and tokens else []
+            self.begun = self.begun or bool(tokens)
+            return " ".join(lead + tokens)
         out = []
         for i in ids:
             token = self.t.strings[i]
@@ -157,18 +167,33 @@ class Decoder:
 
 
 class TextCoder(ChunkEncoder):
-    """Texts to (ids, decimal ids, decoded form); words through the transducer."""
+    """Texts to ids and back; words through the transducer."""
 
     def __init__(self, path: str):
         self.t = Transducer(path)
         super().__init__(path, self.t.word)
-        most = max(self.t.strings) + 1
-        self.decimal, self.token = [str(i) for i in range(most)], [self.t.strings.get(i, "") for i in range(most)]
-
-    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        self.decimal = [str(i) for i in range(max(self.t.strings) + 1)]
+
+    def decoded(self, ids: list[int]) -> Iterator[str]:
+        machine = Decoder(self.t, self.t.spaced)
+        for at in range(0, len(ids), DECODED):
+            yield machine.feed(ids[at:at + DECODED])
+        yield machine.end()
+
+    def texts(self, texts: Iterable[str | None], digests: bool = False) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, decimal ids, decoded text) of each text, or the
+        sha256 of the last two; a digest takes the decoder's pieces as they
+        come."""
         for ids in self.encode_all(texts):
             own = ids.tolist()
-            yield len(own), " ".join(map(self.decimal.__getitem__, own)), " ".join(map(self.token.__getitem__, own))
+            coded = " ".join(map(self.decimal.__getitem__, own))
+            if not digests:
+                yield len(own), coded, "".join(self.decoded(own))
+                continue
+            digest = hashlib.sha256()
+            for piece in self.decoded(own):
+                digest.update(piece.encode())
+            yield len(own), hashlib.sha256(coded.encode()).hexdigest(), digest.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -183,12 +208,10 @@ def encode_texts(docs: DataFrame, path: str, ids_column: bool = True) -> DataFra
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for part in parts:
-            rows = c.texts(x.as_py() for x in part["text"])
+            rows = c.texts((x.as_py() for x in part["text"]), not ids_column)
             ids = part["doc_id"].to_pylist()
             while ids:
                 n, coded, decoded = zip(*islice(rows, 128), strict=True)
-                if not ids_column:
-                    coded, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (coded, decoded))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[:len(n)], pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                                                  names=["doc_id", "n_tokens", "ids", "decoded"])
                 ids = ids[len(n):]

@@ -4,8 +4,9 @@ Texts become token ids plus an end id; only longer documents are cut, into
 pieces of the capacity.  Pieces carry no ids through the shuffle: packing
 needs their lengths only.
 
-Plan: (1) pieces, stored.  (2) Rounds: pieces are dealt by hash to blocks of
-about BLOCK; each block is packed on its own (best fit decreasing, then
+Plan: (1) pieces, stored with a row number.  (2) Rounds: pieces are dealt by
+the hash of it, so repeated rows never meet in one task, to blocks of about
+BLOCK; each block is packed on its own (best fit decreasing, then
 local search); bins that are nearly full are closed and the rest of the
 pieces enter the next, smaller round.  The last round is one block, or as
 many as are left when another round would not shrink them; it closes all.
@@ -14,6 +15,9 @@ Local search: while a block has more bins than its tokens need, the least
 full bin gives its pieces away: a piece moves to the tightest bin that takes
 it, or is exchanged for a smaller piece of a bin, or two pieces are
 exchanged for one.  Every step raises the sum of squared fills, so it ends.
+It also ends after PATIENCE bins in a row that could not be emptied: a block
+may then keep bins that a longer search would empty (the README has figures
+against the lower bound); what is packed is right either way.
 
 Defined results: a null or empty text is its end id alone; ids may be null
 or repeated; an empty table gives an empty result.
@@ -150,9 +154,10 @@ def _round(capacity: int, number: int, closing: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, block, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        part, made, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
         def packed() -> pa.RecordBatch:
+            nonlocal made
             t = pa.Table.from_batches(held).combine_chunks()
             size = t["length"].to_numpy()
             order = np.argsort(-size, kind="stable")
@@ -165,7 +170,9 @@ def _round(capacity: int, number: int, closing: int):
             last = np.cumsum(counts) - 1
             first = np.repeat(ends[last] - np.add.reduceat(each, np.r_[0, last[:-1] + 1]), counts)
             room = np.repeat(capacity - np.add.reduceat(each, np.r_[0, last[:-1] + 1]), counts)
-            ids = np.repeat((number << 56) + (part << 32) + (block << 24) + np.arange(len(bins)), counts)
+            # round, partition, then the partition's bins counted on
+            ids = np.repeat((number << 57) + (part << 33) + made + np.arange(len(bins)), counts)
+            made += len(bins)
             t = t.take(pa.array(order[items])).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(ends - each - first))
             return t.append_column("final", pa.array(room <= closing)).combine_chunks().to_batches()[0]
 
@@ -175,7 +182,7 @@ def _round(capacity: int, number: int, closing: int):
                 rows += held[-1].num_rows
                 if rows >= 2 * BLOCK:
                     yield packed()
-                    block, held, rows = block + 1, [], 0
+                    held, rows = [], 0
         if rows:
             yield packed()
 
@@ -183,16 +190,15 @@ def _round(capacity: int, number: int, closing: int):
 
 
 def pack(parts: DataFrame, capacity: int) -> DataFrame:
-    """Rows of PIECES plus (sequence_id, offset).  ``parts`` is read again in
-    each round, so it should be stored."""
+    """Rows of PIECES plus (sequence_id, offset)."""
     spark = parts.sparkSession
+    parts = stored(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
     left, n, number, done = parts, parts.count(), 0, []
     while True:
         blocks = max(1, -(-n // BLOCK))
-        dealt = left.repartition(blocks, F.xxhash64("doc_id", "piece", "ids_crc32")) \
-            .sortWithinPartitions("doc_id", "piece", "ids_crc32")
+        dealt = left.repartition(blocks, F.xxhash64("row")).sortWithinPartitions("row")
         closing = capacity if blocks == 1 else int(capacity * CLOSED)
-        made = stored(dealt.mapInArrow(_round(capacity, number, closing), PIECES + ", sequence_id long, offset long, final boolean"), f"packed-{number}")
+        made = stored(dealt.mapInArrow(_round(capacity, number, closing), PIECES + ", row long, sequence_id long, offset long, final boolean"), f"packed-{number}")
         rest = made.where("NOT final").count() if closing < capacity else 0
         if rest > n // 2:  # these do not get fewer
             done.append(made)
@@ -204,8 +210,8 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("final") if done else spark.createDataFrame([], PIECES + ", sequence_id long, offset long")
+    return out.drop("final", "row") if done else spark.createDataFrame([], PIECES + ", sequence_id long, offset long")
 
 
 def query(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(stored(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return pack(pieces(docs, path, capacity, end_id), capacity)

@@ -2,9 +2,11 @@
 buffer: no Python object is made for a word.
 
 A word is a run of bytes outside space and U+0009 to U+000D, with A-Z
-lower-cased.  Its hash is a polynomial over random 64-bit values of its
-bytes; a shingle's hash mixes those of its words in order.  All values are 62
-bits wide, so two shingles of one text collide with a chance near 1e-18.
+lower-cased.  The hash of a word of up to SHORT bytes is a polynomial over
+random 64-bit values of its bytes; a polynomial fails on long words built for
+it, so theirs is a library hash.  A shingle's hash mixes those of its words in
+order.  All values are 62 bits wide, and only shingles of one text or of two
+compared texts are ever told apart by them: a chance near 1e-18 a pair.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .mph import mix
 
 WORDS = 5
+#: Bytes of a word up to which its own bytes are hashed by the polynomial.
+SHORT = 16
 #: Bytes hashed at a time (longer single texts are hashed whole).
 STEP = 1 << 19
 
@@ -58,10 +63,22 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, end, (total[end] - total[first]) * powers("down", INVERSE, len(data))[first] + (end - first).astype(np.uint64)
 
 
+def long_words(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words over SHORT bytes and their 128-bit hashes."""
+    at = np.flatnonzero(end - first > SHORT)
+    if not len(at):
+        return at, np.zeros((0, 2), np.uint64)
+    raw = LOWER[data].tobytes()
+    digests = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+    return at, np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
 def _block(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; text k ends before byte
     ends[k], which holds white space."""
-    first, _, words = word_hashes(data)
+    first, end, words = word_hashes(data)
+    at, digests = long_words(data, first, end)
+    words[at] = digests[:, 0]
     upto = np.searchsorted(first, ends)
     counts = np.diff(np.r_[0, upto])
     n = len(words)

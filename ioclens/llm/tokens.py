@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 
 from .mph import mix
-from .shingles import LOWER, word_hashes
+from .shingles import LOWER, long_words, word_hashes
 
 #: Entries of a worker's table of chunks, of its newest part, and of words;
 #: words of more letters, and chunks of more ids, than LONG are never kept.
@@ -68,7 +68,8 @@ def _ends(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """Ids of chunks by two 64-bit hashes: sorted arrays of ``most`` entries
+    """Ids of chunks by two 64-bit hashes (of up to 16 bytes: exact; of longer
+    ones: the halves of a 128-bit library hash): sorted arrays of ``most`` entries
     and a dictionary of the newest, merged into them as it fills.  A full
     table starts anew.  ``make`` gives the ids of a chunk."""
 
@@ -126,6 +127,8 @@ class ChunkTable:
             data = LOWER[np.frombuffer(b" ".join([*(b"" if b"<|" in t else t for t in held), b""]) + b" ", np.uint8)]
             first, end, keys = word_hashes(data)
             checks = _ends(data, first, end)
+            at, digests = long_words(data, first, end)
+            keys[at], checks[at] = digests[:, 0], digests[:, 1]
             codes, _ = pd.factorize(keys)
             n = codes.max() + 1 if len(codes) else 0
             some = np.zeros(n, np.int64)

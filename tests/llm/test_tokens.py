@@ -187,3 +187,46 @@ def test_one_for_one_exchange():
     size = [7, 6, 5, 4, 4, 3]
     bins = packing.local_search([[0, 5], [1, 4], [2, 3]], size, 10)
     assert sorted(i for b in bins for i in b) == list(range(6))
+
+
+def thue_morse(swap):
+    """Two texts whose polynomial hashes modulo 2**64 agree, ends included."""
+    word = [bin(i).count("1") & 1 for i in range(2048)]
+    return "x" * 8 + "".join("ab"[b ^ swap] for b in word) + "x" * 8
+
+
+def test_chunks_built_to_collide(spark, library):
+    docs = [(0, thue_morse(0)), (1, thue_morse(1)), (2, thue_morse(0) + " " + thue_morse(1))]
+    df = spark.createDataFrame(docs, DOCS).coalesce(1)
+    want = {i: expected(library, t) for i, t in docs}
+    assert want[0] != want[1]
+    for r in bpe_stream.query(df, VOCABULARY).collect():
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want[r.doc_id])).encode()).hexdigest()
+    for r in packing.query(df, VOCABULARY).where("piece = 0").collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*want[r.doc_id], 0][:2048], "<u4").tobytes())
+    for r in token_store.query(df, VOCABULARY).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*want[r.doc_id], 2], "<u4").tobytes())
+
+
+def test_spaced_decoder_goes_piece_by_piece(library):
+    t = bpe_stream.Transducer(VOCABULARY)
+    ids = expected(library, "some text, 123 été <|endoftext|>")
+    d = bpe_stream.Decoder(t, spaced=True)
+    assert t.spaced and d.feed([]) == "" and "".join(d.feed([i]) for i in ids) + d.feed([]) + d.end() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_many_equal_rows_without_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    out = packing.query(spark.createDataFrame([(None, "one two three")] * 3000, DOCS).repartition(2), VOCABULARY, 64).collect()
+    fill = {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(out) == 3000
+    for parts in fill.values():
+        assert sorted(o for o, _ in parts) == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, "x", 7)], DOCS + ", row int, piece string, length int")
+    for q in (bpe_stream.query, packing.query, token_store.query):
+        assert q(docs, VOCABULARY).count() == 1
