@@ -14,12 +14,16 @@ Plan.
     size, position).  A frequent shingle's list is salted.
 (3) Leaders: each list's first node is compared with the list's other nodes,
     one row a posting however long the list, and links make components.
-(4) The rest of a list joins in blocks: nodes in order of size; the blocks
-    of sizes that cannot link are skipped, as are positions too late in
-    either set, nodes of one component, and nodes whose answer follows from
-    their leader's: if y links to the leader x with similarity s, a z with
-    similarity under s - .25 to x cannot link to y (Jaccard distance is a
-    metric).  Lists longer than BLOCK are joined block by block.
+(4) The rest of a list is ordered by size and position and cut into runs of
+    RUN nodes with a header (least size, most size, least position); pairs of
+    runs that no two sizes or no two positions allow to link are skipped by
+    their headers, as are, one by one, nodes of one component and nodes whose
+    answer follows from their leader's: where y holds c of the leader's
+    shingles and z at most d, y and z share at most min(c, d) of these and
+    the |y| - c that y has besides, so the leader's computed answers and the
+    difference of two sets settle the pair.  Lists longer than BLOCK are dealt
+    to pairs of blocks by hash, and the lists of a leader to parts by shingle,
+    so that a group has about 2 * BLOCK rows.
 (5) Candidates are cut by an upper bound from bitmaps of the sets, then
     counted exactly on the whole sets.
 
@@ -29,8 +33,9 @@ bounded list of frequent shingles and a bitmap of FILTER_BITS.
 Defined results: a null or empty text has the empty set and is its own
 component; rows sharing a doc_id are one document each; a null doc_id never
 names a component unless all of it are null; an empty table gives an empty
-result.  Node names are 63-bit hashes: two different sets among n share one
-with a chance of n * n / 2**64.
+result.  Sets are named by 62 bits of a 128-bit hash; sets that share a name
+but not the rest of the hash, about one pair among 10**9 sets, get names of
+their own.
 """
 
 from __future__ import annotations
@@ -59,6 +64,9 @@ FREQUENT_MOST = 1 << 18
 SALT_ROWS = 1 << 13
 LAST = 1 << 62  # added to frequent shingles
 BLOCK = 2048
+RUN = 64
+EXPAND = 1 << 19
+NAME_BITS = 62
 FILTER_BITS = 1 << 23
 
 
@@ -75,8 +83,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _node(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) >> 1
+#: (name, check) -> another name, for sets whose names clash.
+Renames = dict[tuple[int, int], int]
+
+
+def _name(own: np.ndarray, bits: int) -> tuple[int, int]:
+    """A set's name and the rest of its hash."""
+    digest = xxhash.xxh3_128_intdigest(own.tobytes())
+    return digest & (1 << bits) - 1, digest >> 65
+
+
+def _node(own: np.ndarray, bits: int, renames: Renames) -> int:
+    name, check = _name(own, bits)
+    return renames.get((name, check), name)
 
 
 def _batch(schema: pa.Schema, *cols: np.ndarray | list) -> pa.RecordBatch:
@@ -89,39 +108,47 @@ def _longs(names: str) -> tuple[str, pa.Schema]:
 
 # (1) documents to nodes, and frequent shingles -------------------------------
 
-FACTS = "doc_id long, n long, node long, bits binary, shingle long, seen long"
-FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
+FACTS = "doc_id long, n long, node long, check long, bits binary, shingle long, seen long"
+FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(name_bits: int) -> Callable:
     """A row for each document, and a row with (shingle, seen) for each
     shingle that is frequent in a block of different sets."""
-    held: dict[int, np.ndarray] = {}
-    size = 0
 
-    def frequent() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+    def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= LOCAL
-        n = int(often.sum())
-        none = [None] * n
-        return _batch(FACTS_ARROW, none, none, none, none, tokens[often].astype(np.int64), counts[often])
+        none = [None] * int(often.sum())
+        return _batch(FACTS_ARROW, none, none, none, none, none, tokens[often].astype(np.int64), counts[often])
 
-    for batch in batches:
-        n, nodes, bits = [], [], []
-        for own in text_sets(batch["text"]):
-            n.append(len(own))
-            bits.append(bitmap(own).tobytes() if len(own) else None)
-            nodes.append(_node(own) if len(own) else None)
-            if len(own) and nodes[-1] not in held:
-                held[nodes[-1]] = own
-                size += len(own)
-                if size >= BLOCK_TOKENS:
-                    yield frequent()
-                    held, size = {}, 0
-        none = [None] * len(n)
-        yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, nodes, bits, none, none)
-    if held:
-        yield frequent()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            n, names, bits = [], [], []
+            for own in text_sets(batch["text"]):
+                n.append(len(own))
+                bits.append(bitmap(own).tobytes() if len(own) else None)
+                names.append(_name(own, name_bits) if len(own) else (None, None))
+                if len(own) and names[-1] not in held:
+                    held[names[-1]] = own
+                    size += len(own)
+                    if size >= BLOCK_TOKENS:
+                        yield frequent(list(held.values()))
+                        held, size = {}, 0
+            none = [None] * len(n)
+            yield _batch(FACTS_ARROW, batch["doc_id"].to_pylist(), n, [x for x, _ in names], [x for _, x in names], bits, none, none)
+        if held:
+            yield frequent(list(held.values()))
+
+    return run
+
+
+def _renames(clashes: DataFrame) -> Renames:
+    """New names, beyond all hashed ones, for the sets of clashing names: as
+    many as names of NAME_BITS clash, which no corpus makes many."""
+    return {(r.node, r.check): (1 << NAME_BITS) + k for k, r in enumerate(clashes.select("node", "check").distinct().orderBy("node", "check").toLocalIterator())}
 
 
 # (2) prefix index -------------------------------------------------------------
@@ -131,7 +158,7 @@ POSTING, POSTING_ARROW = _longs("shingle place node size pos")
 RARE = 1024
 
 
-def _postings(often: np.ndarray, salts: np.ndarray) -> Callable:
+def _postings(often: np.ndarray, salts: np.ndarray, bits: int, renames: Renames) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -139,7 +166,7 @@ def _postings(often: np.ndarray, salts: np.ndarray) -> Callable:
             rows = 0
             for own in text_sets(batch["text"]):
                 n = len(own)
-                if not n or (node := _node(own)) in seen:
+                if not n or (node := _node(own, bits, renames)) in seen:
                     continue
                 if len(seen) > 1 << 17:
                     seen.clear()
@@ -237,7 +264,7 @@ def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
-def _sets(wanted: np.ndarray) -> Callable:
+def _sets(wanted: np.ndarray, bits: int, renames: Renames) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -245,7 +272,7 @@ def _sets(wanted: np.ndarray) -> Callable:
             for own in text_sets(batch["text"]):
                 if not len(own):
                     continue
-                node = _node(own)
+                node = _node(own, bits, renames)
                 bit = node % FILTER_BITS
                 if wanted[bit >> 3] >> (bit & 7) & 1 and node not in seen:
                     if len(seen) > 1 << 17:
@@ -296,7 +323,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(top, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "top", "linked"])
 
 
-def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str, bits: int, renames: Renames) -> DataFrame:
     """(a, b, top, linked) of candidate pairs; ``top`` is the similarity, or
     an upper bound under the link limit.  ``nodes``: (node, n, bits).  Sets
     are made again from the texts, for the pairs that the bound leaves."""
@@ -305,7 +332,7 @@ def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> Da
     limit = LINK / 100 - 1e-9
     near = tops.where(F.col("top") >= limit).select("a", "b")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(texts.mapInArrow(_sets(_bitmap(ends)), "node long, members binary").dropDuplicates(["node"]), f"sets-{name}")
+    sets = stored(texts.mapInArrow(_sets(_bitmap(ends), bits, renames), "node long, members binary").dropDuplicates(["node"]), f"sets-{name}")
     exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_exact, JUDGED)
     far = tops.where(F.col("top") < limit).select("a", "b", "top", F.lit(False).alias("linked"))
     return stored(exact.unionByName(far), f"judged-{name}", narrow=True)
@@ -316,41 +343,72 @@ def judge(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> Da
 PAIR, PAIR_ARROW = _longs("a b")
 
 
-def list_pairs(rows: np.ndarray, sim: np.ndarray) -> np.ndarray:
+def run_pairs(group: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, end, i, j, skipped): the runs of rows sorted by (group, size,
+    pos), the pairs of runs of a group whose headers leave a link possible,
+    and how many pairs they rule out."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    count = np.diff(np.r_[start, len(group)])
+    runs = -(-count // RUN)
+    before = np.cumsum(runs) - runs
+    list_of = np.repeat(np.arange(len(start)), runs)
+    first = start[list_of] + RUN * (np.arange(len(list_of)) - before[list_of])
+    end = np.minimum(first + RUN, (start + count)[list_of])
+    least, most, early = size[first], size[end - 1], np.minimum.reduceat(pos, first)
+    onward = (before + runs)[list_of] - np.arange(len(list_of))
+    i = np.repeat(np.arange(len(list_of)), onward)
+    j = i + np.arange(len(i)) - np.repeat(np.cumsum(onward) - onward, onward)
+    # the latest place that a link leaves rises with a set's own size and falls with the other's
+    ok = (LINK * least[j] <= 100 * most[i]) & (early[i] <= most[i] - overlap_needed(most[i], least[j])) & (early[j] <= most[j] - overlap_needed(most[j], least[i]))
+    return first, end, i[ok], j[ok], int((~ok).sum())
+
+
+def list_pairs(rows: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, int]:
     """Candidate pairs of rows (group, block, node, size, pos, component,
-    leader, cross) sorted by (group, size, pos); ``sim``: (linked to the
-    leader, similarity to it or a bound) of each row.  ``cross``: only nodes
-    of different blocks are paired.  Goes over the distances between rows of
-    a group; a row leaves once the sizes behind it are too large for it."""
-    group, block, node, size, pos, comp, leader, cross = rows.T
-    at, out, d = np.arange(len(rows)), [], 0
-    while len(at):
-        d += 1
-        at = at[at + d < len(rows)]
-        j = at + d
-        go = (group[at] == group[j]) & (LINK * size[j] <= 100 * size[at])
-        at, j = at[go], j[go]
-        need = overlap_needed(size[at], size[j])
-        ok = (pos[at] <= size[at] - need) & (pos[j] <= size[j] - need) & (comp[at] != comp[j]) & ((cross[at] == 0) | (block[at] != block[j]))
-        i, j = at[ok], j[ok]
+    leader, leader_size, cross) sorted by (group, size, pos), and the pairs of
+    runs skipped.  ``sim``: (linked to the leader, similarity to it or a bound,
+    over 1 if unknown) of each row.  ``cross``: only nodes of different blocks
+    are paired."""
+    none = np.zeros((0, 2), np.int64)
+    if not len(rows):
+        return none, 0
+    group, block, node, size, pos, comp, leader, leader_size, cross = rows.T
+    top = np.minimum(sim[:, 1], 1.0)
+    common = np.minimum(np.floor(top * (size + leader_size) / (1 + top) + 1e-6).astype(np.int64), np.minimum(size, leader_size))
+    tied = sim[:, 0] > 0  # its common count is exact, of others it is a bound
+    first, end, p, q, skipped = run_pairs(group, size, pos)
+    wide = (end - first)[q]
+    total = (end - first)[p] * wide
+    stop, at, out = np.cumsum(total), 0, [none]
+    while at < len(p):
+        done = stop[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(stop, done + EXPAND, side="right")))
+        of = np.repeat(np.arange(at, to), total[at:to])
+        k = np.arange(len(of)) - (stop[of] - total[of] - done)
+        i, j = first[p[of]] + k // wide[of], first[q[of]] + k % wide[of]
+        need = overlap_needed(size[i], size[j])
+        ok = (i < j) & (pos[i] <= size[i] - need) & (pos[j] <= size[j] - need) & (comp[i] != comp[j]) & ((cross[i] == 0) | (block[i] != block[j]))
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = np.ones(len(i), bool)
         same = leader[i] == leader[j]
-        for x, y in ((i, j), (j, i)):  # x links to the leader, y is too far from it
-            same &= ~((sim[x, 0] > 0) & (sim[y, 1] < sim[x, 1] - (100 - LINK) / 100 - 1e-9))
-        ok = same | (leader[i] != leader[j])
-        out.append(np.column_stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])]))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        for x, y in ((i, j), (j, i)):  # what x has of the leader is known, and what it has besides
+            ok &= ~(same & tied[x] & (np.minimum(common[x], common[y]) + size[x] - common[x] < need))
+        a, b = node[i[ok]], node[j[ok]]
+        out.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
+        at = to
+    return np.unique(np.concatenate(out), axis=0), skipped
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (family, b1, b2, shingle, size, pos): the lists of a
-    family's two blocks are joined together, so a pair that meets in many of
-    them comes out once."""
+    """Rows sorted by (family, part, b1, b2, shingle, size, pos): the lists of
+    a part of a family's two blocks are joined together, so a pair that meets
+    in many of them comes out once."""
     kept = None
-    names = ("family", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "cross")
+    names = ("family", "part", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "leader_size", "cross")
 
     def pairs(rows: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.r_[0, (rows[1:, :4] != rows[:-1, :4]).any(1)])
-        found = list_pairs(np.column_stack([group, rows[:, 4:]]), sim)
+        group = np.cumsum(np.r_[0, (rows[1:, :5] != rows[:-1, :5]).any(1)])
+        found, _ = list_pairs(np.column_stack([group, rows[:, 5:]]), sim)
         return _batch(PAIR_ARROW, found[:, 0], found[:, 1])
 
     for batch in filter(len, batches):
@@ -358,7 +416,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sim = np.column_stack([batch[c].to_numpy() for c in ("tied", "top")])
         if kept is not None:
             rows, sim = np.concatenate([kept[0], rows]), np.concatenate([kept[1], sim])
-        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(1))
+        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
             yield pairs(rows[:cut], sim[:cut])
@@ -369,22 +427,24 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> DataFrame:
     """Entries of the lists that hold more than one component, with what is
-    known of each node and its leader, dealt to families and block pairs.
+    known of each node and its leader, dealt to parts of families and block
+    pairs.
     Lists of one leader are a family (they share most of their nodes); a list
     with several, as it is salted, is one by itself."""
-    rows = entries.where(F.col("more") == 1).where((F.col("node") != F.col("leader")) | (F.col("shingle") >= LAST)).drop("leader_size", "more")
+    rows = entries.where(F.col("more") == 1).where((F.col("node") != F.col("leader")) | (F.col("shingle") >= LAST)).drop("more")
     rows = rows.join(comps.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"),
                                         F.min("leader").alias("l0"), F.max("leader").alias("l1"))
     lists = lists.where("c0 < c1").select("shingle", "n", F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise(-1 - F.col("shingle")).alias("family"))
-    families = lists.groupBy("family").agg(F.ceil(F.max("n") / BLOCK).alias("blocks"))
+    families = lists.groupBy("family").agg(F.ceil(F.max("n") / BLOCK).alias("blocks"), F.sum("n").alias("rows"))
+    families = families.select("family", "blocks", F.ceil(F.col("rows") / F.col("blocks") / BLOCK).alias("parts"))
     lists = lists.drop("n").join(families, "family")
     known = judged.select(F.col("a").alias("leader"), F.col("b").alias("node"), "top", F.col("linked").cast("double").alias("tied"))
     rows = rows.join(lists, "shingle").join(known, ["leader", "node"], "left")
     self_ = F.col("leader") == F.col("node")
     rows = rows.withColumn("top", F.when(self_, 1.0).otherwise(F.coalesce("top", F.lit(2.0)))) \
         .withColumn("tied", F.when(self_, 1.0).otherwise(F.coalesce("tied", F.lit(0.0)))) \
-        .withColumn("bucket", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumn("bucket", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", F.pmod(F.xxhash64("shingle"), "parts"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.withColumn("b1", F.least("bucket", "other")).withColumn("b2", F.greatest("bucket", "other")) \
         .withColumn("cross", (F.col("b1") != F.col("b2")).cast("long"))
@@ -392,19 +452,26 @@ def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> Data
 
 # all ------------------------------------------------------------------------------
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, bits: int = NAME_BITS) -> DataFrame:
     """(doc_id, n, own) for each input row: its set's size and the name of
-    its component (null for the empty set)."""
+    its component (null for the empty set).  ``bits``: of a set's name."""
     texts = _texts(docs)
-    facts = stored(texts.mapInArrow(_facts, FACTS), "jaccard-facts")
+    facts = stored(texts.mapInArrow(_facts(bits), FACTS), "jaccard-facts")
+    sets = facts.where("node IS NOT NULL").select("node", "check", "n", "bits")
+    nodes = stored(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") < F.max("check")).alias("clash")), "jaccard-nodes")
+    renames = _renames(sets.join(nodes.where("clash").select("node"), "node", "left_semi")) if not nodes.where("clash").isEmpty() else {}
+    if renames:
+        new = docs.sparkSession.createDataFrame([(*k, v) for k, v in renames.items()], "node long, check long, new long")
+        facts = facts.join(F.broadcast(new), ["node", "check"], "left").withColumn("node", F.coalesce("new", "node"))
+        nodes = stored(facts.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
+    nodes = nodes.select("node", "n", "bits")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "node")
-    nodes = stored(facts.where("node IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"]), "jaccard-nodes")
     often = facts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")) \
         .where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "shingle").limit(FREQUENT_MOST).toArrow()
     by = np.argsort(often["shingle"].to_numpy())
     often, salts = often["shingle"].to_numpy()[by], often["seen"].to_numpy()[by] // SALT_ROWS + 1
 
-    postings = texts.mapInArrow(_postings(often, salts), POSTING).withColumn("salt", F.floor(F.col("place") / RARE))
+    postings = texts.mapInArrow(_postings(often, salts, bits, renames), POSTING).withColumn("salt", F.floor(F.col("place") / RARE))
     dealt = postings.repartition("shingle", "salt").drop("salt").sortWithinPartitions("shingle", "place", "node")
     entries = stored(dealt.mapInArrow(_lists, ENTRY), "jaccard-lists")
 
@@ -414,14 +481,14 @@ def groups(docs: DataFrame) -> DataFrame:
     heads = heads.join(top, "shingle").where(F.col("node") != F.col("h.node")).select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.size").alias("na"), F.col("size").alias("nb"))
     fits = (LINK * F.col("na") <= 100 * F.col("nb")) & (LINK * F.col("nb") <= 100 * F.col("na"))
     stars = stored(first.unionByName(heads).where(fits).select("a", "b").distinct(), "leader-pairs", narrow=True)
-    judged = judge(texts, nodes, stars, "leaders")
+    judged = judge(texts, nodes, stars, "leaders", bits, renames)
     links = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(links).select("id", "component")
 
-    dealt = _open_lists(entries, comps, judged).repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2", "shingle", "size", "pos")
-    pairs = dealt.select("family", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
+    dealt = _open_lists(entries, comps, judged).repartition("family", "part", "b1", "b2").sortWithinPartitions("family", "part", "b1", "b2", "shingle", "size", "pos")
+    pairs = dealt.select("family", "part", "b1", "b2", "shingle", "bucket", "node", "size", "pos", "component", "leader", "leader_size", "cross", "tied", "top").mapInArrow(_rest, PAIR).distinct()
     pairs = stored(pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs", narrow=True)
-    more = judge(texts, nodes, pairs, "rest").where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = judge(texts, nodes, pairs, "rest", bits, renames).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more)).select("id", "component")
 
@@ -429,9 +496,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return members.join(comps.toDF("node", "component"), "node", "left").select("doc_id", "n", own)
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, bits: int = NAME_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each input row."""
-    rows = groups(docs)
+    rows = groups(docs, bits)
     least = rows.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "own", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -128,6 +128,69 @@ def test_bound_is_never_too_low():
         assert both <= J.bound(J.bitmap(a), J.bitmap(b), len(a), len(b))
 
 
+def test_clashing_set_names(spark):
+    """Names of five bits: most sets clash and are told apart by the rest."""
+    rng = random.Random(5)
+    docs = list(zip(rng.sample(range(10_000), 400), family(rng), strict=False))
+    assert by_id(J.components(spark.createDataFrame(docs, DOCS).repartition(3), bits=5)) == brute(docs)
+
+
+def test_words_built_to_collide(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    a, b = ("x" * 8 + "".join("ab"[k ^ swap] for k in bits) + "x" * 8 for swap in (0, 1))
+    docs = [(1, f"{a} w x y z"), (2, f"{b} w x y z"), (3, f"{a} w x y z {b} w x y z")]
+    assert by_id(J.query(spark.createDataFrame(docs, DOCS))) == brute(docs)
+
+
+def list_rows(rng, n, groups, span):
+    """Rows of ``list_pairs`` with random sizes and places."""
+    size = rng.integers(span // 4, span, n)
+    group = rng.integers(0, groups, n)
+    pos = (rng.random(n) * np.array([J.prefix_size(int(s)) for s in size])).astype(np.int64)
+    order = np.lexsort([pos, size, group])
+    rows = np.column_stack([group, rng.integers(0, 2, n), np.arange(n), size, pos, rng.integers(0, n // 2, n), np.full(n, 10**6), np.full(n, span // 2), np.zeros(n, np.int64)])
+    return rows[order]
+
+
+def test_runs_are_skipped_by_their_headers_and_nothing_is_lost():
+    rng = np.random.default_rng(8)
+    for n, groups, span in ((1000, 3, 4000), (500, 100, 50), (3000, 1, 100), (5, 5, 30)):
+        rows = list_rows(rng, n, groups, span)
+        got, skipped = J.list_pairs(rows, np.column_stack([np.zeros(n), np.full(n, 2.0)]))
+        want = set()
+        for x in range(n):
+            i = rows[x]
+            y = rows[x + 1:]
+            need = J.overlap_needed(i[3], y[:, 3])
+            ok = (y[:, 0] == i[0]) & (75 * y[:, 3] <= 100 * i[3]) & (i[4] <= i[3] - need) & (y[:, 4] <= y[:, 3] - need) & (y[:, 5] != i[5])
+            want |= {(min(i[2], v), max(i[2], v)) for v in y[ok, 2]}
+        assert {tuple(r) for r in got.tolist()} >= want
+        assert skipped > 0 or n < 1000
+
+
+def test_answers_follow_from_the_leaders():
+    """No linked pair is ruled out by what is known of its leader."""
+    rng = np.random.default_rng(9)
+    lost = kept = 0
+    for _ in range(60):
+        lead = set(rng.choice(4000, int(rng.integers(40, 200)), replace=False).tolist())
+        sets = []
+        for _ in range(20):
+            own = {x for x in lead if rng.random() < rng.uniform(0.6, 1)} | set(rng.choice(4000, int(rng.integers(0, 40))).tolist())
+            sets.append(own)
+        sets.sort(key=len)
+        sim = np.array([[100 * len(s & lead) >= 75 * len(s | lead), len(s & lead) / len(s | lead)] for s in sets], float)
+        n = len(sets)
+        rows = np.column_stack([np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), [len(s) for s in sets], np.zeros(n, np.int64), np.arange(n),
+                                np.full(n, 77), np.full(n, len(lead)), np.zeros(n, np.int64)])
+        got = {tuple(r) for r in J.list_pairs(rows, sim)[0].tolist()}
+        linked = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+        assert linked <= got
+        lost += n * (n - 1) // 2 - len(got)
+        kept += len(got)
+    assert lost > kept / 4
+
+
 def test_prefix_and_overlap():
     for n in range(1, 200):
         for m in range(1, 200):
