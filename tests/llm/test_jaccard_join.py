@@ -188,7 +188,7 @@ def test_answers_follow_from_the_leaders():
         assert linked <= got
         lost += n * (n - 1) // 2 - len(got)
         kept += len(got)
-    assert lost > kept / 4
+    assert lost > 1000
 
 
 def test_prefix_and_overlap():
