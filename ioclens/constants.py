@@ -155,3 +155,6 @@ TRANSITIONS = {
 STATE_TO_STATUS = {"new": "pending", "under_analysis": "processed", "confirmed_malicious": "processed",
                    "false_positive": "processed", "mitigated": "processed"}
 # ------------------------------------------------------------ end fixed values
+
+# Days of indicators and relations that the graph takes in.
+LOOK_BACK_DAYS = 30

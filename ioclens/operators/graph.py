@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import AI_PAIR_CONFIDENCE, COMPONENT_CAMPAIGN_RISK, COMPONENT_MIN_SIZE, EDGE_SAME_SOURCE
+from ..constants import (AI_PAIR_CONFIDENCE, COMPONENT_CAMPAIGN_RISK, COMPONENT_MIN_SIZE, EDGE_SAME_SOURCE, EDGE_SHARED_ENRICHMENT,
+                         LOOK_BACK_DAYS, SHARED_ENRICHMENT_KINDS)
 from ..session import scratch_path
 
 
@@ -26,16 +27,50 @@ def canonical(edges: DataFrame, a: str = "ioc1_id", b: str = "ioc2_id") -> DataF
 
 def explicit_edges(rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """Explicit edges with both ends present as nodes; one edge per
-    unordered pair (the last by (confidence, ioc1_id) wins)."""
+    unordered pair, the last one written (by creation, then ioc1_id)."""
     e = canonical(rel)
     ids = nodes.select(F.col("id"))
     e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi") \
          .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    best = F.max_by(F.struct("relationship_type", "confidence"), F.struct("confidence", "ioc1_id"))
+    best = F.max_by(F.struct("relationship_type", "confidence"), F.struct("created_at", "ioc1_id"))
     return e.groupBy("src", "dst").agg(best.alias("_e")).select(
         "src", "dst", F.col("_e.relationship_type").alias("relationship_type"), F.col("_e.confidence").alias("confidence"))
 
 
+def since(df: DataFrame, as_of, days: float | None) -> DataFrame:
+    """Rows created in the ``days`` before ``as_of``, both ends included
+    (None: all rows).  A plain filter, so it reaches the scan."""
+    if days is None:
+        return df
+    return df.where(F.col("created_at") >= as_of - F.expr(f"make_dt_interval(0, 0, 0, {days * 86400:.6f})"))
+
+
+def dated_graph(iocs: DataFrame, rel: DataFrame, enr: DataFrame, as_of, days: float | None = LOOK_BACK_DAYS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph at ``as_of``: indicators and stored
+    relations of the look-back, and the implied edges among these nodes."""
+    nodes = since(iocs, as_of, days)
+    return nodes, graph_edges(explicit_edges(since(rel, as_of, days), nodes), nodes, enr)
+
+
+def memberships(nodes: DataFrame, enr: DataFrame, predictions: DataFrame) -> DataFrame:
+    """J16-J18 without loss at linear size: (kind, grp, id, confidence), one
+    row for each member of a group of two or more.  Any two members of a group
+    are related, by the smaller of their confidences: fixed for a source or a
+    payload, an indicator's best malicious verdict in the one group of those."""
+    ids = nodes.select("id")
+    source = nodes.where("source <> ''").select(F.lit(EDGE_SAME_SOURCE[0]).alias("kind"), F.col("source").alias("grp"), "id", F.lit(float(EDGE_SAME_SOURCE[1])).alias("confidence"))
+    shared = enr.where(F.col("enrichment_type").isin(*SHARED_ENRICHMENT_KINDS)).select(
+        F.lit(EDGE_SHARED_ENRICHMENT[0]).alias("kind"), F.concat_ws(":", "enrichment_type", "data").alias("grp"), F.col("ioc_id").alias("id"),
+        F.lit(float(EDGE_SHARED_ENRICHMENT[1])).alias("confidence")).join(ids, "id", "left_semi").distinct().select("kind", "grp", "id", "confidence")
+    sure = predictions.where((F.col("prediction") == "malicious") & (F.col("confidence") > AI_PAIR_CONFIDENCE)) \
+        .groupBy(F.col("ioc_id").alias("id")).agg(F.max("confidence").alias("confidence")).join(ids, "id", "left_semi")
+    ai = sure.select(F.lit("ai_correlated").alias("kind"), F.lit("malicious").alias("grp"), "id", "confidence")
+    rows = source.unionByName(shared).unionByName(ai)
+    # at most as many groups as sources and payloads; sizes combine map-side
+    size = rows.groupBy("kind", "grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rows.join(size, ["kind", "grp"], "left_semi")
+
+
 def star_edges(members: DataFrame, group: str, kind: str, confidence) -> DataFrame:
     """Star form of "all pairs within a group": member -> group minimum."""
     hub = members.groupBy(group).agg(F.min("id").alias("_hub"))

@@ -23,16 +23,20 @@ def key_name(key: tuple) -> str:
 
 def fitted(spark: SparkSession, key: tuple, fit: Callable[[], PipelineModel]) -> PipelineModel:
     """The model saved for ``key`` in this application, else ``fit()``,
-    saved and returned."""
+    saved.  Always the saved one is returned: a freshly fitted classifier
+    holds its training summary and through it the session, which cannot go to
+    the tasks that score."""
     k = (spark.sparkContext.applicationId, *key)
-    path = _PATHS.get(k)
-    if path is not None:
-        return PipelineModel.load(path)
-    model = fit()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{key_name(k)}"
+    if k not in _PATHS:
+        _PATHS[k] = f"{checkpoint_dir(spark).rstrip('/')}/models/{key_name(k)}"
+        reloaded(fit(), _PATHS[k])
+    return PipelineModel.load(_PATHS[k])
+
+
+def reloaded(model: PipelineModel, path: str) -> PipelineModel:
+    """The model saved to ``path`` and read back, without training summaries."""
     model.write().overwrite().save(path)
-    _PATHS[k] = path
-    return model
+    return PipelineModel.load(path)
 
 
 _TABLES: dict[tuple, str] = {}

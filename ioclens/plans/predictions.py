@@ -46,15 +46,17 @@ def similar_predictions(spark, sf_dir):
 
 FEATS_SQL = """feats AS (
   SELECT p.id, p.ioc_id, p.model_name, p.prediction, p.confidence, i.type AS ioc_type,
-         coalesce(cast(i.risk_score AS double), 0.0) AS risk_score, 0.0 AS enrichment_count,
+         coalesce(cast(i.risk_score AS double), 0.0) AS risk_score, cast(coalesce(en.n, 0) AS double) AS enrichment_count,
          cast(coalesce(a.n, 0) AS double) AS alert_count,
          cast(coalesce(floor((epoch_us((SELECT max(created_at) FROM ioc)) - epoch_us(i.created_at)) / 8.64e10), 0) AS double) AS days_since_first_seen,
-         cast(coalesce(floor((epoch_us((SELECT max(created_at) FROM ioc)) - epoch_us(i.created_at)) / 8.64e10), 0) AS double) AS days_since_last_seen,
+         cast(coalesce(floor((epoch_us((SELECT max(created_at) FROM ioc)) - epoch_us(coalesce(ls.t, i.created_at))) / 8.64e10), 0) AS double) AS days_since_last_seen,
          0.0 AS source_score,
          cast(coalesce(CASE i.type WHEN 'ip' THEN 0 WHEN 'domain' THEN 1 WHEN 'url' THEN 2 WHEN 'hash' THEN 3 WHEN 'network' THEN 4 END, 0) AS double) AS ioc_type_encoded,
          cast(coalesce(length(i.value), 0) AS double) AS value_length
   FROM prediction p LEFT JOIN ioc i ON p.ioc_id = i.id
-  LEFT JOIN (SELECT ioc_id, count(*) AS n FROM alert GROUP BY 1) a ON p.ioc_id = a.ioc_id)"""
+  LEFT JOIN (SELECT ioc_id, count(*) AS n FROM alert GROUP BY 1) a ON p.ioc_id = a.ioc_id
+  LEFT JOIN (SELECT ioc_id, count(*) AS n FROM enrichment GROUP BY 1) en ON p.ioc_id = en.ioc_id
+  LEFT JOIN (SELECT type, value, max(created_at) AS t FROM ioc GROUP BY 1, 2) ls ON i.type = ls.type AND i.value = ls.value)"""
 
 
 def _feats(spark, sf_dir):

@@ -82,6 +82,10 @@ def _n_events(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "events").select(F.count(F.lit(1))).scalar()
 
 
+def _last_event(spark: SparkSession, sf_dir: str):
+    return table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+
+
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -95,14 +99,17 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored relations, written in the 45 days before the last event."""
     li = table(spark, sf_dir, "lineitem")
-    n = _n_events(spark, sf_dir)
+    n, last = _n_events(spark, sf_dir), _last_event(spark, sf_dir)
+    days = ((F.col("l_partkey") * 13 + F.col("l_suppkey") * 7) % 45).cast("int")
     return (li.select(F.col("l_partkey").alias("ioc1_id"),
                       ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % n).alias("ioc2_id"),
-                      F.col("l_discount"))
+                      F.col("l_discount"), days.alias("days"))
             .groupBy("ioc1_id", "ioc2_id")
-            .agg(F.max("l_discount").alias("confidence"))
-            .select("ioc1_id", "ioc2_id", F.lit("related").alias("relationship_type"), "confidence"))
+            .agg(F.max("l_discount").alias("confidence"), F.min("days").alias("days"))
+            .select("ioc1_id", "ioc2_id", F.lit("related").alias("relationship_type"), "confidence",
+                    (last - F.make_dt_interval("days")).alias("created_at")))
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +231,8 @@ FROM events""",
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS threat_input_id,
        o_orderdate AS assigned_at FROM orders""",
     "relationship": """SELECT l_partkey AS ioc1_id, (l_partkey * 31 + l_suppkey * 17) % (SELECT count(*) FROM events) AS ioc2_id,
-       'related' AS relationship_type, max(l_discount) AS confidence
+       'related' AS relationship_type, max(l_discount) AS confidence,
+       (SELECT max(ts) FROM events) - to_days(cast(min((l_partkey * 13 + l_suppkey * 7) % 45) AS integer)) AS created_at
 FROM lineitem GROUP BY 1, 2""",
     "flow": """SELECT l_orderkey, l_linenumber, cast(floor(l_quantity) AS bigint) AS packet_count,
        cast(floor(l_extendedprice) AS bigint) AS bytes_transferred, l_tax * 100 AS duration_seconds,
