@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LIFECYCLE_STATES, STATE_TO_STATUS, TRANSITIONS
+from ..constants import LIFECYCLE_STATES, STATE_TO_STATUS
 
 KEYS = ["threat_input_id", "ioc_id"]
 
@@ -55,22 +55,24 @@ def avg_time_in_state(lc: DataFrame) -> DataFrame:
                        .otherwise(F.col("_span") / (F.col("n_entries") - 1)).alias("avg_hours")))
 
 
-def allowed_map():
-    pairs = []
-    for s in LIFECYCLE_STATES:
-        pairs += [F.lit(s), F.array(*[F.lit(t) for t in TRANSITIONS[s]]).cast("array<string>")]
-    return F.create_map(*pairs)
-
-
 def transitions(lc: DataFrame) -> DataFrame:
-    """Classify each entry against the previous state of its threat:
-    ``valid``, ``noop`` (same state) or ``invalid`` (first must be 'new')."""
-    from .sequences import rank_and_previous
-    df = rank_and_previous(lc, KEYS, "ts", "id", "state").withColumnRenamed("prev", "prev_state").drop("seq")
-    ok = F.when(F.col("prev_state").isNull(), F.col("state") == "new") \
-          .otherwise(F.array_contains(allowed_map()[F.col("prev_state")], F.col("state")))
-    verdict = F.when(F.col("prev_state") == F.col("state"), "noop").when(ok, "valid").otherwise("invalid")
-    return df.withColumn("verdict", verdict)
+    """Judge each entry against its threat's last accepted state:
+    ``valid``, ``noop`` (same state) or ``invalid`` (first must be 'new');
+    an invalid entry changes nothing."""
+    from .statemaps import judged
+    return judged(lc, KEYS, "ts", "id", "state")
+
+
+def apply_requests(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L2: (rows to append, rejects, state of each touched threat) of a batch
+    of requests on a log.  Both are judged in one order of time; requests
+    that find their state already set add no row."""
+    both = transitions(log.withColumn("_new", F.lit(False)).unionByName(requests.withColumn("_new", F.lit(True))))
+    new = both.where("_new").drop("_new")
+    accepted = new.where("verdict = 'valid'").drop("prev_state", "verdict")
+    rejects = new.where("verdict = 'invalid'").withColumn("reject_reason", F.concat_ws("", F.lit("transition_from_"), F.coalesce("prev_state", F.lit("none")))).drop("verdict")
+    last = F.max_by(F.when(F.col("verdict") == "invalid", F.col("prev_state")).otherwise(F.col("state")), F.struct("ts", "id"))
+    return accepted, rejects, new.groupBy(*KEYS).agg(last.alias("state"))
 
 
 def input_status(latest_rows: DataFrame) -> DataFrame:

@@ -40,17 +40,64 @@ def _allowed_sql():
     return "(prev_state, state) IN (" + ", ".join(pairs) + ")"
 
 
-@query("lifecycle_transitions", f"""SELECT id, threat_input_id, ioc_id, prev_state, state,
-  CASE WHEN prev_state = state THEN 'noop'
-       WHEN (prev_state IS NULL AND state = 'new') OR (prev_state IS NOT NULL AND {_allowed_sql()}) THEN 'valid'
-       ELSE 'invalid' END AS verdict
-FROM (SELECT *, lag(state) OVER (PARTITION BY threat_input_id, ioc_id ORDER BY ts, id) AS prev_state FROM lifecycle) t""")
+_VERDICT = f"""CASE WHEN prev_state = state THEN 'noop'
+       WHEN (prev_state IS NULL AND state = 'new') OR (prev_state IS NOT NULL AND {_allowed_sql()}) THEN 'valid' ELSE 'invalid' END"""
+#: Every entry with its threat's last accepted state, one entry a step.
+JUDGED_SQL = f"""entry AS (SELECT *, row_number() OVER (PARTITION BY threat_input_id, ioc_id ORDER BY ts, id) AS k FROM lifecycle),
+walk AS (SELECT id, threat_input_id, ioc_id, ts, k, cast(NULL AS varchar) AS prev_state, state,
+           CASE WHEN state = 'new' THEN state END AS after_state FROM entry WHERE k = 1
+  UNION ALL SELECT id, threat_input_id, ioc_id, ts, k, prev_state, state, CASE WHEN {_VERDICT} = 'invalid' THEN prev_state ELSE state END
+  FROM (SELECT e.*, w.after_state AS prev_state FROM walk w JOIN entry e ON e.k = w.k + 1
+          AND e.threat_input_id IS NOT DISTINCT FROM w.threat_input_id AND e.ioc_id IS NOT DISTINCT FROM w.ioc_id) x),
+judged AS (SELECT id, threat_input_id, ioc_id, ts, k, prev_state, state, after_state, {_VERDICT} AS verdict FROM walk)"""
+
+
+@query("lifecycle_transitions", f"""WITH RECURSIVE {JUDGED_SQL}
+SELECT id, threat_input_id, ioc_id, prev_state, state, verdict FROM judged""")
 def lifecycle_transitions(spark, sf_dir):
-    """Transition validity of every entry against its predecessor."""
+    """Validity of every entry against the last accepted state."""
     t = L.transitions(views.lifecycle(spark, sf_dir))
     return t.select("id", "threat_input_id", "ioc_id", "prev_state", "state", "verdict")
 
 
+@query("lifecycle_accepted_state", f"""WITH RECURSIVE {JUDGED_SQL}
+SELECT threat_input_id, ioc_id, arg_max(coalesce(after_state, 'none'), k) AS state,
+  count(*) FILTER (verdict = 'valid') AS n_valid, count(*) FILTER (verdict = 'noop') AS n_noop, count(*) FILTER (verdict = 'invalid') AS n_invalid
+FROM judged GROUP BY 1, 2""")
+def lifecycle_accepted_state(spark, sf_dir):
+    """The state each threat is in after its accepted transitions
+    ('none' before a first 'new'), with its numbers of verdicts."""
+    t = L.transitions(views.lifecycle(spark, sf_dir))
+    after = F.coalesce(F.when(F.col("verdict") == "invalid", F.col("prev_state")).otherwise(F.col("state")), F.lit("none"))
+    count = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("valid", "noop", "invalid")]
+    return t.groupBy("threat_input_id", "ioc_id").agg(F.max_by(after, F.struct("ts", "id")).alias("state"), *count)
+
+
+LAST_DAY = "(SELECT max(ts) FROM lifecycle) - INTERVAL 1 DAY"
+
+
+def _requests(spark, sf_dir):
+    lc = views.lifecycle(spark, sf_dir)
+    cut = lc.select(F.max("ts") - F.expr("INTERVAL 1 DAY")).scalar()
+    return L.apply_requests(lc.where(F.col("ts") < cut), lc.where(F.col("ts") >= cut))
+
+
+@query("lifecycle_batch_accepted", f"""WITH RECURSIVE {JUDGED_SQL}
+SELECT id, threat_input_id, ioc_id, state, ts FROM judged WHERE verdict = 'valid' AND ts >= {LAST_DAY}""")
+def lifecycle_batch_accepted(spark, sf_dir):
+    """L2: the last day's entries as a batch of requests on the log before
+    it: the rows to append."""
+    return _requests(spark, sf_dir)[0]
+
+
+@query("lifecycle_batch_rejects", f"""WITH RECURSIVE {JUDGED_SQL}
+SELECT id, threat_input_id, ioc_id, state, ts, prev_state, 'transition_from_' || coalesce(prev_state, 'none') AS reject_reason
+FROM judged WHERE verdict = 'invalid' AND ts >= {LAST_DAY}""")
+def lifecycle_batch_rejects(spark, sf_dir):
+    """L2: the requests of that batch that are refused, and from which state."""
+    return _requests(spark, sf_dir)[1]
+
+
 @query("lifecycle_state_counts", f"""WITH {LATEST_SQL}, {STATES_SQL}
 SELECT s.state, coalesce(c.n, 0) AS n FROM states s
 LEFT JOIN (SELECT state, count(*) AS n FROM latest GROUP BY 1) c ON s.state = c.state""")

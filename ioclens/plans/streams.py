@@ -10,6 +10,7 @@ from ..sources import views
 from ..streaming import jobs as J
 from ..streaming import sources as S
 from .common import r6
+from .lifecycle import JUDGED_SQL
 from .registry import query
 
 WM = "INTERVAL 10 MINUTES"
@@ -81,14 +82,8 @@ def stream_rule_alerts(spark, sf_dir):
     return spark.read.parquet(out).drop("_batch")
 
 
-@query("stream_lifecycle_transitions", """SELECT id, threat_input_id, ioc_id, prev_state, state,
-  CASE WHEN prev_state = state THEN 'noop'
-       WHEN (prev_state IS NULL AND state = 'new') OR (prev_state IS NOT NULL AND (prev_state, state) IN
-         (('new', 'under_analysis'), ('new', 'confirmed_malicious'), ('new', 'false_positive'),
-          ('under_analysis', 'confirmed_malicious'), ('under_analysis', 'false_positive'), ('under_analysis', 'new'),
-          ('confirmed_malicious', 'mitigated'), ('false_positive', 'new'))) THEN 'valid'
-       ELSE 'invalid' END AS verdict
-FROM (SELECT *, lag(state) OVER (PARTITION BY threat_input_id, ioc_id ORDER BY ts, id) AS prev_state FROM lifecycle) t""")
+@query("stream_lifecycle_transitions", f"""WITH RECURSIVE {JUDGED_SQL}
+SELECT id, threat_input_id, ioc_id, prev_state, state, verdict FROM judged""")
 def stream_lifecycle_transitions(spark, sf_dir):
     """Lifecycle state machine with per-threat state."""
     return J.run(J.lifecycle_state_machine(S.lifecycle_stream(spark, sf_dir)), "lifecycle")

@@ -119,8 +119,9 @@ STATE_SCHEMA = "last_state string, last_ts timestamp, last_id long"
 
 
 def _transition_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per threat: order the new entries by (ts, id) and classify each
-    against the previous entry (kept in state across micro-batches)."""
+    """Per threat: order the new entries by (ts, id) and judge each against
+    the last accepted state (kept across micro-batches); an invalid entry
+    leaves it as it is."""
     prev = state.get[0] if state.exists else None
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "id"], kind="mergesort")
     out = []
@@ -132,7 +133,7 @@ def _transition_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
         else:
             verdict = "invalid"
         out.append((r.id, r.threat_input_id, r.ioc_id, prev, r.state, verdict))
-        prev = r.state
+        prev = r.state if verdict == "valid" else prev
     last = rows.iloc[-1]
     state.update((prev, last["ts"], int(last["id"])))
     yield pd.DataFrame(out, columns=["id", "threat_input_id", "ioc_id", "prev_state", "state", "verdict"])
