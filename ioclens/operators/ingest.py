@@ -59,9 +59,10 @@ def lifecycle_new_rows(new_iocs: DataFrame, as_of: Column) -> DataFrame:
     return new_iocs.select("type", "value", F.lit("new").alias("state"), as_of.alias("ts"))
 
 
-def fallback_predictions(iocs_without_model: DataFrame) -> DataFrame:
-    """M14: 'unknown' at 0.5 from the 'fallback' model."""
-    return iocs_without_model.select("type", "value", F.lit("fallback").alias("model_name"),
+def fallback_predictions(iocs_without_model: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """M14: 'unknown' at 0.5 from the 'fallback' model; ``keep``: further
+    columns to carry."""
+    return iocs_without_model.select(*(keep or []), "type", "value", F.lit("fallback").alias("model_name"),
                                      F.lit("unknown").alias("prediction"), F.lit(0.5).alias("confidence"),
                                      F.to_json(F.struct(F.col("type").alias("ioc_type"), "value",
                                                         F.lit("fallback").alias("model_used"),
@@ -95,3 +96,49 @@ def delete_predictions(predictions: DataFrame, ids: DataFrame, by: str = "id") -
     keep = delete_keys(predictions, ids, by, by)
     removed = predictions.join(ids.select(by).distinct(), by, "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
     return keep, removed
+
+
+#: The tables that ingestion writes, with their keys (none: rows are added).
+INGEST_TABLES = {
+    "threat_input": ("input_id string, type string, value string, account_id long, status string, created_at timestamp_ntz", []),
+    "ioc": ("type string, value string, source string, risk_score decimal(3,2), first_seen timestamp_ntz, last_seen timestamp_ntz", ["type", "value"]),
+    "mapping": ("account_id long, type string, value string, input_id string", []),
+    "lifecycle": ("input_id string, type string, value string, state string, ts timestamp_ntz", []),
+    "prediction": ("input_id string, type string, value string, model_name string, prediction string, confidence double", []),
+    "job": ("batch long, total_items long, processed_items long, rejected_items long, status string", []),
+}
+
+
+def ingest_batch(tables, requests: DataFrame, batch: int, as_of, source: str = "User Input") -> bool:
+    """A batch of requests (input_id, type, value,
+    account_id) into all INGEST_TABLES under one version.
+
+    Normalisation runs once, its result is written and read by every sink:
+    each accepted request is a processed input, a mapping if it names an
+    account, a 'new' lifecycle row and a prediction; distinct indicators are
+    inserted or have ``last_seen`` moved, rewriting only the buckets they fall
+    in; rejects and requests without a value count in the job row.  False, and
+    nothing written, if the batch is already in."""
+    if tables.done(batch):
+        return False
+    spark = requests.sparkSession
+    staged = f"{tables.path}/_staged/{batch}"
+    normalize_inputs(requests, "value", "type").select("input_id", "type", "value", "account_id", "reject_reason").write.mode("overwrite").parquet(staged)
+    rows = spark.read.parquet(staged)
+    good = rows.where("reject_reason IS NULL")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    found = good.select("type", "value").distinct()
+    buckets = tables.touched("ioc", found)
+    fresh = found.select("type", "value", F.lit(source).alias("source"), fallback_score("type", "value").alias("risk_score"), now.alias("first_seen"), now.alias("last_seen"))
+    rules = {"source": F.coalesce("c.source", "u.source"), "risk_score": F.coalesce("c.risk_score", "u.risk_score"),
+             "first_seen": F.coalesce("c.first_seen", "u.first_seen"), "last_seen": F.col("u.last_seen")}
+    iocs = merge_upsert(tables.read("ioc", buckets), fresh, ["type", "value"], rules=rules)
+    verdict = fallback_predictions(good.select("input_id", "type", "value"), keep=["input_id"])
+    job = rows.agg(F.lit(batch).cast("long").alias("batch"), F.count(F.lit(1)).alias("total_items"), F.count_if(F.col("reject_reason").isNull()).alias("processed_items"),
+                   F.count_if(F.col("reject_reason").isNotNull()).alias("rejected_items"), F.lit("completed").alias("status"))
+    return tables.commit(batch, appends={
+        "threat_input": good.select("input_id", "type", "value", "account_id", F.lit("processed").alias("status"), now.alias("created_at")),
+        "mapping": good.where("account_id IS NOT NULL").select("account_id", "type", "value", "input_id"),
+        "lifecycle": good.select("input_id", "type", "value", F.lit("new").alias("state"), now.alias("ts")),
+        "prediction": verdict, "job": job,
+    }, replaces={"ioc": (iocs, buckets)})

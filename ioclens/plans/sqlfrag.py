@@ -68,18 +68,23 @@ def url_norm(v: str) -> str:
             f"CASE WHEN {qu} <> '' THEN '?' || {qu} ELSE '' END, CASE WHEN {fr} <> '' THEN '#' || {fr} ELSE '' END)")
 
 
-def normalized_raw_inputs() -> str:
-    """CTE body: raw_inputs with detected type, normal form and reject reason."""
+def normalized_raw_inputs(source: str = "raw_inputs", keep: str = "origin, ref_id, pos", hint: str | None = None) -> str:
+    """CTE body: inputs with given or detected type, normal form and reject
+    reason.  IPv6 texts are taken as they are, so they must be canonical."""
     v = "v"
     detect = (f"CASE WHEN regexp_matches({v}, {q(N.DETECT_IP_RE)}) THEN 'ip' "
               f"WHEN regexp_matches(lower({v}), {q(N.URL_PREFIX_RE)}) THEN 'url' "
               f"WHEN regexp_matches({v}, {q(N.HASH_RE)}) THEN 'hash' ELSE 'domain' END")
-    norm = (f"CASE WHEN t = 'ip' THEN (CASE WHEN regexp_matches({v}, {q(N.VALID_IPV4_RE)}) THEN {v} END) "
+    given = f"coalesce({hint}, {detect})" if hint else detect
+    v6 = f" WHEN contains({v}, ':') THEN {v}" if hint else ""
+    odd = "WHEN t NOT IN ('ip', 'domain', 'url', 'hash', 'network') THEN 'unsupported_type:' || t " if hint else ""
+    hinted = f", {hint}" if hint else ""
+    norm = (f"CASE WHEN t = 'ip' THEN (CASE WHEN regexp_matches({v}, {q(N.VALID_IPV4_RE)}) THEN {v}{v6} END) "
             f"WHEN t = 'domain' THEN (CASE WHEN length({v}) <= 253 AND regexp_matches({v}, {q(N.DOMAIN_RE)}) THEN lower({v}) END) "
             f"WHEN t = 'url' THEN (CASE WHEN regexp_matches({v}, {q(U.VALID_URL_RE)}) THEN {url_norm(v)} END) "
             f"WHEN t = 'hash' THEN (CASE WHEN regexp_matches({v}, {q(N.HASH_RE)}) THEN lower({v}) END) END")
-    return f"""SELECT origin, ref_id, pos, original, t AS type, n AS value,
+    return f"""SELECT {keep}, original, t AS type, n AS value,
        CASE WHEN original IS NULL OR v = '' THEN 'empty_value'
-            WHEN n IS NULL THEN 'invalid_' || t END AS reject_reason
-FROM (SELECT *, {norm} AS n FROM (SELECT *, {detect} AS t FROM (
-      SELECT origin, ref_id, pos, value AS original, {strip("replace(value, '[.]', '.')")} AS v FROM raw_inputs) AS s0) AS s1) AS s2"""
+            {odd}WHEN n IS NULL THEN 'invalid_' || t END AS reject_reason
+FROM (SELECT *, {norm} AS n FROM (SELECT *, {given} AS t FROM (
+      SELECT {keep}{hinted}, value AS original, {strip("replace(value, '[.]', '.')")} AS v FROM {source}) AS s0) AS s1) AS s2"""

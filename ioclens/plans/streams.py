@@ -78,8 +78,7 @@ SELECT i.id AS ioc_id, i.type, cast(i.risk_score AS double) AS risk_score, r.rul
 FROM ioc i JOIN rules r ON i.type = r.type AND i.risk_score >= r.min_risk""")
 def stream_rule_alerts(spark, sf_dir):
     """Rule alerts from the stream, once per (IOC, message)."""
-    out = J.rule_alert_batches(S.ioc_stream(spark, sf_dir))
-    return spark.read.parquet(out).drop("_batch")
+    return J.rule_alert_batches(S.ioc_stream(spark, sf_dir)).read("alerts")
 
 
 @query("stream_lifecycle_transitions", f"""WITH RECURSIVE {JUDGED_SQL}
@@ -97,9 +96,9 @@ w AS (SELECT *, coalesce(avg(n) OVER p, 0.0) AS m, coalesce(stddev_pop(n) OVER p
 SELECT type, hour, n, round(m, 6) AS baseline_mean, round(sd, 6) AS baseline_std, k AS prior_hours,
   k >= 24 AND n > m + 2 * sd AS is_spike FROM w""")
 def stream_hourly_spikes(spark, sf_dir):
-    """Per-type hourly spikes against the running baseline (state kept
-    in small tables; micro-batches pre-aggregated to hourly counts)."""
-    out = spark.read.parquet(J.hourly_spikes(S.ioc_stream(spark, sf_dir)) + "/spikes").drop("batch")
+    """Per-type hourly spikes against the running baseline, over three
+    micro-batches of ten days (keyed state, one version a batch)."""
+    out = J.hourly_spikes(_ten_days(spark, sf_dir)).read("spikes")
     return out.select("type", F.col("hour").cast("timestamp_ntz").alias("hour"), "n", r6("baseline_mean").alias("baseline_mean"),
                       r6("baseline_std").alias("baseline_std"), "prior_hours", "is_spike")
 
@@ -135,33 +134,60 @@ def stream_flow_scoring(spark, sf_dir):
 @query("stream_bulk_ingest", _bulk_sql())
 def stream_bulk_ingest(spark, sf_dir):
     """Bulk CSV files landing in a drop folder are normalised and merged
-    into the IOC table per micro-batch (write-then-swap commit)."""
+    into the IOC table, two files a micro-batch; a batch rewrites the buckets
+    of its own indicators, under one version."""
     from ..operators import ingest as I
     from ..session import scratch_path
     from ..sources import sinks
-    drop, table_path = scratch_path(spark, "drops"), scratch_path(spark, "ioc-table")
+    from ..sources.versioned import Tables
+    drop = scratch_path(spark, "drops")
     raw = views.raw_inputs(spark, sf_dir).select(F.lit(None).cast("string").alias("type"), "value")
     sinks.write_csv(raw, drop)
     ioc = views.ioc(spark, sf_dir)
     now = ioc.select(F.max("created_at")).first()[0]
-    empty = ioc.where(F.lit(False)).select("type", "value")
-    base = I.upsert_iocs(ioc, empty, F.lit(now))
-    sinks.commit_swap(spark, base, table_path)
+    base = I.upsert_iocs(ioc, ioc.where(F.lit(False)).select("type", "value"), F.lit(now))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
+    tables = Tables(spark, scratch_path(spark, "ioc-tables"), {"ioc": (ddl, ["type", "value"])})
+    tables.commit(-1, replaces={"ioc": (base, list(range(tables.buckets)))})
 
     def per_batch(batch, batch_id, _out):
+        if tables.done(batch_id):
+            return
         acc, _ = I.split_batch(batch, "value", "type")
-        cur = spark.read.parquet(table_path)
-        merged = I.upsert_iocs_table(cur, acc, F.lit(now))
-        sinks.commit_swap(spark, merged, table_path)
+        found = acc.select("type", "value").distinct()
+        touched = tables.touched("ioc", found)
+        tables.commit(batch_id, replaces={"ioc": (I.upsert_iocs_table(tables.read("ioc", touched), found, F.lit(now)), touched)})
 
-    J.run_batches(S.bulk_drops(spark, drop, fmt="csv"), "bulk", per_batch)
-    return spark.read.parquet(table_path)
+    J.run_batches(S.bulk_drops(spark, drop, fmt="csv", files=2), "bulk", per_batch)
+    return tables.read("ioc")
 
 
-@query("stream_late_arrivals", """SELECT cast(0 AS bigint) AS batch_id, count(*) AS rows, cast(0 AS bigint) AS late FROM events""")
+TEN_DAYS = [("2024-01-21", "2100-01-01"), ("1970-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21")]
+
+
+def _files(spark, sf_dir, name, ranges):
+    """The events as one file for each range of days, one file a micro-batch,
+    in the order of ``ranges``; written once per dataset."""
+    from ..session import scratch_path
+    from ..sources.tables import table
+    import time
+    folder = scratch_path(spark, name)
+    events = table(spark, sf_dir, "events")
+    for lo, hi in ranges:
+        events.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # the file source takes files by their times, in seconds
+    return views.ioc_from_events(S.events(spark, folder, files_per_trigger=1, pattern="*.parquet"))
+
+
+def _ten_days(spark, sf_dir):
+    return _files(spark, sf_dir, "events-in-order", sorted(TEN_DAYS))
+
+
+@query("stream_late_arrivals", f"""WITH e AS (SELECT created_at AS ts, CASE {' '.join(f"WHEN created_at >= '{lo}' AND created_at < '{hi}' THEN {k}" for k, (lo, hi) in enumerate(TEN_DAYS))} END AS b FROM ioc),
+m AS (SELECT b, max(ts) AS t FROM e GROUP BY b)
+SELECT cast(e.b AS bigint) AS batch_id, count(*) AS rows,
+  count(*) FILTER (WHERE e.ts < (SELECT max(t) FROM m WHERE m.b < e.b) - {WM}) AS late FROM e GROUP BY e.b""")
 def stream_late_arrivals(spark, sf_dir):
-    """Rows per micro-batch and how many arrived behind the watermark
-    (the events file is one ordered batch here, so none are late)."""
-    out = J.count_late(S.ioc_stream(spark, sf_dir))
-    return spark.read.parquet(out + "/counts").select(F.col("batch_id").cast("bigint").alias("batch_id"), "rows",
-                                                      F.col("late").cast("bigint").alias("late"))
+    """Rows per micro-batch and how many arrived behind the watermark:
+    the last ten days come first, so all rows of the later files are late."""
+    return J.count_late(_files(spark, sf_dir, "events-late", TEN_DAYS)).read("counts")

@@ -160,6 +160,21 @@ def raw_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(d).select("origin", "ref_id", "pos", "value")
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw inputs as users send them, in two batches: bracketed dots and
+    blanks, empty and malformed values, IPv6 and unknown types given, some
+    with an account; a third of the first batch comes again in the second."""
+    r = raw_inputs(spark, sf_dir)
+    k = (F.col("ref_id") * 31 + F.col("pos")) % 20
+    page = F.col("origin").startswith("page")
+    value = F.when(k == 0, F.concat(F.lit(" "), F.replace("value", F.lit("."), F.lit("[.]")), F.lit("\t"))).when(k == 1, F.lit("")) \
+        .when(k == 2, F.lit("not an indicator!")).when(k == 3, F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("ref_id") % 65535 + 1)))).otherwise(F.col("value"))
+    again = F.when(page & (F.col("ref_id") % 3 == 0), F.array(F.lit(1), F.lit(2))).when(page, F.array(F.lit(1))).otherwise(F.array(F.lit(2)))
+    rows = r.select(F.explode(again).alias("batch"), "origin", "ref_id", "pos", F.when(k == 3, "ip").when(k == 4, "email").alias("type"), value.alias("value"),
+                    F.when(F.col("ref_id") % 5 == 0, F.col("ref_id") % 7 + 1).alias("account_id"))
+    return rows.select(F.concat_ws(":", "origin", "ref_id", "pos", "batch").alias("input_id"), "batch", "type", "value", "account_id")
+
+
 # Country codes assigned to derived geolocation payloads (fixture rule).
 GEO_CODES = ["US", "DE", "RU", "CN", "FR", "IR", "BR", "KP", "JP", "GB"]
 
@@ -201,7 +216,7 @@ def enrichment_from_events(e: DataFrame) -> DataFrame:
 BUILDERS = {
     "ioc": ioc, "alert": alert, "lifecycle": lifecycle, "account": account, "mapping": mapping,
     "relationship": relationship, "flow": flow, "prediction": prediction, "raw_inputs": raw_inputs,
-    "enrichment": enrichment,
+    "enrichment": enrichment, "requests": requests,
 }
 
 # ------------------------------------------------------------------ oracle SQL
@@ -251,6 +266,12 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{QUAD_RE}') AS m FROM documents)
 UNION ALL
 SELECT 'doc_hash', doc_id, cast(generate_subscripts(m, 1) - 1 AS integer), unnest(m)
 FROM (SELECT doc_id, regexp_extract_all(text, '{HEX_RE}') AS m FROM documents) AS h""",
+    "requests": """SELECT concat_ws(':', origin, ref_id, pos, batch) AS input_id, batch,
+       CASE k WHEN 3 THEN 'ip' WHEN 4 THEN 'email' END AS hint,
+       CASE k WHEN 0 THEN ' ' || replace(value, '.', '[.]') || chr(9) WHEN 1 THEN '' WHEN 2 THEN 'not an indicator!'
+              WHEN 3 THEN '2001:db8::' || printf('%x', ref_id % 65535 + 1) ELSE value END AS value,
+       CASE WHEN ref_id % 5 = 0 THEN ref_id % 7 + 1 END AS account_id
+FROM (SELECT *, (ref_id * 31 + pos) % 20 AS k, unnest(CASE WHEN origin NOT LIKE 'page%' THEN [2] WHEN ref_id % 3 = 0 THEN [1, 2] ELSE [1] END) AS batch FROM raw_inputs) x""",
     "enrichment": """SELECT event_id * 3 AS id, event_id AS ioc_id, 'virustotal' AS enrichment_type,
   '{"reputation": ' || cast(k - 50 AS varchar) || ', "last_analysis_stats": {"malicious": ' || cast(k % 7 AS varchar)
   || ', "suspicious": ' || cast(k % 3 AS varchar) || ', "harmless": ' || cast(60 - k % 7 AS varchar)
@@ -275,6 +296,8 @@ def with_views(sql: str) -> str:
     query that starts with its own ``WITH`` keeps its CTEs after the views."""
     body = sql.strip()
     names = [n for n in SQL if re.search(rf"\b{n}\b", body)]
+    if "requests" in names and "raw_inputs" not in names:  # a view over another, which goes first
+        names.insert(0, "raw_inputs")
     ctes = [f"{n} AS (\n{SQL[n]}\n)" for n in names]
     if not ctes:
         return body

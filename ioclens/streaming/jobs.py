@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..constants import BURST_GAP_MINUTES, BURST_MIN_ROWS, BURST_RISK, LIFECYCLE_STATES, TRANSITIONS
 from ..operators.alerts import rule_alerts
 from ..session import scratch_path
+from ..sources.versioned import Tables
 
 WATERMARK = "10 minutes"
 
@@ -96,21 +97,23 @@ def dedupe_keys(iocs: DataFrame) -> DataFrame:
     return iocs.select("type", "value").dropDuplicates(["type", "value"])
 
 
-def rule_alert_batches(iocs: DataFrame, name: str = "rule-alerts") -> str:
-    """Rule alerts appended once per (IOC, message).  Each micro-batch
-    writes to a directory named by its batch id, so a replayed batch
-    overwrites its own output instead of duplicating it; earlier output is
-    anti-joined first."""
+ALERT_TABLE = {"alerts": ("ioc_id long, type string, risk_score double, rule_name string, severity string, message string", ["ioc_id", "message"])}
+
+
+def rule_alert_batches(iocs: DataFrame, name: str = "rule-alerts") -> Tables:
+    """Rule alerts appended once per (IOC, message).  A batch reads and
+    adds to the buckets its own hits fall in; a replayed batch is already in."""
+    tables = Tables(iocs.sparkSession, scratch_path(iocs.sparkSession, f"stream-{name}-tables"), ALERT_TABLE)
+
     def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            seen = spark.read.parquet(out).where(F.col("_batch") != batch_id).select("ioc_id", "message")
-        else:  # first batch: nothing written yet
-            seen = spark.createDataFrame([], "ioc_id long, message string")
-        new = rule_alerts(batch, seen).withColumn("_batch", F.lit(batch_id))
-        new.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
-    return run_batches(iocs, name, per_batch)
+        if tables.done(batch_id):
+            return
+        none = batch.sparkSession.createDataFrame([], ALERT_TABLE["alerts"][0])
+        hits = rule_alerts(batch, none).dropDuplicates(["ioc_id", "message"])
+        seen = tables.read("alerts", tables.touched("alerts", hits))
+        tables.commit(batch_id, appends={"alerts": hits.join(seen.select("ioc_id", "message"), ["ioc_id", "message"], "left_anti")})
+    run_batches(iocs, name, per_batch)
+    return tables
 
 
 # ----------------------------------------------------- lifecycle state machine
@@ -151,39 +154,44 @@ def lifecycle_state_machine(lifecycle: DataFrame) -> DataFrame:
 DELAY_US = 10 * 60 * 1_000_000
 
 
-def hourly_spikes(iocs: DataFrame, name: str = "spikes") -> str:
+SPIKE_TABLES = {
+    "pending": ("type string, hour timestamp, n long", ["type", "hour"]),
+    "stats": ("type string, k long, s double, s2 double", ["type"]),
+    "clock": ("one long, m long", ["one"]),
+    "spikes": ("type string, hour timestamp, n long, baseline_mean double, baseline_std double, prior_hours long, is_spike boolean", []),
+}
+
+
+def hourly_spikes(iocs: DataFrame, name: str = "spikes") -> Tables:
     """Per-type hourly spikes against the trailing baseline of all
     earlier closed hours (mean + 2 std, needs >= 24 hours).
 
-    Each micro-batch is first reduced to (type, hour) counts -- a partial
-    aggregation across tasks, so a hot type never lands raw in one task.
-    The state is two small tables under the output folder: pending counts
-    of hours still open under the watermark, and the running (k, sum, sum
-    of squares) per type.  Hours close when max event time - 10 minutes
-    passes their end; closed hours are scored in order with window sums
-    over the few closed rows, and appended to ``<out>/spikes``."""
+    Each micro-batch is first reduced to (type, hour) counts, written and
+    read by what follows -- a partial aggregation across tasks, so a hot type
+    never lands raw in one task.  The state is keyed: counts of hours still
+    open under the watermark, the running (k, sum, sum of squares) of each
+    type, and the clock.  Hours close when max event time - 10 minutes passes
+    their end; closed hours are scored in order with window sums over the few
+    closed rows.  Scores and state of a batch are one version of all tables,
+    of which only touched buckets are written; a batch that is in, or died
+    halfway, is never counted twice."""
     from ..functions.timeutil import micros
-    from ..sources import sinks
+    tables = Tables(iocs.sparkSession, scratch_path(iocs.sparkSession, f"stream-{name}-tables"), SPIKE_TABLES)
 
     def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+        if tables.done(batch_id):
+            return
         spark = batch.sparkSession
-        fs_exists = spark._jvm.org.apache.hadoop.fs.Path(out + "/pending").getFileSystem(
-            spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(out + "/pending"))
-        counts = batch.groupBy("type", F.date_trunc("hour", "created_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-        seen = batch.agg(F.max(micros("created_at")).alias("m"))
-        if fs_exists:
-            pending = spark.read.parquet(out + "/pending")
-            stats = spark.read.parquet(out + "/stats")
-            wm_prev = spark.read.parquet(out + "/wm")
-        else:
-            pending = spark.createDataFrame([], "type string, hour timestamp, n long")
-            stats = spark.createDataFrame([], "type string, k long, s double, s2 double")
-            wm_prev = spark.createDataFrame([], "m long")
-        wm_tab = wm_prev.unionByName(seen).agg(F.max("m").alias("m"))
-        wm = wm_tab.select("m").scalar() - DELAY_US
-        allc = pending.unionByName(counts).groupBy("type", "hour").agg(F.sum("n").alias("n"))
-        closed = allc.where(micros("hour") + 3_600_000_000 <= wm)
-        still = allc.where(~(micros("hour") + 3_600_000_000 <= wm))
+        staged = f"{tables.path}/_staged/{batch_id}"
+        batch.groupBy("type", F.date_trunc("hour", "created_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max(micros("created_at")).alias("m")) \
+            .write.mode("overwrite").parquet(staged)
+        new = spark.read.parquet(staged)
+        pending, stats = tables.read("pending"), tables.read("stats")
+        clock = tables.read("clock").select("m").unionByName(new.select("m")).agg(F.lit(0).cast("long").alias("one"), F.max("m").alias("m"))
+        wm = clock.select("m").scalar() - DELAY_US
+        every = pending.unionByName(new.select("type", "hour", "n")).groupBy("type", "hour").agg(F.sum("n").alias("n"))
+        over = micros("hour") + 3_600_000_000 <= wm
+        closed, still = every.where(over), every.where(~over)
         w = Window.partitionBy("type").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
         j = closed.join(stats, "type", "left").select(
             "type", "hour", "n",
@@ -192,19 +200,17 @@ def hourly_spikes(iocs: DataFrame, name: str = "spikes") -> str:
             (F.coalesce("s2", F.lit(0.0)) + F.coalesce(F.sum(F.col("n") * F.col("n")).over(w), F.lit(0)).cast("double")).alias("_s2"))
         mean = F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")).otherwise(0.0)
         std = F.when(F.col("_k") > 0, F.sqrt(F.greatest(F.col("_s2") / F.col("_k") - mean * mean, F.lit(0.0)))).otherwise(0.0)
-        scored = j.select("type", "hour", "n", mean.alias("baseline_mean"), std.alias("baseline_std"),
-                          F.col("_k").alias("prior_hours"),
+        scored = j.select("type", "hour", "n", mean.alias("baseline_mean"), std.alias("baseline_std"), F.col("_k").alias("prior_hours"),
                           ((F.col("_k") >= 24) & (F.col("n") > mean + 2 * std)).alias("is_spike"))
-        scored.write.mode("overwrite").parquet(f"{out}/spikes/batch={batch_id}")
-        new_stats = stats.unionByName(closed.groupBy("type").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("s"),
-            F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))).groupBy("type").agg(
-            F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
-        sinks.commit_swap(spark, new_stats, out + "/stats")
-        sinks.commit_swap(spark, still, out + "/pending")
-        sinks.commit_swap(spark, wm_tab, out + "/wm")
+        added = closed.groupBy("type").agg(F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))
+        of_stats = tables.touched("stats", added)
+        sums = tables.read("stats", of_stats).unionByName(added).groupBy("type").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
+        of_pending = tables.touched("pending", new, closed)
+        left = still.where(tables.bucket("pending").isin(of_pending))
+        tables.commit(batch_id, appends={"spikes": scored}, replaces={"pending": (left, of_pending), "stats": (sums, of_stats), "clock": (clock, tables.touched("clock", clock))})
 
-    return run_batches(iocs, name, per_batch)
+    run_batches(iocs, name, per_batch)
+    return tables
 
 
 # ------------------------------------------------- stream-stream join
@@ -229,27 +235,27 @@ def score_stream(flows: DataFrame, model) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", F.col("prediction").cast("int").alias("prediction"))
 
 
-def count_late(stream: DataFrame, ts: str = "created_at", name: str = "late") -> str:
+LATE_TABLES = {"counts": ("batch_id long, rows long, late long", []), "clock": ("one long, m long", ["one"])}
+
+
+def count_late(stream: DataFrame, ts: str = "created_at", name: str = "late") -> Tables:
     """Per micro-batch, how many rows arrive behind the watermark (max
     event time of earlier batches - 10 minutes).  Spark guarantees only
     that rows within the watermark are kept -- older rows may or may not be
     dropped by a stateful operator -- so late arrivals are reported here
-    explicitly.  The running maximum is a one-row state table
-    (write-then-swap); counts go to ``<out>/counts``."""
+    explicitly.  Counts and the clock are one version of two tables."""
     from ..functions.timeutil import micros
-    from ..sources import sinks
+    tables = Tables(stream.sparkSession, scratch_path(stream.sparkSession, f"stream-{name}-tables"), LATE_TABLES)
 
     def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out + "/state")
-        have = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        prev = spark.read.parquet(out + "/state") if have else spark.createDataFrame([], "m long")
-        wm = prev.select(F.max("m")).scalar() - DELAY_US
-        counts = batch.agg(F.count(F.lit(1)).alias("rows"),
-                           F.coalesce(F.count_if(micros(ts) < wm), F.lit(0)).alias("late"),
-                           F.max(micros(ts)).alias("_m"))
-        counts.select(F.lit(batch_id).alias("batch_id"), "rows", "late") \
-            .write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
-        sinks.commit_swap(spark, prev.unionByName(counts.select(F.col("_m").alias("m"))).agg(F.max("m").alias("m")), out + "/state")
-
-    return run_batches(stream, name, per_batch)
+        if tables.done(batch_id):
+            return
+        before = tables.read("clock").agg(F.max("m").alias("m"))
+        wm = before.select("m").scalar() - DELAY_US
+        now = batch.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if(micros(ts) < wm), F.lit(0)).alias("late"), F.max(micros(ts)).alias("m"))
+        clock = before.unionByName(now.select("m")).agg(F.lit(0).cast("long").alias("one"), F.max("m").alias("m"))
+        tables.commit(batch_id, appends={"counts": now.select(F.lit(batch_id).cast("long").alias("batch_id"), "rows", "late")},
+                      replaces={"clock": (clock, tables.touched("clock", clock))})
+
+    run_batches(stream, name, per_batch)
+    return tables

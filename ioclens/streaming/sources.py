@@ -33,9 +33,10 @@ def lifecycle_stream(spark, sf_dir):
     return views.lifecycle_from_events(events(spark, sf_dir))
 
 
-def bulk_drops(spark: SparkSession, folder: str, fmt: str = "json") -> DataFrame:
-    """Newly landed bulk files (type?, value) in a drop folder."""
-    r = spark.readStream.schema(BULK_SCHEMA)
+def bulk_drops(spark: SparkSession, folder: str, fmt: str = "json", files: int = 1000) -> DataFrame:
+    """Newly landed bulk files (type?, value) in a drop folder, at most
+    ``files`` a micro-batch."""
+    r = spark.readStream.schema(BULK_SCHEMA).option("maxFilesPerTrigger", files)
     if fmt == "json":
         return r.option("multiLine", True).json(folder)
     return r.option("header", True).csv(folder)
