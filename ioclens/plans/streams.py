@@ -77,8 +77,10 @@ def stream_distinct_indicators(spark, sf_dir):
 SELECT i.id AS ioc_id, i.type, cast(i.risk_score AS double) AS risk_score, r.rule_name, r.severity, r.message
 FROM ioc i JOIN rules r ON i.type = r.type AND i.risk_score >= r.min_risk""")
 def stream_rule_alerts(spark, sf_dir):
-    """Rule alerts from the stream, once per (IOC, message)."""
-    return J.rule_alert_batches(S.ioc_stream(spark, sf_dir)).read("alerts")
+    """Rule alerts from the stream, once per (IOC, message), over four
+    micro-batches of which the last delivers the first's events again."""
+    days = sorted(TEN_DAYS)
+    return J.rule_alert_batches(_files(spark, sf_dir, "events-again", [*days, days[0]])).read("alerts")
 
 
 @query("stream_lifecycle_transitions", f"""WITH RECURSIVE {JUDGED_SQL}
