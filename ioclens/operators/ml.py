@@ -22,6 +22,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .models import reloaded
 from ..constants import CLUSTER_CAMPAIGN_RISK, CLUSTER_CAMPAIGN_SIZE, CLUSTER_MAX_K, CLUSTER_MIN_ROWS, CLUSTER_MIN_SIZE, \
     CAMPAIGN_HIGH_RISK, CLUSTER_TYPE_CODES
 
@@ -111,53 +113,16 @@ def missing_values(df: DataFrame) -> DataFrame:
     return one.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column_name, missing)")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 256) -> DataFrame:
-    """Exact quantiles with linear interpolation (as ``percentile`` /
-    pandas), without buffering the column in one aggregate: values are cut
-    into buckets at approximate quantiles, ranked inside each bucket, offset
-    by the earlier buckets' counts, and only the rows at the interpolation
-    positions are read.  One row: q_<i> columns."""
-    from pyspark.ml.feature import Bucketizer
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    splits = x.approxQuantile("_x", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    splits = [float("-inf")] + sorted(set(splits)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(x)
-    # distinct values with their counts (partial aggregation absorbs a value
-    # that repeats in a third of the rows), then ranks as count ranges
-    d = b.groupBy("_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    cnt = d.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = x.select(F.count(F.lit(1))).scalar()
-    wv = Window.partitionBy("_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    r = d.join(cnt.select("_b", "_off"), "_b").withColumn("_end", F.col("_off") + F.sum("_c").over(wv)) \
-         .withColumn("_start", F.col("_end") - F.col("_c"))
-    aggs = []
-    for i, q in enumerate(qs):
-        pos = (n - 1) * q
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda k: F.max(F.when((F.col("_start") <= k) & (k < F.col("_end")), F.col("_x")))
-        vlo, vhi = at(lo), at(hi)
-        aggs.append((vlo + (pos - lo) * (vhi - vlo)).alias(f"q_{i}"))
-    return r.agg(*aggs)
-
-
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear
-    interpolation), max per numeric column, long form."""
-    from functools import reduce
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                      F.min(x).alias("min"), F.max(x).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        # two one-row aggregates side by side: a union + max keeps it a plain aggregate (no cross join)
-        merged = base.select("*", *[F.lit(None).cast("double").alias(f"q_{i}") for i in range(3)]).unionByName(
-            q.select(*[F.lit(None).cast(t).alias(n) for n, t in base.dtypes], "q_0", "q_1", "q_2"))
-        one = merged.agg(*[F.max(n).alias(n) for n in ["count", "mean", "std", "min", "max", "q_0", "q_1", "q_2"]])
-        parts.append(one.select(F.lit(c).alias("column_name"), F.col("count").cast("double").alias("count"), "mean", "std", "min",
-                                F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), "max"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    interpolation), max per numeric column, long form: one aggregate for all
+    columns, and one ranking of their distinct values."""
+    from .ranks import quantiles
+    stats = (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in stats])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{i}").cast("double").alias(n) for n, _ in stats]) for i, c in enumerate(cols)])))
+    q = quantiles(df, cols, [0.25, 0.5, 0.75]).select(F.col("name").alias("column_name"), F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
+    return rows.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 # ----------------------------------------------------- stratified assignment
@@ -250,7 +215,8 @@ def train_select(data: DataFrame, features: list[str], label: str, k: int, kinds
         pipe = classifier_pipeline(features, kind, k, label=label, weight=weight)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=grids(pipe, kind), evaluator=f1,
                             foldCol="fold", parallelism=parallelism)
-        model = cv.fit(train).bestModel
+        # scored as saved: a fresh model holds its training summary, and with it the session
+        model = reloaded(cv.fit(train).bestModel, scratch_path(spark, f"model-{kind}"))
         secs = time.perf_counter() - t0
         vf1 = f1.evaluate(model.transform(valid))
         tf1 = f1.evaluate(model.transform(test))

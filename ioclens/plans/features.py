@@ -329,3 +329,27 @@ def url_prediction_texts(spark, sf_dir):
     t = t.withColumn("ioc_type", F.col("type")).withColumn("model_used", F.lit("fallback"))
     return t.select("origin", "ref_id", "value", "model_name", "prediction", "confidence", "risk_score", "explanation",
                     fj.alias("features_used"))
+
+
+def _mixed(spark, sf_dir):
+    """Distinct accepted indicators of all types; whole documents are the
+    network descriptions.  ``id``: digest of the value."""
+    texts = table(spark, sf_dir, "documents").select(F.lit("network").alias("type"), F.col("text").alias("value"))
+    texts = texts.where(F.length(F.regexp_replace("value", r"^\s+|\s+$", "")) >= 3)
+    rows = accepted(spark, sf_dir).select("type", "value").unionByName(texts).distinct()
+    return rows.select(F.md5(F.col("value").cast("binary")).alias("id"), "type", "value")
+
+
+def _long_sql(type_, sql, keys, id_="md5(value)"):
+    return f"""SELECT DISTINCT {id_} AS id, '{type_}' AS type, feature, round(x, 6) AS x FROM (
+  UNPIVOT (SELECT {keys}, COLUMNS(* EXCLUDE ({keys}))::double FROM ({sql}) q) ON COLUMNS(* EXCLUDE ({keys})) INTO NAME feature VALUE x) u"""
+
+
+@query("route_features", "\nUNION ALL ".join([
+    _long_sql("url", _url_sql(), "origin, ref_id, value"), _long_sql("domain", _domain_sql(), "origin, ref_id, value"),
+    _long_sql("ip", _ip_sql(), "ref_id, pos, value"), _long_sql("hash", _hash_sql(), "ref_id, pos, value"),
+    _long_sql("network", _nettxt_sql(), "doc_id", "(SELECT md5(text) FROM documents d WHERE d.doc_id = u.doc_id)")]))
+def route_features(spark, sf_dir):
+    """X-ANY: every distinct indicator through the extractor of its type."""
+    from ..operators.routing import long_features, route
+    return long_features(route(_mixed(spark, sf_dir))).withColumn("x", r6("x"))

@@ -139,6 +139,46 @@ def flow_anomaly_share(spark, sf_dir):
     return _round_all(M.anomaly_share(f, "traffic_intensity_score", 1000.0))
 
 
+def _auc_sql():
+    names = FLOW_COLS + NETWORK_FEATURES
+    return f"""WITH feats AS ({_net_long()}),
+s AS (SELECT name, x, sum(y) AS pos, sum(1 - y) AS neg FROM feats WHERE x IS NOT NULL GROUP BY name, x),
+b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY name ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT name, cast(sum(pos) AS bigint) AS positives, cast(sum(neg) AS bigint) AS negatives,
+  round(sum(pos * (before + neg / 2.0)) / sum(pos) / sum(neg), 6) AS auc FROM b GROUP BY name"""
+
+
+def _net_long():
+    from .features import _net_sql
+    import re
+    whole = re.sub(r"round\(cast\((.*?) AS double\), 6\) AS (\w+)(?=,|\nFROM)", r"cast(\1 AS double) AS \2", _net_sql("flow", "is_anomalous"))
+    names = ", ".join(FLOW_COLS + NETWORK_FEATURES)
+    return f"SELECT name, x, is_anomalous AS y FROM (UNPIVOT (SELECT is_anomalous, COLUMNS(* EXCLUDE (is_anomalous))::double FROM ({whole}) q) ON {names} INTO NAME name VALUE x) u"
+
+
+@query("flow_feature_auc", _auc_sql())
+def flow_feature_auc(spark, sf_dir):
+    """Exact ROC-AUC of every flow feature as a score of anomaly, ties
+    counting half."""
+    from ..operators.ranks import roc_auc
+    f = network_features(views.flow(spark, sf_dir))
+    return _round_all(roc_auc(f, FLOW_COLS + NETWORK_FEATURES, "is_anomalous"))
+
+
+@query("flow_feature_scores", f"""WITH feats AS ({_net_long()}),
+c AS (SELECT name, y, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM feats GROUP BY name, y),
+w AS (SELECT name, sum(n) AS total, sum(n * m) / sum(n) AS mean, count(*) AS k FROM c GROUP BY name),
+g AS (SELECT w.name, total, mean, k, sum(n * (m - mean) * (m - mean)) AS between_, sum(n * v) AS within_ FROM c JOIN w ON w.name = c.name GROUP BY ALL)
+SELECT name, round((between_ / (k - 1)) / (within_ / (total - k)), 4) AS f_value, round(mean, 4) AS mean, round(sqrt((between_ + within_) / total), 4) AS std FROM g""")
+def flow_feature_scores(spark, sf_dir):
+    """M1/M2: ANOVA F, mean and deviation of every flow feature from one
+    mergeable aggregate."""
+    from ..operators.ranks import anova
+    f = network_features(views.flow(spark, sf_dir))
+    s = anova(f, FLOW_COLS + NETWORK_FEATURES, "is_anomalous")
+    return s.select("name", *[F.round(c, 4).alias(c) for c in ("f_value", "mean", "std")])
+
+
 def _flow_training_set(spark, sf_dir):
     f = network_features(views.flow(spark, sf_dir)).withColumnRenamed("is_anomalous", "label")
     f = f.withColumn("label", F.col("label").cast("double"))
