@@ -59,6 +59,14 @@ def is_valid_hash(v) -> Column:
     return col(v).rlike(HASH_RE)
 
 
+def network_reject_reason(c) -> Column:
+    """Why a network description is refused, NULL if it is not: by
+    its trimmed length, or for want of any ASCII letter or digit."""
+    v = strip_ws(F.col(c) if isinstance(c, str) else c)
+    v = F.coalesce(v, F.lit(""))
+    return F.when(F.length(v) < 3, "network_too_short").when(~F.rlike(v, F.lit("[a-zA-Z0-9]")), "network_no_alphanumeric")
+
+
 def normalize_inputs(df: DataFrame, value: str = "value", type_col: str | None = None) -> DataFrame:
     """Add ``type``, ``value`` (normal form), ``original`` and ``reject_reason``.
 

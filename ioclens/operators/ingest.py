@@ -84,8 +84,8 @@ def cascade_delete(ids: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]
 def create_iocs(requests: DataFrame, iocs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(created, rejected duplicates) for an IOC create batch; the
     batch is deduplicated first, existing (type, value) keys are rejected."""
-    from .upsert import new_keys, present_keys
-    batch = requests.dropDuplicates(["type", "value"])
+    from .upsert import dedupe_min, new_keys, present_keys
+    batch = dedupe_min(requests, ["type", "value"], "id")
     return new_keys(batch, iocs, ["type", "value"]), present_keys(batch, iocs, ["type", "value"]) \
         .withColumn("reject_reason", F.lit("duplicate"))
 

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import behavior, dashboard, enrichment, extras, features, graph, ingest, lifecycle, ml, pipelines, predictions, streams  # noqa: F401
+    from . import behavior, dashboard, enrichment, extras, features, graph, ingest, lifecycle, maintenance, ml, pipelines, predictions, streams  # noqa: F401

@@ -175,6 +175,28 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws(":", "origin", "ref_id", "pos", "batch").alias("input_id"), "batch", "type", "value", "account_id")
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"))
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit log: an entry per event, some by users that are gone."""
+    u = F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 != 0, u).alias("user_id"), F.col("event_type").alias("action"),
+        F.when(u % 2 == 0, "ioc").otherwise("alert").alias("resource"), (F.col("event_id") % 97).alias("resource_id"), F.col("ts").alias("timestamp"),
+        F.concat(F.lit("10.1."), (u % 5).cast("string"), F.lit("."), (F.col("event_id") % 250).cast("string")).alias("ip_address"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk ingestion jobs: one per order, its customer the user."""
+    s = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 2 == 0, "csv").otherwise("json").alias("file_type"),
+        F.when(s == "F", "completed").when(s == "O", "pending").otherwise("processing").alias("status"),
+        F.col("o_orderdate").alias("created_at"))
+
+
 # Country codes assigned to derived geolocation payloads (fixture rule).
 GEO_CODES = ["US", "DE", "RU", "CN", "FR", "IR", "BR", "KP", "JP", "GB"]
 
@@ -216,7 +238,7 @@ def enrichment_from_events(e: DataFrame) -> DataFrame:
 BUILDERS = {
     "ioc": ioc, "alert": alert, "lifecycle": lifecycle, "account": account, "mapping": mapping,
     "relationship": relationship, "flow": flow, "prediction": prediction, "raw_inputs": raw_inputs,
-    "enrichment": enrichment, "requests": requests,
+    "enrichment": enrichment, "requests": requests, "users": users, "audit": audit, "jobs": jobs,
 }
 
 # ------------------------------------------------------------------ oracle SQL
@@ -266,6 +288,12 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{QUAD_RE}') AS m FROM documents)
 UNION ALL
 SELECT 'doc_hash', doc_id, cast(generate_subscripts(m, 1) - 1 AS integer), unnest(m)
 FROM (SELECT doc_id, regexp_extract_all(text, '{HEX_RE}') AS m FROM documents) AS h""",
+    "users": "SELECT s_suppkey AS id, s_name AS username FROM supplier",
+    "audit": """SELECT event_id AS id, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id, event_type AS action,
+       CASE WHEN user_id % 2 = 0 THEN 'ioc' ELSE 'alert' END AS resource, event_id % 97 AS resource_id, ts AS timestamp,
+       concat('10.1.', user_id % 5, '.', event_id % 250) AS ip_address FROM events""",
+    "jobs": """SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'csv' ELSE 'json' END AS file_type,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'processing' END AS status, o_orderdate AS created_at FROM orders""",
     "requests": """SELECT concat_ws(':', origin, ref_id, pos, batch) AS input_id, batch,
        CASE k WHEN 3 THEN 'ip' WHEN 4 THEN 'email' END AS hint,
        CASE k WHEN 0 THEN ' ' || replace(value, '.', '[.]') || chr(9) WHEN 1 THEN '' WHEN 2 THEN 'not an indicator!'
