@@ -5,19 +5,25 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.normalize import network_reject_reason
+from ..functions.risk import fallback_score
 from ..functions.timeutil import iso
 from ..operators import accounts as A
 from ..operators import alerts as AL
 from ..operators import dashboard as D
 from ..operators import ingest as I
+from ..operators.upsert import new_keys
+from ..session import scratch_path
 from ..sources import views
+from ..sources.files import read_feeds
 from ..sources.tables import table
 from . import sqlfrag as S
 from .common import r6
 from .dashboard import DATE_FROM, DATE_TO, _iso
+from .ingest import FALLBACK_SQL
 from .registry import query
 
 NOW = dt.datetime(2024, 2, 1)
@@ -180,3 +186,66 @@ def prediction_delete_count(spark, sf_dir):
     """How many that are."""
     ids = views.ioc(spark, sf_dir).where("type = 'hash'").select(F.col("id").alias("ioc_id"))
     return I.delete_predictions(views.prediction(spark, sf_dir), ids, by="ioc_id")[1]
+
+
+# ------------------------------------------------------------------ feeds
+def _land(df, name, head, tail):
+    """Each partition's ``json`` rows as one JSON document, streamed out."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+
+    def write(parts):
+        first = True
+        yield pd.DataFrame({"value": [head]})
+        for part in parts:
+            if len(part):
+                lines = [("" if first and k == 0 else ",") + j for k, j in enumerate(part["json"])]
+                first = False
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": [tail]})
+    df.select("json").mapInPandas(write, "value string").write.text(path)
+    return path
+
+
+_FEED_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+_FEED_SQL = f"""f AS (
+  SELECT 1 AS feed, CASE origin WHEN 'page_url' THEN 'url' WHEN 'page_host' THEN 'domain' ELSE 'hash' END AS hint, value,
+         TIMESTAMP '2024-01-01' + to_days(cast(ref_id % 20 AS integer)) AS first_seen, TIMESTAMP '2024-01-21' + to_days(cast(ref_id % 9 AS integer)) AS last_seen
+  FROM raw_inputs WHERE origin <> 'doc_quad'
+  UNION ALL SELECT 2, 'ip', value, NULL, TIMESTAMP '2024-01-25' + to_days(cast(ref_id % 4 AS integer)) FROM raw_inputs WHERE origin = 'doc_quad'
+  UNION ALL SELECT 2, 'ip', '2001:db8::' || printf('%x', page_id % 50 + 1), NULL, TIMESTAMP '2024-01-25' FROM pages
+)"""
+
+
+@query("feed_ingest", f"""WITH {_FEED_SQL},
+norm AS ({S.normalized_raw_inputs("f", "feed, first_seen, last_seen", "hint")}),
+b AS (SELECT type, value, arg_min(feed, (feed, coalesce(first_seen, TIMESTAMP '2000-01-01'), last_seen)) AS feed,
+        arg_min(coalesce(first_seen, TIMESTAMP '2000-01-01'), (feed, coalesce(first_seen, TIMESTAMP '2000-01-01'), last_seen)) AS fs,
+        arg_min(last_seen, (feed, coalesce(first_seen, TIMESTAMP '2000-01-01'), last_seen)) AS last_seen
+      FROM norm WHERE reject_reason IS NULL GROUP BY type, value)
+SELECT type, value, CASE feed WHEN 1 THEN 'AlienVault OTX' ELSE 'AbuseIPDB' END AS source,
+  CASE WHEN feed = 1 THEN fs END AS first_seen, last_seen, {FALLBACK_SQL('type', 'value')} AS risk_score
+FROM b WHERE NOT EXISTS (SELECT 1 FROM ioc i WHERE i.type = b.type AND i.value = b.value)
+""")
+def feed_ingest(spark, sf_dir):
+    """Two feeds landed as large JSON documents, read
+    in parallel, normalised, the first of each indicator kept (pulses first,
+    then the earliest), those already known left out."""
+    raw = views.raw_inputs(spark, sf_dir)
+    day = lambda d, n: F.date_format(F.date_add(F.lit(d).cast("date"), (F.col("ref_id") % n).cast("int")), _FEED_TIME)
+    kind = F.when(F.col("origin") == "page_url", "URL").when(F.col("origin") == "page_host", "hostname").otherwise("FileHash-MD5")
+    pulse = F.struct(day("2024-01-01", 20).alias("created"), day("2024-01-21", 9).alias("modified"), F.lit('a "quoted" name {[').alias("name"),
+                     F.array(F.struct(kind.alias("type"), F.col("value").alias("indicator")), F.struct(F.lit(None).cast("string").alias("type"), F.lit("no type").alias("indicator"))).alias("indicators"))
+    pulses = _land(raw.where("origin <> 'doc_quad'").select(F.to_json(pulse).alias("json")), "pulses", '{"count": 2, "results": [', "]}")
+    v6 = table(spark, sf_dir, "pages").select(F.concat(F.lit("2001:0DB8::"), F.hex(F.col("page_id") % 50 + 1)).alias("value"), F.lit(0).alias("ref_id"))
+    listed = raw.where("origin = 'doc_quad'").select("value", "ref_id").unionByName(v6)
+    entry = F.struct(F.col("value").alias("ipAddress"), day("2024-01-25", 4).alias("lastReportedAt"))
+    blacklist = _land(listed.select(F.to_json(entry).alias("json")), "blacklist", '{"meta": {}, "data": [', "]}")
+    feeds = read_feeds(spark, pulses + "/*.txt", blacklist + "/*.txt")
+    good, _ = I.split_batch(feeds, "value", "type")
+    rank = F.when(F.col("source") == "AlienVault OTX", 1).otherwise(2)
+    first = F.min(F.struct(rank.alias("rank"), "first_seen", "last_seen", "source"))
+    found = good.groupBy("type", "value").agg(first.alias("m"))
+    new = new_keys(found, views.ioc(spark, sf_dir), ["type", "value"])
+    return new.select("type", "value", "m.source", F.col("m.first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("m.last_seen").cast("timestamp_ntz").alias("last_seen"),
+                      fallback_score("type", "value").alias("risk_score"))

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import map_feed_type
+from .jsonarray import objects
 
 BULK_SCHEMA = "type string, value string, _corrupt_record string"
 
-PULSE_SCHEMA = ("results array<struct<created:string, modified:string, "
-                "indicators:array<struct<type:string, indicator:string>>>>")
-BLACKLIST_SCHEMA = "data array<struct<ipAddress:string, lastReportedAt:string>>"
+PULSE = "created string, modified string, indicators array<struct<type:string, indicator:string>>"
+REPORTED = "ipAddress string, lastReportedAt string"
 
 # Timestamp patterns tried in order (ISO with/without fraction, with zone).
 TS_PATTERNS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
@@ -39,11 +39,18 @@ def read_bulk(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_bulk_array(spark: SparkSession, path: str) -> DataFrame:
+    """A2: bulk files that are one JSON array of {type, value} objects, read
+    in parallel however large; a file with a single object gives its row."""
+    one, many = (objects(spark, path, depth).select("path", F.from_json("json", "type string, value string").alias("r")) for depth in (0, 1))
+    rows = one.unionByName(many)
+    return rows.select("r.type", "r.value", F.col("path").alias("source_file"))
+
+
 def read_pulses(spark: SparkSession, path: str, source: str = "AlienVault OTX") -> DataFrame:
     """A4: landed pulse feed -> (type, value, source, first_seen, last_seen);
     rows lacking type or value are dropped."""
-    raw = spark.read.schema(PULSE_SCHEMA).option("multiLine", True).json(path)
-    p = raw.select(F.explode("results").alias("p"))
+    p = objects(spark, path, 2).select(F.from_json("json", PULSE).alias("p"))
     i = p.select("p.created", "p.modified", F.explode("p.indicators").alias("i"))
     i = i.where(F.col("i.type").isNotNull() & F.col("i.indicator").isNotNull())
     return i.select(map_feed_type(F.col("i.type")).alias("type"), F.col("i.indicator").alias("value"),
@@ -53,8 +60,7 @@ def read_pulses(spark: SparkSession, path: str, source: str = "AlienVault OTX")
 
 def read_blacklist(spark: SparkSession, path: str, source: str = "AbuseIPDB") -> DataFrame:
     """A5: landed blacklist feed -> (type 'ip', value, source, last_seen)."""
-    raw = spark.read.schema(BLACKLIST_SCHEMA).option("multiLine", True).json(path)
-    d = raw.select(F.explode("data").alias("d"))
+    d = objects(spark, path, 2).select(F.from_json("json", REPORTED).alias("d")).where(F.col("d.ipAddress").isNotNull())
     return d.select(F.lit("ip").alias("type"), F.col("d.ipAddress").alias("value"), F.lit(source).alias("source"),
                     F.lit(None).cast("timestamp").alias("first_seen"), parse_ts("d.lastReportedAt").alias("last_seen"))
 
