@@ -82,7 +82,7 @@ def normalize_inputs(df: DataFrame, value: str = "value", type_col: str | None =
     vv, t = F.col("_v"), F.col("_t")
     # Detected types never give an 'ip' containing ':', so the Python UDF is
     # planned only when the type comes from the data.
-    v6 = ipv6_canonical(vv) if type_col else F.lit(None).cast("string")
+    v6 = ipv6_canonical(F.when(F.contains(vv, F.lit(":")), vv)) if type_col else F.lit(None).cast("string")
     ip_norm = F.when(is_valid_ipv4(vv), vv).when(F.contains(vv, F.lit(":")), v6)
     norm = (F.when(t == "ip", ip_norm)
             .when(t == "domain", F.when(is_valid_domain(vv), F.lower(vv)))

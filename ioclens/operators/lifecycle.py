@@ -55,12 +55,13 @@ def avg_time_in_state(lc: DataFrame) -> DataFrame:
                        .otherwise(F.col("_span") / (F.col("n_entries") - 1)).alias("avg_hours")))
 
 
-def transitions(lc: DataFrame) -> DataFrame:
+def transitions(lc: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Judge each entry against its threat's last accepted state:
     ``valid``, ``noop`` (same state) or ``invalid`` (first must be 'new');
-    an invalid entry changes nothing."""
+    an invalid entry changes nothing.  ``known``: the states (KEYS, state)
+    that threats come with."""
     from .statemaps import judged
-    return judged(lc, KEYS, "ts", "id", "state")
+    return judged(lc, KEYS, "ts", "id", "state", known=known)
 
 
 def apply_requests(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -107,19 +107,20 @@ def _compose(names: list[str]):
 
 
 def _apply(names: list[str]):
-    """The state at the start of each bucket, from (key..., bucket, map) rows
-    in bucket order."""
+    """The state at the start of each bucket, from (key..., bucket, map,
+    known) rows in bucket order; a row with ``known`` says the state that the
+    key comes with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, s = None, NONE
         for batch in filter(len, batches):
             starts, before = _starts(batch, names, before)
             first, out = set(starts.tolist()), []
-            for k, m in enumerate(batch["map"].to_pylist()):
+            for k, (m, known) in enumerate(zip(batch["map"].to_pylist(), batch["known"].to_pylist(), strict=True)):
                 s = NONE if k in first else s
                 out.append(s)
-                s = MAPS[m][s]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int32())], names=[*batch.schema.names[:-1], "start"])
+                s = MAPS[m][s] if known is None else known
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int32())], names=[*batch.schema.names[:-2], "start"])
 
     return run
 
@@ -140,9 +141,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.int32())], names=["row", "before"])
 
 
-def judged(log: DataFrame, keys: list[str], ts: str, tie: str, state: str, rows: int = ROWS) -> DataFrame:
+def judged(log: DataFrame, keys: list[str], ts: str, tie: str, state: str, rows: int = ROWS, known: DataFrame | None = None) -> DataFrame:
     """The log with ``prev_state`` (the last accepted one, null if none) and
-    ``verdict``.  Keys are long columns; null keys are a threat of their own."""
+    ``verdict``.  Keys are long columns; null keys are a threat of their own.
+    ``known``: (keys..., state) that threats come with, one row each."""
     spark = log.sparkSession
     buckets = max(1, -(-log.count() // rows))
     path = scratch_path(spark, "state-log")
@@ -155,7 +157,11 @@ def judged(log: DataFrame, keys: list[str], ts: str, tie: str, state: str, rows:
     kind = ", ".join(f"{n} long" for n in names) + ", bucket int"
     parts = at.select(*names, "bucket", "ts", "tie", "x").repartition(*names, "bucket").sortWithinPartitions(*names, "bucket", "ts", "tie")
     maps = parts.select(*names, "bucket", "x").mapInArrow(_compose([*names, "bucket"]), f"{kind}, map int")
-    starts = maps.repartition(*names).sortWithinPartitions(*names, "bucket").mapInArrow(_apply(names), f"{kind}, start int")
+    maps = maps.withColumn("known", F.lit(None).cast("int"))
+    if known is not None:
+        come = known.select(*[F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(keys)], F.lit(-1).alias("bucket"), F.lit(0).alias("map"), _code(F.col("state")).alias("known"))
+        maps = maps.unionByName(come)
+    starts = maps.repartition(*names).sortWithinPartitions(*names, "bucket").mapInArrow(_apply(names), f"{kind}, start int").where("bucket >= 0")
     heads = starts.select(*names, "bucket", F.lit(None).cast(at.schema["ts"].dataType).alias("ts"), F.lit(None).cast(at.schema["tie"].dataType).alias("tie"),
                           F.lit(0).alias("x"), F.lit(None).cast(at.schema["row"].dataType).alias("row"), "start")
     both = at.withColumn("start", F.lit(None).cast("int")).unionByName(heads)

@@ -66,8 +66,8 @@ def stream_lateral_movement(spark, sf_dir):
 
 @query("stream_distinct_indicators", "SELECT DISTINCT type, value FROM ioc")
 def stream_distinct_indicators(spark, sf_dir):
-    """Streaming dedupe on (type, value)."""
-    return J.run(J.dedupe_keys(S.ioc_stream(spark, sf_dir)), "dedupe")
+    """Streaming dedupe on (type, value) over three micro-batches."""
+    return J.distinct_batches(_ten_days(spark, sf_dir)).read("keys")
 
 
 @query("stream_rule_alerts", """WITH rules AS (SELECT * FROM (VALUES
@@ -86,8 +86,8 @@ def stream_rule_alerts(spark, sf_dir):
 @query("stream_lifecycle_transitions", f"""WITH RECURSIVE {JUDGED_SQL}
 SELECT id, threat_input_id, ioc_id, prev_state, state, verdict FROM judged""")
 def stream_lifecycle_transitions(spark, sf_dir):
-    """Lifecycle state machine with per-threat state."""
-    return J.run(J.lifecycle_state_machine(S.lifecycle_stream(spark, sf_dir)), "lifecycle")
+    """Lifecycle state machine over three micro-batches of ten days."""
+    return J.lifecycle_state_machine(_files(spark, sf_dir, "lifecycle-in-order", sorted(TEN_DAYS), views.lifecycle_from_events)).read("verdicts")
 
 
 
@@ -167,7 +167,7 @@ def stream_bulk_ingest(spark, sf_dir):
 TEN_DAYS = [("2024-01-21", "2100-01-01"), ("1970-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21")]
 
 
-def _files(spark, sf_dir, name, ranges):
+def _files(spark, sf_dir, name, ranges, view=views.ioc_from_events):
     """The events as one file for each range of days, one file a micro-batch,
     in the order of ``ranges``; written once per dataset."""
     from ..session import scratch_path
@@ -178,7 +178,7 @@ def _files(spark, sf_dir, name, ranges):
     for lo, hi in ranges:
         events.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(folder)
         time.sleep(1.1)  # the file source takes files by their times, in seconds
-    return views.ioc_from_events(S.events(spark, folder, files_per_trigger=1, pattern="*.parquet"))
+    return view(S.events(spark, folder, files_per_trigger=1, pattern="*.parquet"))
 
 
 def _ten_days(spark, sf_dir):

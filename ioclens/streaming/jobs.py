@@ -9,15 +9,13 @@ state; that is the streaming contract, and the oracles state it.
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import BURST_GAP_MINUTES, BURST_MIN_ROWS, BURST_RISK, LIFECYCLE_STATES, TRANSITIONS
+from ..constants import BURST_GAP_MINUTES, BURST_MIN_ROWS, BURST_RISK, LIFECYCLE_STATES
 from ..operators.alerts import rule_alerts
+from ..operators.lifecycle import KEYS, transitions
+from ..operators.upsert import new_keys
 from ..session import scratch_path
 from ..sources.versioned import Tables
 
@@ -92,11 +90,29 @@ def lateral_windows(alerts: DataFrame, iocs_static: DataFrame) -> DataFrame:
 
 
 def dedupe_keys(iocs: DataFrame) -> DataFrame:
-    """Each (type, value) once, however late and in whatever micro-batch
-    it comes again.  The state is the distinct keys, partitioned by key."""
+    """S2 as a streaming operator: each (type, value) once, however late and
+    in whatever micro-batch it comes again.  Its state holds all keys."""
     return iocs.select("type", "value").dropDuplicates(["type", "value"])
 
 
+KEY_TABLE = {"keys": ("type string, value string", ["type", "value"])}
+
+
+def distinct_batches(iocs: DataFrame, name: str = "distinct") -> Tables:
+    """S2 without a growing state: the table of distinct keys is itself what
+    a batch looks its keys up in, and only in the buckets they fall in."""
+    tables = Tables(iocs.sparkSession, scratch_path(iocs.sparkSession, f"stream-{name}-tables"), KEY_TABLE)
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+        if tables.done(batch_id):
+            return
+        found = batch.select("type", "value").distinct()
+        tables.commit(batch_id, appends={"keys": new_keys(found, tables.read("keys", tables.touched("keys", found)), ["type", "value"])})
+
+    run_batches(iocs, name, per_batch)
+    return tables
+
+
 ALERT_TABLE = {"alerts": ("ioc_id long, type string, risk_score double, rule_name string, severity string, message string", ["ioc_id", "message"])}
 
 
@@ -117,37 +133,36 @@ def rule_alert_batches(iocs: DataFrame, name: str = "rule-alerts") -> Tables:
 
 
 # ----------------------------------------------------- lifecycle state machine
-STATE_OUT = "id long, threat_input_id long, ioc_id long, prev_state string, state string, verdict string"
-STATE_SCHEMA = "last_state string, last_ts timestamp, last_id long"
-
-
-def _transition_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per threat: order the new entries by (ts, id) and judge each against
-    the last accepted state (kept across micro-batches); an invalid entry
-    leaves it as it is."""
-    prev = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "id"], kind="mergesort")
-    out = []
-    for r in rows.itertuples(index=False):
-        if prev == r.state:
-            verdict = "noop"
-        elif (prev is None and r.state == "new") or (prev is not None and r.state in TRANSITIONS.get(prev, [])):
-            verdict = "valid"
-        else:
-            verdict = "invalid"
-        out.append((r.id, r.threat_input_id, r.ioc_id, prev, r.state, verdict))
-        prev = r.state if verdict == "valid" else prev
-    last = rows.iloc[-1]
-    state.update((prev, last["ts"], int(last["id"])))
-    yield pd.DataFrame(out, columns=["id", "threat_input_id", "ioc_id", "prev_state", "state", "verdict"])
-
-
-def lifecycle_state_machine(lifecycle: DataFrame) -> DataFrame:
-    """Stateful transition validation keyed by threat."""
-    lc = lifecycle.where(F.col("state").isin(*LIFECYCLE_STATES)).withWatermark("ts", WATERMARK)
-    return lc.groupBy("threat_input_id", "ioc_id").applyInPandasWithState(
-        _transition_fn, STATE_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+LIFECYCLE_TABLES = {
+    "verdicts": ("id long, threat_input_id long, ioc_id long, prev_state string, state string, verdict string", []),
+    "states": ("threat_input_id long, ioc_id long, state string", ["threat_input_id", "ioc_id"]),
+}
+
+
+def lifecycle_state_machine(lifecycle: DataFrame, name: str = "lifecycle") -> Tables:
+    """Each entry judged against its threat's last accepted state.  The
+    state of all threats is a keyed table, of which a batch reads and rewrites
+    the buckets of its own threats, so neither memory nor a batch's work grows
+    with the threats ever seen; a threat with a third of a batch is judged by
+    composed state maps in many tasks.  Unknown states are left out (L1)."""
+    tables = Tables(lifecycle.sparkSession, scratch_path(lifecycle.sparkSession, f"stream-{name}-tables"), LIFECYCLE_TABLES)
 
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+        if tables.done(batch_id):
+            return
+        staged = f"{tables.path}/_staged/{batch_id}"
+        rows = batch.where(F.col("state").isin(*LIFECYCLE_STATES))
+        touched = tables.touched("states", rows)
+        known = tables.read("states", touched)
+        transitions(rows, known).write.mode("overwrite").parquet(staged)
+        done = batch.sparkSession.read.parquet(staged)
+        after = F.when(F.col("verdict") == "invalid", F.col("prev_state")).otherwise(F.col("state"))
+        last = done.groupBy(*KEYS).agg(F.max_by(after, F.struct("ts", "id")).alias("state")).where("state IS NOT NULL")
+        both = known.withColumn("v", F.lit(0)).unionByName(last.withColumn("v", F.lit(1)))
+        tables.commit(batch_id, appends={"verdicts": done}, replaces={"states": (both.groupBy(*KEYS).agg(F.max_by("state", "v").alias("state")), touched)})
+
+    run_batches(lifecycle, name, per_batch)
+    return tables
 
 
 # --------------------------------------------------------- spike detection

@@ -27,11 +27,26 @@ def _split_events(spark, tmp_path):
 def test_lifecycle_state_machine_across_batches(spark, tmp_path):
     d = _split_events(spark, tmp_path)
     lc_stream = views.lifecycle_from_events(S.events(spark, d, files_per_trigger=1, pattern="*.parquet"))
-    got = J.run(J.lifecycle_state_machine(lc_stream), "lc-multi")
+    tables = J.lifecycle_state_machine(lc_stream, "lc-multi")
+    got = tables.read("verdicts")
     want = L.transitions(views.lifecycle(spark, SMALL)).select("id", "prev_state", "state", "verdict")
     g = sorted(tuple(r) for r in got.select("id", "prev_state", "state", "verdict").collect())
     w = sorted(tuple(r) for r in want.collect())
     assert len(g) == len(w) and g == w
+    # one row a threat that was ever accepted, however many batches came
+    after = F.when(F.col("verdict") == "invalid", F.col("prev_state")).otherwise(F.col("state"))
+    last = L.transitions(views.lifecycle(spark, SMALL)).groupBy(*L.KEYS).agg(F.max_by(after, F.struct("ts", "id")).alias("state")).where("state IS NOT NULL")
+    key = lambda df: sorted((tuple(r) for r in df.select(*L.KEYS, "state").collect()), key=str)
+    assert key(tables.read("states")) == key(last)
+
+
+def test_distinct_keys_across_batches(spark, tmp_path):
+    d = _split_events(spark, tmp_path)
+    stream = views.ioc_from_events(S.events(spark, d, files_per_trigger=1, pattern="*.parquet"))
+    tables = J.distinct_batches(stream, "distinct-multi")
+    got = sorted(tuple(r) for r in tables.read("keys").collect())
+    assert got == sorted(tuple(r) for r in views.ioc(spark, SMALL).select("type", "value").distinct().collect())
+    assert tables.state()["version"] == 3
 
 
 def test_hourly_counts_across_batches(spark, tmp_path):
