@@ -83,9 +83,11 @@ def cascade_delete(ids: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]
 
 def create_iocs(requests: DataFrame, iocs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(created, rejected duplicates) for an IOC create batch; the
-    batch is deduplicated first, existing (type, value) keys are rejected."""
+    batch is deduplicated first (of repeats the smallest ``id`` stays, or the
+    smallest row), existing (type, value) keys are rejected."""
     from .upsert import dedupe_min, new_keys, present_keys
-    batch = dedupe_min(requests, ["type", "value"], "id")
+    others = sorted(set(requests.columns) - {"type", "value"}, key=lambda c: (c != "id", c))
+    batch = dedupe_min(requests, ["type", "value"], others[0]) if others else requests.distinct()
     return new_keys(batch, iocs, ["type", "value"]), present_keys(batch, iocs, ["type", "value"]) \
         .withColumn("reject_reason", F.lit("duplicate"))
 
