@@ -4,6 +4,7 @@ indicator, alert, account, indicator and prediction changes, feeds."""
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,13 +18,13 @@ from ..operators import dashboard as D
 from ..operators import ingest as I
 from ..operators.upsert import new_keys
 from ..session import scratch_path
-from ..sources import views
-from ..sources.files import read_feeds
+from ..sources import sinks, views
+from ..sources.files import read_dataset, read_feeds
 from ..sources.tables import table
 from . import sqlfrag as S
-from .common import r6
+from .common import accepted, r6
 from .dashboard import DATE_FROM, DATE_TO, _iso
-from .ingest import FALLBACK_SQL
+from .ingest import FALLBACK_SQL, NORM
 from .registry import query
 
 NOW = dt.datetime(2024, 2, 1)
@@ -249,3 +250,32 @@ def feed_ingest(spark, sf_dir):
     new = new_keys(found, views.ioc(spark, sf_dir), ["type", "value"])
     return new.select("type", "value", "m.source", F.col("m.first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("m.last_seen").cast("timestamp_ntz").alias("last_seen"),
                       fallback_score("type", "value").alias("risk_score"))
+
+
+# --------------------------------------------------------------- datasets
+_LABELLED = {"domain": "length(value) % 2", "ip": "length(value) % 2", "url": "CASE WHEN length(value) % 3 = 0 THEN 1 ELSE 0 END",
+             "hash": "CASE WHEN value < '8' THEN 1 ELSE 0 END"}
+
+
+@query("dataset_class_counts", f"WITH {NORM},\n" + "d AS (" + "\nUNION ALL ".join(
+    f"SELECT '{k}' AS kind, {e} AS is_malicious FROM (SELECT DISTINCT value FROM norm WHERE type = '{k}' AND reject_reason IS NULL)" for k, e in _LABELLED.items())
+    + "\nUNION ALL SELECT 'network', is_anomalous FROM flow)\nSELECT kind, cast(is_malicious AS integer) AS is_malicious, count(*) AS count FROM d GROUP BY 1, 2")
+def dataset_class_counts(spark, sf_dir):
+    """The five labelled datasets as CSV, their columns in
+    another order and among others, scanned, checked, deduplicated on their
+    keys and counted by class."""
+    parts = []
+    norm = accepted(spark, sf_dir).select("type", "value")
+    for kind, label in _LABELLED.items():
+        rows = norm.where(F.col("type") == kind)
+        cols = [F.lit("extra").alias("note"), F.expr(label).cast("int").alias("status" if kind == "url" else "is_malicious"), F.col("value").alias(kind)]
+        cols += [F.lit("seen").alias("source"), F.lit(0.5).alias("risk_score")] if kind in ("domain", "ip") else []
+        parts.append((kind, rows.select(*cols)))
+    parts.append(("network", views.flow(spark, sf_dir).drop("l_orderkey", "l_linenumber")))
+    out = []
+    for kind, rows in parts:
+        path = scratch_path(spark, f"dataset-{kind}")
+        sinks.write_csv(rows, path)
+        own = read_dataset(spark, kind, path)
+        out.append(own.groupBy("is_malicious").agg(F.count(F.lit(1)).alias("count")).select(F.lit(kind).alias("kind"), "is_malicious", "count"))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -351,3 +351,81 @@ def report_analysis(spark, sf_dir):
         s = M.text_scores(_text_model_for(spark, sf_dir, label_col), docs, names)
         parts.append(s.select("doc_id", F.col("label_text").alias(f"{label_col}_label"), F.col("score").alias(f"{label_col}_score")))
     return parts[0].join(parts[1], "doc_id")
+
+
+def _labelled_indicators(spark, sf_dir, type_):
+    """Indicators of one type found in labelled documents, each once, with
+    the class of most of its documents (toxic or of low quality: 1; ties: 1),
+    split and folds.  Written once, so extractors start from plain columns."""
+    from ..operators.models import materialized
+    return materialized(spark, (sf_dir, "labelled", type_), lambda: _labelled(spark, sf_dir, type_))
+
+
+def _labelled(spark, sf_dir, type_):
+    from .common import accepted
+    found = accepted(spark, sf_dir, type_).where(F.col("origin").startswith("doc")).select(F.col("ref_id").alias("doc_id"), "value")
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad")
+    rows = found.join(table(spark, sf_dir, "labels").select("doc_id", bad), "doc_id").groupBy("value").agg((F.avg("bad") >= 0.5).cast("double").alias("label"))
+    rows = rows.withColumn("ord", F.pmod(F.xxhash64("value"), F.lit(1000003)))
+    return M.stratified_folds(M.stratified_split(rows, "label", F.col("ord"), ["value"]), "label", F.col("ord"), ["value"], k=3).drop("ord")
+
+
+RESULTS = "model string, validation_f1 double, test_f1 double, train_f1 double, train_seconds double, tp long, fp long, tn long, fn long, accuracy double, f1 double, type string"
+CLASS_LEAST = 15  # rows of each class that training, its folds and its test need
+
+
+def _trainable(data) -> bool:
+    """Whether both classes have rows enough (two counts reach the driver)."""
+    counts = [r["count"] for r in data.groupBy("label").count().collect()]
+    return len(counts) == 2 and min(counts) >= CLASS_LEAST
+
+
+def _type_training(spark, sf_dir, type_):
+    """Model selection on one type's features, with the test metrics of the
+    winner; no rows where a class is too small to train on."""
+    from ..operators.models import materialized
+    from ..operators.routing import EXTRACTORS
+    extract, names = EXTRACTORS[type_]
+
+    def build():
+        data = extract(_labelled_indicators(spark, sf_dir, type_)).checkpoint(eager=True)
+        if not _trainable(data):
+            return spark.createDataFrame([], RESULTS)
+        res, model, kind = M.train_select(data, names, "label", k=15, kinds=("lr", "rf"))
+        test = model.transform(data.where("split = 'test'"))
+        cm = M.confusion_metrics(test.select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p")), "y", "p")
+        return res.join(cm.select(F.lit(kind).alias("model"), "tp", "fp", "tn", "fn", "accuracy", "f1"), "model", "left").select(*[F.col(f.split(" ")[0]) for f in RESULTS.split(", ")[:-1]], F.lit(type_).alias("type"))
+    return materialized(spark, (sf_dir, f"{type_}_training"), build)
+
+
+@query("ip_model_training")
+def ip_model_training(spark, sf_dir):
+    """The IP model, on addresses of labelled documents: features ->
+    ANOVA top 15 -> standardise -> LR / RF, cross-validated."""
+    return _type_training(spark, sf_dir, "ip")
+
+
+@query("hash_model_training")
+def hash_model_training(spark, sf_dir):
+    """The hash model, on digests of labelled documents."""
+    return _type_training(spark, sf_dir, "hash")
+
+
+@query("hash_risk_scoring")
+def hash_risk_scoring(spark, sf_dir):
+    """Every digest found scored by a logistic hash model: the
+    probability of the malicious class and its risk level."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..functions.risk import hash_risk_level
+    from ..operators.models import fitted, materialized
+    from ..operators.routing import EXTRACTORS
+    from .common import accepted
+    extract, names = EXTRACTORS["hash"]
+    data = extract(_labelled_indicators(spark, sf_dir, "hash"))
+    rows = extract(materialized(spark, (sf_dir, "hashes"), lambda: accepted(spark, sf_dir, "hash").select("value").distinct()))
+    if not _trainable(data):  # no model: undecided, as the fallback prediction is
+        return rows.select("value", F.lit(0.5).alias("probability"), hash_risk_level(F.lit(0.5)).alias("risk_level"))
+    model = fitted(spark, (sf_dir, "hash_lr"), lambda: M.classifier_pipeline(names, "lr", 8).fit(data.where("split = 'train'")))
+    p = F.element_at(vector_to_array("probability"), 2)
+    return model.transform(rows).select("value", p.alias("probability"), hash_risk_level(p).alias("risk_level"))

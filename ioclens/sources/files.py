@@ -90,19 +90,21 @@ DATASET_KEYS = {"domain": "domain", "ip": "ip", "url": "url", "hash": "hash"}
 
 
 def read_dataset(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Labelled dataset with required columns, deduplicated on the
-    key (U3), labels renamed to ``is_malicious``."""
-    df = spark.read.schema(DATASET_SCHEMAS[kind]).option("header", True).csv(path)
-    if kind == "url":
-        df = df.withColumnRenamed("status", "is_malicious")
-    if kind == "network":
-        df = df.withColumnRenamed("is_anomalous", "is_malicious")
+    """Labelled CSV dataset with the columns of its kind, in any order
+    and among others (a ``ValueError`` names those it lacks); of rows with one
+    key the first in file order stays (U3), labels become ``is_malicious``."""
+    raw = spark.read.option("header", True).csv(path)
+    fields = [f.split(" ") for f in DATASET_SCHEMAS[kind].split(", ")]
+    missing = [n for n, _ in fields if n not in raw.columns]
+    if missing:
+        raise ValueError(f"{kind} dataset lacks columns: {', '.join(missing)}")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    df = raw.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in fields], at.alias("_at"))
     key = DATASET_KEYS.get(kind)
     if key:
-        df = df.dropDuplicates([key])
-    if kind == "hash":
-        df = df.select("hash", "is_malicious")
-    return df
+        first = F.min_by(F.struct(*[n for n, _ in fields if n != key]), "_at")
+        df = df.groupBy(key).agg(first.alias("_f")).select(*[F.col(n) if n == key else F.col(f"_f.{n}").alias(n) for n, _ in fields])
+    return df.drop("_at").withColumnsRenamed({"status": "is_malicious", "is_anomalous": "is_malicious"})
 
 
 def locate_dataset(spark: SparkSession, folder: str, name: str) -> str | None:
