@@ -21,9 +21,11 @@ Plan.
     answer follows from their leader's: where y holds c of the leader's
     shingles and z at most d, y and z share at most min(c, d) of these and
     the |y| - c that y has besides, so the leader's computed answers and the
-    difference of two sets settle the pair.  Lists longer than BLOCK are dealt
-    to pairs of blocks by hash, and the lists of a leader to parts by shingle,
-    so that a group has about 2 * BLOCK rows.
+    difference of two sets settle the pair.  Lists of one leader are joined
+    together, so a pair that meets in many comes out once.  Lists longer than
+    BLOCK are dealt to pairs of blocks by hash, and the lists of a leader of
+    more than GROUP rows a block to parts by shingle, so that no task holds
+    more than about 2 * GROUP rows of numbers.
 (5) Candidates are cut by an upper bound from bitmaps of the sets, then
     counted exactly on the whole sets.
 
@@ -64,8 +66,9 @@ FREQUENT_MOST = 1 << 18
 SALT_ROWS = 1 << 13
 LAST = 1 << 62  # added to frequent shingles
 BLOCK = 2048
+GROUP = 1 << 18
 RUN = 64
-EXPAND = 1 << 19
+EXPAND = 1 << 17
 NAME_BITS = 62
 FILTER_BITS = 1 << 23
 
@@ -437,7 +440,7 @@ def _open_lists(entries: DataFrame, comps: DataFrame, judged: DataFrame) -> Data
                                         F.min("leader").alias("l0"), F.max("leader").alias("l1"))
     lists = lists.where("c0 < c1").select("shingle", "n", F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise(-1 - F.col("shingle")).alias("family"))
     families = lists.groupBy("family").agg(F.ceil(F.max("n") / BLOCK).alias("blocks"), F.sum("n").alias("rows"))
-    families = families.select("family", "blocks", F.ceil(F.col("rows") / F.col("blocks") / BLOCK).alias("parts"))
+    families = families.select("family", "blocks", F.ceil(F.col("rows") / F.col("blocks") / GROUP).alias("parts"))
     lists = lists.drop("n").join(families, "family")
     known = judged.select(F.col("a").alias("leader"), F.col("b").alias("node"), "top", F.col("linked").cast("double").alias("tied"))
     rows = rows.join(lists, "shingle").join(known, ["leader", "node"], "left")

@@ -67,9 +67,10 @@ def family(rng):
     return [" ".join(d) for d in docs] + ["", None, "  \n ", "one", "One ", "a b c d", "A B C D", "a b c d e"]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 2048), (2, 4)])
-def test_families_match_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, group", [(1, 2048, 1 << 18), (2, 4, 64)])
+def test_families_match_brute_force(spark, monkeypatch, seed, block, group):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "GROUP", group)
     rng = random.Random(seed)
     docs = list(zip(rng.sample(range(10_000), 400), family(rng), strict=False))
     rng.shuffle(docs)
