@@ -13,8 +13,9 @@ def col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Trim leading/trailing white space of any script (not only blanks)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Trim leading/trailing white space of any script, the four information
+    separators U+001C to U+001F included (not only blanks)."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def count_sub(c, sub: str) -> Column:

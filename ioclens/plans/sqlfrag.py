@@ -13,7 +13,7 @@ def q(s: str) -> str:
 
 def strip(x: str) -> str:
     # white space of any script: the oracle's \s is ASCII only
-    ws = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    ws = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
     return f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
 
 
