@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (AI_PAIR_CONFIDENCE, COMPONENT_CAMPAIGN_RISK, COMPONENT_MIN_SIZE, EDGE_SAME_SOURCE, EDGE_SHARED_ENRICHMENT,
                          LOOK_BACK_DAYS, SHARED_ENRICHMENT_KINDS)
-from ..session import scratch_path
+from ..session import scratch_path, small_tasks
 
 
 def canonical(edges: DataFrame, a: str = "ioc1_id", b: str = "ioc2_id") -> DataFrame:
@@ -137,16 +137,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     number of changed labels is counted on the written result of the round;
     the loop ends when nothing changed.  Every round is written once to the
     shared folder, so lineage never spans a round and a lost executor
-    replays at most one round."""
+    replays at most one round.  At the end most rows carry one label: the
+    tasks of a round are sized by rows, and hot labels split."""
     def kept(df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(df.sparkSession, name)
-        # a few files a core: rounds are many and their tables narrow
-        df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+        df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     adj = kept(e.select(F.inline(both)), "component-edges")
+    with small_tasks(edges.sparkSession, adj.count()):
+        return _labels(adj, kept)
+
+
+def _labels(adj: DataFrame, kept) -> DataFrame:
+    """The rounds of ``connected_components`` on (u, v) in both directions."""
     # start: each node labelled with the smallest id among itself and its neighbours
     labels = adj.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).withColumnRenamed("u", "id")
     labels = kept(labels, "component-labels")

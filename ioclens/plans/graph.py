@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LOOK_BACK_DAYS
 from ..operators import graph as G
+from ..session import small_tasks
 from ..sources import views
 from .common import r6
 from .registry import query
@@ -58,7 +59,9 @@ def _components(spark, sf_dir, days=LOOK_BACK_DAYS):
     def build():
         nodes = _nodes(spark, sf_dir)
         as_of = nodes.select(F.max("created_at")).scalar()
-        return G.connected_components(G.dated_graph(nodes, views.relationship(spark, sf_dir), views.enrichment(spark, sf_dir), as_of, days)[1])
+        # edges: a few a node, from its source, its payloads and its relations
+        with small_tasks(spark, 4 * nodes.count()):
+            return G.connected_components(G.dated_graph(nodes, views.relationship(spark, sf_dir), views.enrichment(spark, sf_dir), as_of, days)[1])
     return materialized(spark, (sf_dir, "components", days), build)
 
 
