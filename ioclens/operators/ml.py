@@ -140,27 +140,42 @@ def stratified_rank(df: DataFrame, label: str, order: Column, ties: list[str], b
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))) \
              .withColumn("_size", F.sum("_n").over(Window.partitionBy(label)))
     cnt = cnt.select(F.col(label).alias("_lab"), F.col("_bk").alias("_cbk"), "_off", "_size")
-    d = d.join(cnt, F.col(label).eqNullSafe(F.col("_lab")) & (F.col("_bk") == F.col("_cbk"))).drop("_lab", "_cbk")
+    # at most ``buckets`` + 1 rows a label: broadcast, so the rows move once, for the window
+    d = d.join(F.broadcast(cnt), F.col(label).eqNullSafe(F.col("_lab")) & (F.col("_bk") == F.col("_cbk"))).drop("_lab", "_cbk")
     wl = Window.partitionBy(label, "_bk").orderBy("_ord", *ties)
     return d.withColumn("_rank", F.col("_off") + F.row_number().over(wl) - 1).drop("_bk", "_off")
 
 
+def _split(test: float, val: float) -> Column:
+    n_test = F.floor(F.col("_size") * test)
+    n_val = F.floor((F.col("_size") - n_test) * val)
+    return F.when(F.col("_rank") < n_test, "test").when(F.col("_rank") < n_test + n_val, "validation").otherwise("train")
+
+
+def _fold(k: int) -> Column:
+    return (F.col("_rank") % k).cast("int")
+
+
 def stratified_split(df: DataFrame, label: str, order: Column, ties: list[str], test: float = 0.2,
                      val: float = 0.2) -> DataFrame:
     """Per label, the first ``test`` share (by order key) is test, the
     next ``val`` share of the remainder is validation, the rest train
     (64/16/20 by default)."""
     r = stratified_rank(df, label, order, ties)
-    n_test = F.floor(F.col("_size") * test)
-    n_val = F.floor((F.col("_size") - n_test) * val)
-    split = F.when(F.col("_rank") < n_test, "test").when(F.col("_rank") < n_test + n_val, "validation").otherwise("train")
-    return r.withColumn("split", split).drop("_rank", "_size", "_ord")
+    return r.withColumn("split", _split(test, val)).drop("_rank", "_size", "_ord")
 
 
 def stratified_folds(df: DataFrame, label: str, order: Column, ties: list[str], k: int = 10) -> DataFrame:
     """fold = rank inside the label mod k (balanced per class)."""
     r = stratified_rank(df, label, order, ties)
-    return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_size", "_ord")
+    return r.withColumn("fold", _fold(k)).drop("_rank", "_size", "_ord")
+
+
+def stratified_split_folds(df: DataFrame, label: str, order: Column, ties: list[str], test: float = 0.2,
+                           val: float = 0.2, k: int = 3) -> DataFrame:
+    """W9 and W10 from one ranking, as both follow the same order."""
+    r = stratified_rank(df, label, order, ties)
+    return r.withColumn("split", _split(test, val)).withColumn("fold", _fold(k)).drop("_rank", "_size", "_ord")
 
 
 # ------------------------------------------------------------ classifiers

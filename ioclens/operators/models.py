@@ -53,3 +53,17 @@ def materialized(spark: SparkSession, key: tuple, build):
         build().write.mode("overwrite").parquet(path)
         _TABLES[k] = path
     return spark.read.parquet(path)
+
+
+_ROWS: dict[tuple, object] = {}
+
+
+def checkpointed(spark: SparkSession, key: tuple, build):
+    """Rows computed once per application and key and checkpointed, so that
+    the passes of an estimator read them in the partitions they were built
+    in: what a forest draws depends on those."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _ROWS:
+        checkpoint_dir(spark)
+        _ROWS[k] = build().checkpoint(eager=True)
+    return _ROWS[k]

@@ -19,6 +19,7 @@ def fresh(monkeypatch):
     """Nothing written or fitted by other tests."""
     monkeypatch.setattr(models, "_PATHS", {})
     monkeypatch.setattr(models, "_TABLES", {})
+    monkeypatch.setattr(models, "_ROWS", {})
 
 
 def counted(monkeypatch, owner, name):
@@ -35,7 +36,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_training_set_is_ranked_once_and_written(spark, monkeypatch):
+def test_training_set_is_ranked_once_and_kept(spark, monkeypatch):
     fresh(monkeypatch)
     ranks = counted(monkeypatch, M, "stratified_rank")
     flows = ml._flow_training_set(spark, SMALL)
