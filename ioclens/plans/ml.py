@@ -367,9 +367,16 @@ def _labelled_indicators(spark, sf_dir, type_):
     return materialized(spark, (sf_dir, "labelled", type_), lambda: _labelled(spark, sf_dir, type_))
 
 
-def _labelled(spark, sf_dir, type_):
+def _found(spark, sf_dir, type_):
+    """Accepted indicators of one type, written once: whole texts are searched
+    in one pass for all that follows."""
+    from ..operators.models import materialized
     from .common import accepted
-    found = accepted(spark, sf_dir, type_).where(F.col("origin").startswith("doc")).select(F.col("ref_id").alias("doc_id"), "value")
+    return materialized(spark, (sf_dir, "found", type_), lambda: accepted(spark, sf_dir, type_).select("origin", "ref_id", "value"))
+
+
+def _labelled(spark, sf_dir, type_):
+    found = _found(spark, sf_dir, type_).where(F.col("origin").startswith("doc")).select(F.col("ref_id").alias("doc_id"), "value")
     bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad")
     rows = found.join(table(spark, sf_dir, "labels").select("doc_id", bad), "doc_id").groupBy("value").agg((F.avg("bad") >= 0.5).cast("double").alias("label"))
     rows = rows.withColumn("ord", F.pmod(F.xxhash64("value"), F.lit(1000003)))
@@ -426,10 +433,9 @@ def hash_risk_scoring(spark, sf_dir):
     from ..functions.risk import hash_risk_level
     from ..operators.models import fitted, materialized
     from ..operators.routing import EXTRACTORS
-    from .common import accepted
     extract, names = EXTRACTORS["hash"]
     data = extract(_labelled_indicators(spark, sf_dir, "hash"))
-    rows = extract(materialized(spark, (sf_dir, "hashes"), lambda: accepted(spark, sf_dir, "hash").select("value").distinct()))
+    rows = extract(materialized(spark, (sf_dir, "hashes"), lambda: _found(spark, sf_dir, "hash").select("value").distinct()))
     if not _trainable(data):  # no model: undecided, as the fallback prediction is
         return rows.select("value", F.lit(0.5).alias("probability"), hash_risk_level(F.lit(0.5)).alias("risk_level"))
     model = fitted(spark, (sf_dir, "hash_lr"), lambda: M.classifier_pipeline(names, "lr", 8).fit(data.where("split = 'train'")))
