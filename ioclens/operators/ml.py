@@ -356,6 +356,17 @@ def text_pipeline(label: str = "label", num_features: int = 1 << 16) -> Pipeline
                             LogisticRegression(featuresCol="features", labelCol=label, maxIter=30, regParam=0.01)])
 
 
+def fit_text(labelled: DataFrame) -> PipelineModel:
+    """``text_pipeline`` fitted on (label, text): the terms of a text are
+    counted once and held for the inverse frequencies and the classifier."""
+    tok, tf, idf, lr = text_pipeline().getStages()
+    terms = tf.transform(tok.transform(labelled)).select("label", "tf").persist()
+    weights = idf.fit(terms)
+    model = PipelineModel([tok, tf, weights, lr.fit(weights.transform(terms))])
+    terms.unpersist()
+    return model
+
+
 def text_scores(model: PipelineModel, df: DataFrame, labels: list[str]) -> DataFrame:
     """Best label, its score and all scores per row."""
     out = model.transform(df)

@@ -299,7 +299,7 @@ def _text_model(spark, sf_dir):
     from ..operators.models import fitted
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lb = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
-    return fitted(spark, (sf_dir, "report_text_toxic"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id"))), docs
+    return fitted(spark, (sf_dir, "report_text_toxic"), lambda: M.fit_text(docs.join(lb, "doc_id"))), docs
 
 
 @query("report_classification")
@@ -344,7 +344,7 @@ def _text_model_for(spark, sf_dir, label_col):
     from ..operators.models import fitted
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lb = table(spark, sf_dir, "labels").select("doc_id", F.col(label_col).cast("double").alias("label"))
-    return fitted(spark, (sf_dir, f"report_text_{label_col}"), lambda: M.text_pipeline().fit(docs.join(lb, "doc_id")))
+    return fitted(spark, (sf_dir, f"report_text_{label_col}"), lambda: M.fit_text(docs.join(lb, "doc_id")))
 
 
 @query("report_analysis")
