@@ -138,3 +138,47 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "some text", 5, "x")], "doc_id long, text string, row int, pairs string")
     assert len(result(docs)) == 1
     assert result(docs.limit(0)) == []
+
+
+def flat(rows):
+    return [(*r[:5], list(map(int, r[5])), list(map(int, r[6]))) for r in rows]
+
+
+def test_repeated_chunks_are_encoded_once(monkeypatch):
+    """Both libraries see a word once a worker, not once an occurrence."""
+    own, seen = A.Aligner(PATH_A, PATH_B), []
+    for side in (own.a, own.b):
+        monkeypatch.setattr(side, "ids", lambda text, ids=side.ids: seen.append(len(text)) or ids(text))
+    words = [f"word{k}x" for k in range(50)]
+    first = flat(own.align([" ".join(words * 40)] * 3))
+    assert sum(seen) < 4 * len(" ".join(words))
+    before = len(seen)
+    assert flat(own.align([" ".join(words * 40)])) == first[:1] and len(seen) == before
+
+
+@pytest.mark.parametrize(("most", "chars"), [(1 << 18, 1 << 22), (8, 1 << 22), (1 << 18, 40)])
+def test_cuts_change_no_result(brute, monkeypatch, most, chars):
+    """Texts in chunks, with tables of chunks that overflow, against whole
+    texts and the libraries; white space of all kinds around the spaces."""
+    monkeypatch.setattr(A, "CHUNKS", most)
+    monkeypatch.setattr(A, "CHARS", chars)
+    rng = random.Random(5)
+    parts = ["a", "the", "don't", "it's,", "été", "12", "...", "▁", "日本", "字", "\x00", "\U0001f600", "<|endoftext|>", "<0x0A>", "ß", " ", " ", " ", " ", "  ", "\n", "\t", "\r\n",
+             "\x1c", "\x85", "\xa0", "　", " ", "᠎", "​", "﻿"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    cut, whole = A.Aligner(PATH_A, PATH_B), A.Aligner(PATH_A, PATH_B)
+    monkeypatch.setattr(whole.b, "apart", False)
+    assert whole.cut("a b") == ["a b"] and cut.cut("a b") == ["a", "b"]
+    for k in range(0, len(texts), 70):
+        got = flat(cut.align(texts[k:k + 70]))
+        assert got == flat(whole.align(texts[k:k + 70]))
+        for text, row in zip(texts[k:k + 70], got, strict=True):
+            spelt = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in brute.groups(text))
+            assert row[4] == (hashlib.sha256(spelt.encode()).hexdigest() if spelt else "")
+        assert len(cut.chunks) <= most and cut.chunks.chars <= chars
+        assert len(cut.chunks) == cut.chunks.counts.n == len(cut.chunks.spelt)
+
+
+def test_no_piece_crosses_a_cut(brute):
+    assert A.aligner(PATH_A, PATH_B).b.apart
+    assert not any("▁" in brute.sp.id_to_piece(i).lstrip("▁") for i in range(brute.sp.get_piece_size()))
